@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from notelake.llm.mixing import OP3_SQL, op3_mixing
+from notelake.llm.packing import op7_packing
+from notelake.llm.sharding import op8_sharding
 from notelake.llm.token_counts import op10_token_counts
 
 
 def queries():
     return {
+        "op3_mixing": op3_mixing,
+        "op7_packing": op7_packing,
+        "op8_sharding": op8_sharding,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": OP3_SQL,
+    }
