@@ -6,10 +6,12 @@ from notelake.llm.mixing import OP3_SQL, op3_mixing
 from notelake.llm.packing import op7_packing
 from notelake.llm.sharding import op8_sharding
 from notelake.llm.token_counts import op10_token_counts
+from notelake.llm.warc import OP1_SQL, op1_warc
 
 
 def queries():
     return {
+        "op1_warc": op1_warc,
         "op3_mixing": op3_mixing,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
@@ -19,5 +21,6 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": OP1_SQL,
         "op3_mixing": OP3_SQL,
     }
