@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from notelake.llm.mixing import OP3_SQL, op3_mixing
+from notelake.llm.near_dedup import op2_minhash_near_dedup
 from notelake.llm.packing import op7_packing
 from notelake.llm.sharding import op8_sharding
 from notelake.llm.token_counts import op10_token_counts
@@ -12,6 +13,7 @@ from notelake.llm.warc import OP1_SQL, op1_warc
 def queries():
     return {
         "op1_warc": op1_warc,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_mixing": op3_mixing,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,

@@ -71,6 +71,7 @@ def with_record_types(pages: DataFrame, least_shared: int = LEAST_SHARED) -> Dat
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     sized = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= least_shared)
     heads = sized.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = materialise(heads, "warc-heads")  # a join of two shuffles is split where a digest is frequent
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return rows.join(heads, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("head")).alias("refers_to")
