@@ -83,6 +83,7 @@ def shard_documents(documents: DataFrame, shards: int = 24, rows_per_block: int
     quarter_rows, quarter_bytes = max(1.0, total["n"] / blocks / 4), max(1.0, total["bytes"] / blocks / 4)
     parts = F.ceil(F.greatest(F.col("n") / quarter_rows, F.col("b") / quarter_bytes))
     large = rows.groupBy("gid").agg(F.count("*").alias("n"), F.sum("size").alias("b")).select("gid", parts.alias("parts")).where("parts > 1")
+    large = materialise(large, "large-groups")  # a join of two shuffles is split where a group is large
     dealt = rows.join(large, "gid", "left").withColumn(
         "block", F.pmod(F.xxhash64("gid", F.pmod(F.xxhash64("at"), F.coalesce("parts", F.lit(1)))), F.lit(blocks))
     )
