@@ -2,8 +2,10 @@
 
 A common word is an anchor. It and the next ``chain`` words that are not common, in steps of ``step`` such
 words, form a signature; a text's fingerprint is the set of its signatures' hashes, sorted. Natural prose has
-many, and lists of names or links have few. A text without any signature gets one, of the text itself, so that
-every text has a fingerprint and equal texts have equal ones.
+many, and lists of names or links have few. So that lists and
+texts in other languages can be compared as well, one word in ``spare`` is an anchor by its hash (0: none
+is). A text without any signature gets one, of the text itself: every text has a fingerprint, and equal texts
+have equal ones.
 
 Sets are compared by Jaccard similarity, pruned: sets whose lengths rule out the wanted similarity are not
 compared. ``near_pairs`` partitions sets by length, so that sets similar enough are in the same or in
@@ -34,7 +36,7 @@ COMMON = (
     "auch auf aus bei das dem den der die ein eine einem einen einer er es für hat ich ihr im ist mit nach nicht sich sie sind so um und von vor war werden wie wir zu zum zur "
     "al como con del el ella ellos era esta este fue ha las lo los más muy no nos o para pero por si sin sobre su sus una uno y ya yo"
 ).split()
-CHAIN, STEP = 2, 1
+CHAIN, STEP, SPARE = 2, 1, 16
 _FIRST = -(2**63)
 
 
@@ -42,14 +44,14 @@ def _common_hashes() -> np.ndarray:
     return np.unique(words(pa.array(sorted(set(COMMON))))[0])
 
 
-def fingerprints(texts: pa.Array, chain: int = CHAIN, step: int = STEP) -> list[np.ndarray]:
+def fingerprints(texts: pa.Array, chain: int = CHAIN, step: int = STEP, spare: int = SPARE) -> list[np.ndarray]:
     """The sorted signature hashes of each text (no nulls)."""
     h, owner, _, _ = words(texts)
     n = len(texts)
     common = np.isin(h, _common_hashes())
     content = np.flatnonzero(~common)
-    anchors = np.flatnonzero(common)
-    first = np.searchsorted(content, anchors)
+    anchors = np.flatnonzero(common | (mixed(h, 10) % np.uint64(spare) == 0) if spare else common)
+    first = np.searchsorted(content, anchors, side="right")
     last = first + (chain - 1) * step
     ok = last < len(content)
     anchors, first, last = anchors[ok], first[ok], last[ok]
