@@ -5,6 +5,7 @@ from __future__ import annotations
 from notelake.llm.mixing import OP3_SQL, op3_mixing
 from notelake.llm.near_dedup import op2_minhash_near_dedup
 from notelake.llm.packing import op7_packing
+from notelake.llm.pii import op5_pii
 from notelake.llm.sharding import op8_sharding
 from notelake.llm.spotsigs import op6_spotsigs
 from notelake.llm.token_counts import op10_token_counts
@@ -16,6 +17,7 @@ def queries():
         "op1_warc": op1_warc,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_mixing": op3_mixing,
+        "op5_pii": op5_pii,
         "op6_spotsigs": op6_spotsigs,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
