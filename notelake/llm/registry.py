@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from notelake.llm.hamming_topk import OP9_SQL, op9_hamming_topk
 from notelake.llm.mixing import OP3_SQL, op3_mixing
 from notelake.llm.near_dedup import op2_minhash_near_dedup
 from notelake.llm.packing import op7_packing
@@ -21,6 +22,7 @@ def queries():
         "op6_spotsigs": op6_spotsigs,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
+        "op9_hamming_topk": op9_hamming_topk,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op3_mixing": OP3_SQL,
+        "op9_hamming_topk": OP9_SQL,
     }
