@@ -13,8 +13,8 @@ Links are pairs of different texts of similarity ``least`` or more, found like t
 2. Bands of ``rows`` coordinates are buckets. The items of a bucket are compared with its least item, not
    with each other, so that a group of copies gives one pair for each item.
 3. Pairs are verified on the whole sets. Verified links join items into classes.
-4. What a bucket still holds in different classes is compared in full, across classes only, and verified.
-   After that, no pair that shares a bucket and is similar enough is in two classes. Two texts of similarity
+4. What a bucket still holds in different classes is compared in full, across classes only: small buckets by
+   pairs, large ones by pairs of blocks of bounded size, each one product of matrices. After that, no pair that shares a bucket and is similar enough is in two classes. Two texts of similarity
    0.8 share no bucket with a probability of 3 in 100,000 (20 bands of 4).
 
 Buckets and classes are found by aggregation and equi-joins; a bucket that holds a third of all items is
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from notelake.llm.common import materialise, row_slices, table
 from notelake.llm.hashing import by_text, mixed, shingles, uniform
 
 BANDS, ROWS, WIDTH, LEAST = 20, 4, 5, 0.8
+#: Open buckets of more items than SMALL are compared by blocks of about BLOCK items.
+SMALL, BLOCK = 32, 256
 _ITEM = "item binary, id long, n long, bands array<long>"
 #: Stands for a null id; larger than any other.
 _NO_ID = 2**63 - 1
@@ -142,47 +145,83 @@ def signatures(documents: DataFrame, width: int, weights: str, bands: int, rows:
     return texts.mapInArrow(made, _ITEM).groupBy("item").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
 
 
-def element_sets(documents: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """item, elements (sorted hashes) and their weights for the texts of ``items(item, id)``."""
+def element_sets(documents: DataFrame, items: DataFrame, width: int, weights: str) -> DataFrame:
+    """item, elements (distinct hashes) for the texts of ``items(item, id)``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("item", pa.binary()), ("elements", pa.list_(pa.int64())), ("weights", pa.list_(pa.int32()))])
         for batch in batches:
             for part in row_slices(batch, "text", 2_000_000):
-                h, w, owner = weighted_sets(part.column("text"), width, "count")
-                ends = [0, *(e for _, e in by_text(owner, part.num_rows))]
-                at = pa.array(ends, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("item").cast(pa.binary()), pa.ListArray.from_arrays(at, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(w.astype(np.int32)))], schema=schema)
+                h, w, owner = weighted_sets(part.column("text"), width, weights)
+                if weights == "count":  # an element of weight w is w elements: Jaccard similarity of these sets is the weighted one
+                    times = w.astype(np.int64)
+                    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    h, owner = mixed(np.repeat(h, times) ^ (copy.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), 7), np.repeat(owner, times)
+                ends = pa.array([0, *(e for _, e in by_text(owner, part.num_rows))], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("item").cast(pa.binary()), pa.ListArray.from_arrays(ends, pa.array(h.astype(np.int64)))], names=["item", "elements"])
 
     # By text and id, so that the copies of a text, however many, are not gathered: one row of them is read.
     texts = with_item(documents.select("doc_id", "text").where("text is not null")).select(F.col("_item").alias("item"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     one = texts.join(items, ["item", "id"], "left_semi").groupBy("item", "id").agg(F.first("text").alias("text"))
-    return one.select("item", "text").mapInArrow(made, "item binary, elements array<long>, weights array<int>")
+    return one.select("item", "text").mapInArrow(made, "item binary, elements array<long>")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, wa: np.ndarray | None = None, wb: np.ndarray | None = None) -> float:
-    """Jaccard similarity of two arrays of distinct values, weighted by ``wa`` and ``wb`` if they are given."""
-    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if wa is None:
-        return len(common) / max(1, len(a) + len(b) - len(common))
-    least = np.minimum(wa[i], wb[j]).sum()
-    return float(least) / max(1.0, float(wa.sum() + wb.sum() - least))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct values."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, weights: str, least: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The rows of ``pairs(a, b)`` whose sets have similarity ``least`` or more."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda c, i: c[i].values.to_numpy(zero_copy_only=False)
         for batch in batches:
-            x, y, wx, wy = (batch.column(c) for c in ("ea", "eb", "wa", "wb"))
-            of = lambda c, i: c[i].values.to_numpy(zero_copy_only=False)
-            count = weights == "count"
-            keep = [jaccard(of(x, i), of(y, i), of(wx, i) if count else None, of(wy, i) if count else None) >= least for i in range(batch.num_rows)]
+            x, y = batch.column("ea"), batch.column("eb")
+            keep = [jaccard(of(x, i), of(y, i)) >= least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(pa.binary()) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("item").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    second = sets.select(F.col("item").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ea", "eb", "wa", "wb").mapInArrow(kept, "a binary, b binary")
+    first = sets.select(F.col("item").alias("a"), F.col("elements").alias("ea"))
+    second = sets.select(F.col("item").alias("b"), F.col("elements").alias("eb"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ea", "eb").mapInArrow(kept, "a binary, b binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``."""
+    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    values = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    both = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(both, v) for v in values]
+    found = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for a, v in zip(at, values, strict=True)]
+    for lo in range(0, len(both), columns):
+        sides = []
+        for k, n in enumerate((len(left), len(right))):
+            some = found[k] & (at[k] >= lo) & (at[k] < lo + columns)
+            m = np.zeros((n, min(columns, len(both) - lo)), np.float32)
+            m[of[k][some], at[k][some] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def links_of_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Of a pair of blocks (or a block with itself) a link a < b for each two classes between which there is one."""
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    x, y = rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []})
+    sets_x, sets_y = list(map(np.asarray, x["elements"])), list(map(np.asarray, y["elements"]))
+    common = overlaps(sets_x, sets_y)
+    sim = common / (np.array([len(s) for s in sets_x])[:, None] + np.array([len(s) for s in sets_y])[None, :] - common)
+    hit = np.argwhere(sim >= least - 1e-7)
+    out, seen = [], set()
+    for p, q in hit:
+        classes = frozenset((x["root"][p], y["root"][q]))
+        if len(classes) == 2 and classes not in seen and jaccard(sets_x[p], sets_y[q]) >= least:
+            seen.add(classes)
+            out.append(sorted((x["item"][p], y["item"][q])))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,22 +254,26 @@ def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = L
     close = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) if weights == "set" else F.lit(True)  # noqa: E731  sizes alone rule out the rest
     pairs = members.where(F.col("a") < F.col("item")).where(close(F.col("n"), F.col("na"))).select("a", F.col("item").alias("b")).distinct()
     candidates = members.select("item", "id").distinct()
-    sets = materialise(element_sets(documents, candidates, width), "sets")
-    first = materialise(verified(pairs, sets, weights, least), "first-links")
+    sets = materialise(element_sets(documents, candidates, width, weights), "sets")
+    first = materialise(verified(pairs, sets, least), "first-links")
     classes = materialise(components(first), "first-classes")
-    # Buckets that still hold items of more than one class: all pairs across classes.
-    known = members.join(classes, "item", "left").select("bucket", "item", "n", F.coalesce("root", "item").alias("root"))
-    known = materialise(known, "known")
-    mixed_up = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialise(known.join(materialise(mixed_up, "mixed-buckets"), "bucket", "left_semi"), "open-buckets")
-    x, y = open_.select("bucket", F.col("item").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), open_.select("bucket", F.col("item").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    # Buckets that still hold items of more than one class.
+    known = materialise(members.join(classes, "item", "left").select("bucket", "item", "n", F.coalesce("root", "item").alias("root")), "known")
+    open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("items")).where("lo < hi").select("bucket", "items")
+    open_ = materialise(known.join(materialise(open_, "open-buckets"), "bucket"), "open")
+    few = open_.where(F.col("items") <= SMALL)
+    x, y = (few.select("bucket", F.col("item").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
     across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    second = materialise(verified(across, sets, weights, least), "second-links")
-    if not second.limit(1).count():
+    second = verified(across.join(pairs, ["a", "b"], "left_anti"), sets, least)
+    blocks = F.ceil(F.col("items") / BLOCK).cast("int")
+    many = open_.where(F.col("items") > SMALL).withColumn("own", F.pmod(F.xxhash64("item", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", "root").join(sets, "item")
+    third = many.groupBy("bucket", "i", "j").applyInPandas(lambda rows: links_of_blocks(rows, least), "a binary, b binary")
+    more = materialise(second.unionByName(third), "more-links")
+    if not more.limit(1).count():
         return classes
     stars = classes.where("item != root").select(F.col("item").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionByName(second))
+    return components(stars.unionByName(more))
 
 
 def near_duplicate_classes(documents: DataFrame, **how) -> DataFrame:
