@@ -10,6 +10,7 @@ from notelake.llm.pii import op5_pii
 from notelake.llm.sharding import op8_sharding
 from notelake.llm.spotsigs import op6_spotsigs
 from notelake.llm.token_counts import op10_token_counts
+from notelake.llm.toxicity import op4_toxicity
 from notelake.llm.warc import OP1_SQL, op1_warc
 
 
@@ -18,6 +19,7 @@ def queries():
         "op1_warc": op1_warc,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_mixing": op3_mixing,
+        "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_spotsigs": op6_spotsigs,
         "op7_packing": op7_packing,
