@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelake.queries import texts
+from notelake.queries import recall, texts
 
-_MODULES = (texts,)
+_MODULES = (texts, recall)
 
 
 def queries():
