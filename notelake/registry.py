@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelake.queries import recall, texts
+from notelake.queries import graph, recall, texts
 
-_MODULES = (texts, recall)
+_MODULES = (texts, recall, graph)
 
 
 def queries():
