@@ -11,7 +11,7 @@ that a code which a third of all rows share costs no more than any other. Codes
 blocks of bounded size; each pair of blocks is searched in one task, and the blocks' results are merged by
 distance and id. Few queries mean few copies of the codes: the query set is what is held against all rows.
 
-A row is not its own neighbour. Ties go to lesser ids. Rows with a null vector or id have no code: they
+A row is not its own neighbour. Ties go to lesser ids. Rows with a null or empty vector or a null id have no code: they
 neither ask nor answer. Vectors of different lengths are not compared. Rows that repeat
 id and vector are one row that asks as often as it occurs; an id with several vectors is no neighbour of itself
 and may get that many fewer results. With fewer than k others there are fewer results; an empty table gives none.
@@ -42,7 +42,7 @@ def binary_codes(vectors: DataFrame, id_column: str, vector_column: str) -> Data
             codes = [np.packbits(np.nan_to_num(np.asarray(v, float)) > 0).tobytes() + len(v).to_bytes(4, "big") for v in (x.values.to_numpy(zero_copy_only=False) for x in batch.column("v"))]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(codes, pa.binary())], names=["id", "code"])
 
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where("id is not null and v is not null")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where("id is not null and size(v) > 0")
     return rows.mapInArrow(made, "id long, code binary")
 
 

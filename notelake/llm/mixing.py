@@ -122,24 +122,25 @@ def mixture(documents: DataFrame, domain_weights: dict[str, int] = DOMAIN_WEIGHT
     )
 
 
-def with_copies(documents: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
-    """``documents`` with the leaf's columns and ``_copies``, how often the mixture holds each row."""
+def counted(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
+    """What ``with_leaf`` gives, with the leaf's columns and ``_copies``, how often the mixture holds each row."""
     key, doc_id = order_key(seed, F.col("epochs"), F.col("doc_id")), F.coalesce("doc_id", F.lit(-1))
     within = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & (doc_id <= F.col("cut_id")))
-    return with_leaf(documents).join(small(leaves), list(LEVELS)).withColumn("_copies", F.col("epochs") + within.cast("long"))
+    return rows.join(small(leaves), list(LEVELS)).withColumn("_copies", F.col("epochs") + within.cast("long"))
 
 
 def mix(documents: DataFrame, seed: int = SEED, **budget) -> DataFrame:
     """The mixture itself: the rows of ``documents``, each as often as its leaf's budget takes it."""
     leaves = materialise(mixture(documents, seed=seed, **budget), "mixture")
-    repeated = with_copies(documents, leaves, seed).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*documents.columns)
+    whole = with_leaf(documents.select(F.struct(*documents.columns).alias("_whole"), "doc_id", "text", "lang", "source"))
+    taken = counted(whole.select("_whole", "doc_id", *LEVELS), leaves, seed).where("_copies > 0")
+    return taken.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_whole.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     leaves = materialise(mixture(documents), "mixture")
-    return with_copies(documents, leaves).select(
+    return counted(with_leaf(documents), leaves, SEED).select(
         "doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"),
         F.col("_tokens").alias("tokens"), F.col("budget").alias("leaf_budget"), F.col("_copies").alias("copies"),
     )

@@ -305,9 +305,9 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_near_duplicates(documents: DataFrame, **how) -> DataFrame:
     """``documents`` with one row of each class: that of the least id, and of rows that repeat it the first."""
     kept = with_classes(documents, **how).where("_kept").where("_item is not null").select("_item", F.col("doc_id").alias("_id"))
-    rows = with_item(documents)
+    rows = documents.select(F.struct(*documents.columns).alias("_whole"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_item"))
     nothing = rows.where("_item is null")
     joined = rows.where("_item is not null").join(kept, (rows["_item"] == kept["_item"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     again = Window.partitionBy("_item", "doc_id").orderBy(F.lit(1))
     once = joined.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
-    return once.unionByName(nothing).select(*documents.columns)
+    return once.unionByName(nothing).select("_whole.*")

@@ -47,10 +47,10 @@ def place(items: np.ndarray, shards: int, first: int = 0) -> np.ndarray:
 
 
 def place_block(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Shard and place within shard for the rows of one block. Groups above a quarter of a shard's share are split."""
+    """Shard and place within shard for the rows of one block. Groups above a 16th of a shard's share are split."""
     rows = rows.sort_values(["gid", "doc_id", "at"], kind="stable").reset_index(drop=True)
     cost = np.stack([rows["size"].to_numpy(float), rows["tokens"].to_numpy(float), np.ones(len(rows))], axis=1)
-    most = np.maximum(cost.sum(axis=0) / shards / 4, 1e-9)
+    most = np.maximum(cost.sum(axis=0) / shards / 16, 1e-9)
     gid = rows["gid"].to_numpy()
     new = np.r_[True, gid[1:] != gid[:-1]]
     start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))

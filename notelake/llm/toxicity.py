@@ -320,7 +320,7 @@ def fit_texts(parts: list[list[tuple[int, str]]]) -> Model:
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 1_600, most_chars: int = 20_000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 600, most_clean: int = 1_200, most_chars: int = 10_000) -> Model:
     """A model from a sample of labelled documents with remainders 0 and 2, bounded for each; those with 1 are held out."""
     return fit_texts([labelled_sample(documents, labels, rest, most_toxic, most_clean, most_chars) for rest in (0, 2)])
 
