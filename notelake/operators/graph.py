@@ -6,6 +6,9 @@ next notes that share a tag, an entity or a keyword, never with all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,16 +140,43 @@ def proposal_order() -> list[Column]:
     return [F.desc("confidence"), F.desc("evidence_count"), F.desc("b")]
 
 
-def capped_links(scored: DataFrame, top_k: int = TOP_K) -> DataFrame:
+#: When so few proposals are left to look at, one task walks them in order.
+WALKED = 2_000_000
+
+
+def _walked(rows: DataFrame, top_k: int) -> DataFrame:
+    """a, b of the open proposals taken, out of a bounded number of proposals, walked in order by one task."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        degree: dict[int, int] = {}
+        for batch in batches:
+            taken = []
+            for a, b, state in zip(batch["a"], batch["b"], batch["state"], strict=True):
+                if state == 1 or (state == 0 and degree.get(a, 0) < top_k and degree.get(b, 0) < top_k):
+                    degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+                    if state == 0:
+                        taken.append((a, b))
+            yield pd.DataFrame(taken, columns=["a", "b"]).astype("int64")
+
+    return rows.select("a", "b", "rank", "state").repartition(1).sortWithinPartitions(F.desc("a"), "rank").mapInPandas(walk, "a long, b long")
+
+
+def capped_links(scored: DataFrame, top_k: int = TOP_K, walked: int = WALKED) -> DataFrame:
     """The links that remain if notes, newest first, take their proposals in order while both ends have under ``top_k``.
 
-    That is a sequence, but it need not be walked: in rounds, a proposal is taken when at both ends those taken
-    or open before it are fewer than ``top_k``, and dropped when at either end ``top_k`` before it are taken. Every
-    round settles at least the first open proposal of the order, and in practice nearly all of them.
+    That is a sequence, but it need not be walked from its start: in rounds, a proposal is taken when at both ends
+    those taken or open before it are fewer than ``top_k``, and dropped when at either end ``top_k`` before it are
+    taken. Once the proposals at notes with open ones are ``walked`` or fewer, one task settles these in order.
     """
     rank = F.row_number().over(Window.partitionBy("a").orderBy(*proposal_order()))
     rows = materialise(scored.withColumn("rank", rank).withColumn("state", F.lit(0)), "proposals")  # 0 open, 1 taken, -1 dropped
+    chosen = ["a", "b", "type", "confidence", "evidence_count", F.col("rank").cast("long").alias("rank")]
     while True:
+        waiting = rows.where("state = 0").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        near = rows.join(waiting.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(rows.join(waiting.withColumnRenamed("node", "a"), "a", "left_anti").join(waiting.withColumnRenamed("node", "b"), "b", "left_semi").select(rows.columns))
+        if near.count() <= walked:
+            more = _walked(near, top_k).withColumn("now", F.lit(True))
+            return rows.join(more, ["a", "b"], "left").where((F.col("state") == 1) | F.col("now")).select(*chosen)
         ends = rows.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "rank", "state")
         before = Window.partitionBy("node").orderBy(F.desc("a"), "rank").rowsBetween(Window.unboundedPreceding, -1)
         count = lambda c: F.coalesce(F.sum(c.cast("long")).over(before), F.lit(0))
@@ -154,8 +184,6 @@ def capped_links(scored: DataFrame, top_k: int = TOP_K) -> DataFrame:
         both = seen.groupBy("a", "b").agg(F.max("taken").alias("taken"), F.max(F.col("taken") + F.col("waiting")).alias("possible"))
         state = F.when(F.col("state") != 0, F.col("state")).when(F.col("taken") >= top_k, -1).when(F.col("possible") < top_k, 1).otherwise(0)
         rows = materialise(rows.join(both, ["a", "b"]).withColumn("state", state).drop("taken", "possible"), "proposals")
-        if not rows.where("state = 0").limit(1).count():
-            return rows.where("state = 1").select("a", "b", "type", "confidence", "evidence_count", F.col("rank").cast("long").alias("rank"))
 
 
 def hotspots(links: DataFrame, n: int) -> DataFrame:

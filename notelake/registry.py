@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelake.queries import graph, recall, texts
+from notelake.queries import flows, graph, recall, texts
 
-_MODULES = (texts, recall, graph)
+_MODULES = (texts, recall, graph, flows)
 
 
 def queries():
