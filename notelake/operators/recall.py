@@ -115,7 +115,7 @@ def bm25(notes: DataFrame, queries: DataFrame, key: str, query: str, k: int, tex
     terms = small(asked.join(df, "token").crossJoin(F.broadcast(stats)).select(query, "token", idf.alias("idf"), "avgdl"))  # stats is one row
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = postings.join(terms, "token").groupBy(query, key).agg((-F.sum(gain)).alias("raw"))
-    return best(scores.withColumn("bm25", F.round("raw", 4)), query, [F.col("bm25"), F.col(key)], k).select(query, key, "bm25", "rank")
+    return best(scores.withColumn("bm25", F.round("raw", 4) + 0.0), query, [F.col("bm25"), F.col(key)], k).select(query, key, "bm25", "rank")
 
 
 def compatible_score(c: Column) -> Column:

@@ -157,7 +157,7 @@ lex AS (SELECT * FROM (SELECT *, {_RANK.format(q='item_id', o='score DESC, doc_i
 FIRST = f"fq AS (SELECT item_id, unnest(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, {R.QUERY_TOKENS})) AS token FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark))"
 BM25 = f"""{FIRST}, bd AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM ({DOCS})), bs AS (SELECT COUNT(*) AS docs, AVG(len(t)) AS avgdl FROM bd),
 btf AS (SELECT doc_id, dl, token, COUNT(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM bd) GROUP BY ALL), bdf AS (SELECT token, COUNT(*) AS df FROM btf GROUP BY token),
-b0 AS (SELECT item_id, doc_id, ROUND(-SUM(GREATEST(ln((docs - df + 0.5) / (df + 0.5)), {R.LEAST_IDF}) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avgdl))), 4) AS bm25 FROM fq JOIN bdf USING (token) JOIN btf USING (token), bs GROUP BY ALL),
+b0 AS (SELECT item_id, doc_id, ROUND(-SUM(GREATEST(ln((docs - df + 0.5) / (df + 0.5)), {R.LEAST_IDF}) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avgdl))), 4) + 0.0 AS bm25 FROM fq JOIN bdf USING (token) JOIN btf USING (token), bs GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, {_RANK.format(q='item_id', o='bm25, doc_id')} FROM b0) WHERE rank <= {K}),
 bc0 AS (SELECT item_id, doc_id, bm25, ROUND(CASE WHEN bm25 <= -1 THEN 0.01 ELSE GREATEST(1 / (1 + bm25), 0.01) END, 4) AS score FROM b),
 bc AS (SELECT item_id, doc_id, score, {_RANK.format(q='item_id', o='score DESC, bm25, doc_id')} FROM bc0)"""
