@@ -126,7 +126,7 @@ def compatible_score(c: Column) -> Column:
 def hashed_terms(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """keys, bin, weight: tokens and neighbouring pairs of tokens hashed to the vector's bins, of length one.
 
-    A token is hashed once for the corpus, not where it occurs: distinct tokens get their bin and are joined.
+    A token is hashed once for each row that has it, after its occurrences there are counted.
     """
     toks = rows.select(*keys, T.tokens(text).alias("t"))
     expanded = toks.select(*keys, F.explode(F.concat("t", T.word_pairs(F.col("t")))).alias("token"))
