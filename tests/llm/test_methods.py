@@ -280,16 +280,58 @@ def test_disturbed_insults_stay_similar():
     assert scores[3] > 5 * scores[4]  # four letters of a word spelt out are all that a stretch sees
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage's rows from those of the stage before it, by plain Python and, for the mixture, by SQL."""
+    import duckdb
+    import pandas as pd
 
-    docs = table(spark, sf, "documents")
-    rows = {}
+    import corpus_pipeline
     from notelake.llm.common import materialise
 
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "packing"]
+    docs = table(spark, sf, "documents")
+    columns, after = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, materialise(stage(spark, docs, sf), name)
-        rows[name] = docs.count()
-        if name != "packing":
-            assert docs.columns == before.columns
-    assert docs.columns[:3] == ["doc_id", "start", "length"] and rows["packing"] >= rows["mixing"] / 2
+        before, docs = docs.toPandas(), materialise(stage(spark, docs, sf), name)
+        after[name] = docs.toPandas()
+        if name == "toxicity":
+            model = toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+            want = before[model.scores(before["text"].fillna("").tolist()) < 0.7]
+        elif name == "near_dedup":
+            sets = [five_words(t) for t in before["text"]]
+            root = list(range(len(before)))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i in range(len(sets)):
+                for j in range(i):
+                    same = before["text"][i] == before["text"][j]
+                    if same or (sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                        a, b = sorted((find(i), find(j)))
+                        root[b] = a
+            ids = before["doc_id"].tolist()
+            least = {}
+            for i in range(len(ids)):
+                least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+            want = before[before["doc_id"].isin(least.values())]
+        elif name == "pii":
+            want = before.assign(text=[pii.replaced(t, pii.base_spans(t)) for t in before["text"]])
+            want["n_chars"] = want["text"].str.len()
+        elif name == "mixing":
+            con = duckdb.connect()
+            con.register("documents", before)
+            copies = con.execute(mixing.OP3_SQL).df().set_index("doc_id")["copies"]
+            want = before.loc[before.index.repeat(before["doc_id"].map(copies).astype(int))]
+        else:
+            got = after[name]
+            assert got["length"].sum() == got.loc[got["start"] == 0, "doc_tokens"].sum()
+            assert sorted(got.loc[got["start"] == 0, "doc_id"]) == sorted(before["doc_id"])
+            break
+        assert list(after[name].columns) == columns
+        key = lambda d: sorted(map(tuple, d.astype(object).where(pd.notna(d), None).itertuples(index=False)))
+        assert key(after[name]) == key(want), name
+    whole = corpus_pipeline.run(spark, sf).toPandas()
+    assert len(whole) == len(after["packing"]) and whole["length"].sum() == after["packing"]["length"].sum()
