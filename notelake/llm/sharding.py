@@ -26,7 +26,7 @@ from notelake.llm.common import materialise, table, text_or_empty
 
 OVERHEAD = 8
 #: How much an uneven share of bytes, tokens and rows counts. The law is that bytes are near equal.
-WEIGHTS = np.array([1.0, 0.5, 0.05])
+WEIGHTS = np.array([1.0, 0.1, 0.01])
 LAW = "bytes"
 
 
