@@ -114,6 +114,11 @@ def json_text(c: Column) -> Column:
     return F.coalesce(said, normalized(c))
 
 
+def salvaged_json(c: Column) -> Column:
+    """The JSON object that a tool printed last: from the last opening to the last closing brace; null without one."""
+    return F.nullif(F.regexp_extract(c, r"(?s)(\{[^{]*\})[^}]*\z", 1), F.lit(""))
+
+
 def first_lines(c: Column, n: int = 40) -> Column:
     return F.slice(F.filter(F.split(normalized(c), "\n"), lambda line: line != ""), 1, n)
 

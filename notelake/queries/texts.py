@@ -66,6 +66,13 @@ def json_flatten(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.json_text(F.col("props")).alias("text"))
 
 
+def json_salvage(spark, sf_dir):
+    """The properties of events found again in what a tool might print around them."""
+    said = F.concat(F.lit("warning {1}\n"), "event_type", F.lit(" "), "props", F.lit(" done\n"))
+    found = table(spark, sf_dir, "events").select("event_id", T.salvaged_json(said).alias("found"))
+    return found.select("event_id", "found", T.json_text(F.col("found")).alias("text"))
+
+
 def csv_head(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", T.first_lines(F.col("text")).alias("lines"))
     return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("head"))
@@ -121,7 +128,7 @@ def link_rewrite(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokenize_docs, sentence_split, doc_summary, doc_title, doc_slug, doc_keywords, ambiguous_docs, note_tags, normalize_id,
-    html_extract, html_title, json_flatten, csv_head, source_type_detect, conversation_notes, notes_ordered,
+    html_extract, html_title, json_flatten, json_salvage, csv_head, source_type_detect, conversation_notes, notes_ordered,
     generation_digest, freshness_diff, incremental_upsert, chunk_notes, link_rewrite,
 )}
 
@@ -182,6 +189,7 @@ SQL = {
     "html_extract": f"SELECT page_id, {unmarked(chr(67) + 'OALESCE(html, ' + chr(39) * 2 + ')')} AS text FROM pages",
     "html_title": f"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title[^>]*>[\\s\\S]*?</title>') THEN {unmarked('regexp_extract(html, ' + chr(39) + '(?i)<title[^>]*>([' + chr(92) + 's' + chr(92) + 'S]*?)</title>' + chr(39) + ', 1)')} END AS title FROM pages",
     "json_flatten": "SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || regexp_replace(COALESCE(json_extract_string(props, '$.' || k), 'null'), '[.。]+$', '')), '. ') AS text FROM events",
+    "json_salvage": "SELECT event_id, props AS found, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || regexp_replace(COALESCE(json_extract_string(props, '$.' || k), 'null'), '[.。]+$', '')), '. ') AS text FROM events",
     "csv_head": f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, array_to_string(l, chr(10)) AS head FROM (SELECT doc_id, list_slice(list_filter(string_split({norm('text')}, chr(10)), lambda x: x <> ''), 1, 40) AS l FROM ({DOCS}))",
     "source_type_detect": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SOURCE_TYPES.items()) + " ELSE 'text' END AS source_type FROM pages",
     "conversation_notes": f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), s AS (SELECT *, {sents('body')} AS ss FROM c), f AS (SELECT *, COALESCE(list_filter(ss, lambda s: length(s) >= 40)[1], ss[1], substr(body, 1, 180)) AS f FROM s), g AS (SELECT *, CASE WHEN length(f) > 220 THEN substr(f, 1, 217) || '...' ELSE f END AS summary FROM f) SELECT conv_id, turns, {titled('summary')} AS title, md5(body) AS body_md5 FROM g",
