@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 500
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables below ``sf_dir``; from here on the session hands rows to Python in small batches."""
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of ``ROWS_PER_BATCH`` at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables below ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +44,7 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive any executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
