@@ -123,7 +123,7 @@ def near_pairs(fingerprinted: DataFrame, least: float = 0.8) -> DataFrame:
     return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").withColumn("similarity", sim).where(F.col("similarity") >= least - 1e-12).select("a", "b", "similarity")
 
 
-def with_next(documents: DataFrame, rows_per_range: int = 4_000, most_ranges: int = 8_192) -> DataFrame:
+def with_next(documents: DataFrame, rows_per_range: int = 1_000, most_ranges: int = 8_192) -> DataFrame:
     """range, guest, key, doc_id, text: rows of ranges of ids, each range with the row that follows it as a guest.
 
     Ranges are cut at quantiles of the ids. A range's last row has its successor in the next range, whose
