@@ -161,7 +161,9 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how near they and the next document's are."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_next(documents).repartition(parts, "range").sortWithinPartitions("range", "guest", "key", "text")
+    rows = with_next(documents)
+    # Ranges are dealt out in turn rather than by hash: tasks get as many each.
+    dealt = rows.repartitionById(parts, (F.col("range") % parts).cast("int")).sortWithinPartitions("range", "guest", "key", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row: range, guest, doc_id, text, fingerprint
