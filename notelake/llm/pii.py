@@ -1,15 +1,17 @@
 """Personal data: patterns, and terms that by the corpus reveal what the patterns protect.
 
 The base are e-mail addresses, IP addresses, card and telephone numbers. Each value found is a protected entity.
-Information theory adds terms near them: of a term t within ``window`` words of entity e, the disclosure is
+Information theory adds terms: of a term t in documents of entity e, wherever it stands, the disclosure is
 PMI(t; e) = log(N df(t, e) / (df(t) df(e))) in documents, as a share of the entity's information
 IC(e) = log(N / df(e)); 1 means that t occurs with e alone. A term with a share of ``disclosure`` or more, seen
-with e in ``support`` different contexts (copies of a document are one), is a span of kind "term".
-``sanitised`` replaces base spans by their kind and generalises terms.
+with e in ``support`` different texts (copies are one), discloses it. Every occurrence of such a term outside base
+spans is a span of kind "term", in documents without the value as well. ``sanitised`` replaces base spans by their
+kind and generalises terms.
 
-All counts are over all documents. df(t) is counted for terms that have the support: a bitmap of fixed size
-(``BITS``) goes to the tasks and drops most other words there; what passes it by chance is dropped by the
-join. Only contexts and counts are shuffled, no texts.
+All counts are over all documents. An entity in fewer than ``support`` texts has no terms, so only the words of the
+other entities' documents are paired. Bitmaps of fixed size (``BITS``) tell tasks which entities and terms count;
+what passes one by chance is dropped by a join. Pairs are summed in tasks; only texts that have copies are told
+apart by their digest. Counts, digests and places are shuffled, no texts.
 
 A null text counts as empty and has no spans. Rows that repeat are documents each. An empty table gives an
 empty result. Columns of the input other than doc_id and text are kept by ``sanitised`` as they are.
@@ -24,15 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm.common import materialise, row_slices, table, text_or_empty
-from notelake.llm.hashing import mixed, words
+from notelake.llm.hashing import by_text, text_bytes, words
 from notelake.llm.spotsigs import COMMON
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, DISCLOSURE = 4, 3, 0.9
+SUPPORT, DISCLOSURE = 3, 0.9
+#: Pairs of entity and term that a task sums at once.
+PAIRS = 500_000
 BITS = 1 << 22
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,8 +47,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TERM = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-_COMMON = frozenset(COMMON)
+_COMMON = words(pa.array(sorted(COMMON)))[0]
 
 
 def luhn(digits: str) -> bool:
@@ -98,64 +102,54 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.md5(f"{kind}:{value}".encode(), usedforsecurity=False).digest()[:8], "little", signed=True)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """For each span the (start, end) of the terms within ``window`` words of it."""
-    far = 40 * window  # characters; words further off are not looked for
-    for s, k, e in spans:
-        before = [m.span() for m in _TERM.finditer(text, max(0, s - far), s)]
-        if before and before[0][0] == s - far and s > far:
-            before = before[1:]  # may be the rest of a longer word
-        after = [m.span() for m in _TERM.finditer(text, e, min(len(text), e + far))]
-        if after and after[-1][1] == e + far:
-            after = after[:-1]
-        if after and after[0][0] == e:
-            after = after[1:]
-        if before and before[-1][1] == s:
-            before = before[:-1]
-        near = [(a, b) for a, b in [*before[-window:], *after[:window]] if b - a >= 3 and not text[a:b].isdigit() and text[a:b].lower() not in _COMMON]
-        yield k, [(a, b) for a, b in near if not any(a < y and x < b for x, _, y in spans)]
-
-
-_BASE = "row long, item binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<start:int,kind:int,end:int>>, contexts array<struct<entity:long,term:long,start:int,end:int,context:long>>"
+def entities(text: str) -> list[int]:
+    """The different protected values of a text."""
+    return sorted({entity(k, text[s:e]) for s, k, e in base_spans(text)})
+
+
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word that can disclose something: hash, number of its text, start and end (characters of that text).
+
+    Numbers, words of fewer than three characters and common words can't.
+    """
+    h, owner, start, end = words(texts)
+    data, offsets = text_bytes(pc.utf8_lower(texts))
+    chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    digits = np.r_[0, np.cumsum((data >= 48) & (data <= 57))]
+    size = chars[end] - chars[start]
+    some = (size >= 3) & (digits[end] - digits[start] < size) & ~np.isin(h, _COMMON)
+    h, owner, start, end = h[some], owner[some], start[some], end[some]
+    first = chars[offsets[owner]]
+    return h.astype(np.int64), owner, chars[start] - first, chars[end] - first
+
+
+_BASE = "item binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<start:int,kind:int,end:int>>, entities array<long>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_CONTEXT = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
 
 
-def found_in(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Base spans and the terms near them, for every row of ``documents(doc_id, text)``."""
-    rows = documents.select("doc_id", text_or_empty().alias("text")).select(F.monotonically_increasing_id().alias("row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("item"), "doc_id", "text")
+def item_of(text: Column) -> Column:
+    """The digest of a text; equal texts are one item."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def found_in(documents: DataFrame) -> DataFrame:
+    """Base spans and protected values for every row of ``documents(doc_id, text)``."""
+    rows = documents.select("doc_id", text_or_empty().alias("text")).select(item_of(F.col("text")).alias("item"), "doc_id", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 spans = [base_spans(t) for t in texts]
-                near, terms = [], []
-                for t, found in zip(texts, spans, strict=True):
-                    mine = []
-                    for (s, _, e), (k, close) in zip(found, near_terms(t, found, window) if found else [], strict=True):
-                        mine.append((entity(k, t[s:e]), close))
-                        terms += [t[a:b] for a, b in close]
-                    near.append(mine)
-                number = words(pa.array(terms, pa.string()))[0].astype(np.int64) if terms else np.zeros(0, np.int64)
-                contexts, at = [], 0
-                for mine in near:
-                    one = []
-                    for who, close in mine:
-                        ids = number[at : at + len(close)]
-                        at += len(close)
-                        place = int(mixed((ids.view(np.uint64) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64))[0].astype(np.int64)) if len(ids) else 0
-                        one += [{"entity": who, "term": int(t), "start": a, "end": b, "context": place} for t, (a, b) in zip(ids, close, strict=True)]
-                    contexts.append(one)
                 counts = [[sum(k == kind for _, k, _ in found) for found in spans] for kind in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("row"), part.column("item").cast(pa.binary()), part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts),
+                        part.column("item").cast(pa.binary()), part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts),
                         pa.array([hashlib.sha256(shown(found).encode()).hexdigest() for found in spans], pa.string()),
                         pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in found] for found in spans], pa.list_(_SPAN)),
-                        pa.array(contexts, pa.list_(_CONTEXT)),
+                        pa.array([sorted({entity(k, t[s:e]) for s, k, e in found}) for t, found in zip(texts, spans, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["row", "item", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "contexts"],
+                    names=["item", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities"],
                 )
 
     return rows.mapInArrow(made, _BASE)
@@ -178,8 +172,15 @@ def document_counts(documents: DataFrame, passing: np.ndarray) -> DataFrame:
     bits = len(passing)
     shared = documents.sparkSession.sparkContext.broadcast(np.packbits(passing))
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, back = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        n = np.zeros(len(term), np.int64)
+        np.add.at(n, back, np.concatenate([n for _, n in parts]))
+        return term, n
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
+        parts, held = [], 0  # of the whole task; given out only where it has more than ``PAIRS`` different terms
         for batch in batches:
             for part in row_slices(batch, "text", 2_000_000):
                 h, owner, _, _ = words(part.column("text"))
@@ -191,29 +192,113 @@ def document_counts(documents: DataFrame, passing: np.ndarray) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
                 term, n = np.unique(h[new], return_counts=True)
-                if len(term):
-                    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["term", "n"])
+                parts.append((term, n.astype(np.int64)))
+                held += len(term)
+                if held >= 2 * PAIRS:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held >= PAIRS:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], names=["term", "n"])
+                        parts, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, summed(parts))], names=["term", "n"])
 
     return documents.select(text_or_empty().alias("text")).mapInArrow(made, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def joint_counts(documents: DataFrame, protected: np.ndarray, copied: np.ndarray) -> DataFrame:
+    """entity, term, texts, joint: in how many different texts and in how many documents each entity and term occur together.
+
+    Of entities that pass the bitmap ``protected``. Texts that don't pass ``copied`` have no copies: each counts on its own.
+    """
+    bits = len(protected)
+    shared = documents.sparkSession.sparkContext.broadcast((np.packbits(protected), np.packbits(copied)))
+    rows = documents.select(text_or_empty().alias("text")).select("text", F.xxhash64(item_of(F.col("text"))).alias("digest"))
+
+    def summed(pairs: list[tuple[int, int | None, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(t) for _, _, t in pairs]
+        which = pa.array(np.repeat(np.arange(len(pairs)), sizes))
+        whole = pa.table({
+            "entity": pa.array([e for e, _, _ in pairs], pa.int64()).take(which),
+            "term": pa.array(np.concatenate([t for _, _, t in pairs])),
+            "digest": pa.array([d for _, d, _ in pairs], pa.int64()).take(which),
+        }).group_by(["entity", "term", "digest"]).aggregate([([], "count_all")])
+        return whole.rename_columns(["entity", "term", "digest", "n"]).combine_chunks().to_batches()[0]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, twice = (np.unpackbits(x).astype(bool) for x in shared.value)
+        pairs, held = [], 0
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                whose = [[e for e in entities(t) if known[e % bits]] for t in part.column("text").to_pylist()]
+                some = [i for i, mine in enumerate(whose) if mine]
+                if not some:
+                    continue
+                h, owner, _, _ = terms_of(part.column("text").take(pa.array(some)))
+                digests = part.column("digest").take(pa.array(some)).to_pylist()
+                for (lo, hi), i, digest in zip(by_text(owner, len(some)), some, digests, strict=True):
+                    terms = np.unique(h[lo:hi])
+                    for e in whose[i] if len(terms) else ():
+                        pairs.append((e, digest if twice[digest % bits] else None, terms))
+                        held += len(terms)
+                        if held >= PAIRS:
+                            yield summed(pairs)
+                            pairs, held = [], 0
+        if pairs:
+            yield summed(pairs)
+
+    of_texts = rows.mapInArrow(made, "entity long, term long, digest long, n long").groupBy("entity", "term", "digest").agg(F.sum("n").alias("n"))
+    texts = F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)
+    return of_texts.groupBy("entity", "term").agg(F.sum(texts).alias("texts"), F.sum("n").alias("joint"))
+
+
 def disclosing_terms(documents: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term: the terms whose disclosure of the entity reaches the threshold."""
-    seen = found.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.term", "c.context")
-    contexts = seen.groupBy("entity", "term", "context").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    supported = materialise(contexts, "supported-terms")
-    pairs = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    entities = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("de"))
+    of_texts = found.select("item", F.explode("entities").alias("entity")).groupBy("entity", "item").agg(F.count("*").alias("n"))
+    several = of_texts.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("de")).where(F.col("texts") >= support)
+    several = materialise(several.select("entity", "de"), "entities")
+    protected = bitmap_of(several, "entity")
+    if not protected.any():
+        return documents.sparkSession.createDataFrame([], "entity long, term long")
+    copies = found.where(F.size("entities") > 0).groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = joint_counts(documents, protected, bitmap_of(copies.select(F.xxhash64("item").alias("h")), "h"))
+    supported = materialise(pairs.where(F.col("texts") >= support), "supported-terms")
     terms = document_counts(documents, bitmap_of(supported, "term"))
     rows = found.count()
     share = 1 + F.log(F.least(F.lit(1.0), F.col("joint") / F.col("df"))) / F.greatest(F.log(F.lit(float(max(rows, 1))) / F.col("de")), F.lit(1e-9))
-    return supported.join(pairs, ["entity", "term"]).join(entities, "entity").join(terms, "term").where(share >= disclosure).select("entity", "term")
+    return supported.join(several, "entity").join(terms, "term").where(share >= disclosure).select("entity", "term")
 
 
-def term_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """item, terms: the spans of disclosing terms in each text that has some (equal texts are one item)."""
-    near = found.select("item", F.explode("contexts").alias("c")).select("item", "c.entity", "c.term", "c.start", "c.end")
-    spans = near.join(disclosing, ["entity", "term"]).select("item", F.struct("start", F.lit(4).alias("kind"), "end").alias("span")).distinct()
+def term_spans(documents: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """item, terms: all spans of disclosing terms in each text that has some (equal texts are one item)."""
+    terms = materialise(disclosing.select("term").distinct(), "terms")
+    passing = bitmap_of(terms, "term")
+    if not passing.any():
+        return documents.sparkSession.createDataFrame([], "item binary, terms array<struct<start:int,kind:int,end:int>>")
+    bits = len(passing)
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(passing))
+    rows = documents.select(text_or_empty().alias("text")).select(item_of(F.col("text")).alias("item"), "text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for part in row_slices(batch, "text", 2_000_000):
+                h, owner, start, end = terms_of(part.column("text"))
+                some = known[h % bits]
+                h, owner, start, end = h[some], owner[some], start[some], end[some]
+                free = np.ones(len(h), bool)
+                for i in np.unique(owner):
+                    mine = slice(*np.searchsorted(owner, [i, i + 1]))
+                    for s, _, e in base_spans(part.column("text")[int(i)].as_py()):
+                        free[mine] &= (end[mine] <= s) | (start[mine] >= e)
+                if free.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("item").cast(pa.binary()).take(pa.array(owner[free])), pa.array(h[free]), pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32))],
+                        names=["item", "term", "start", "end"],
+                    )
+
+    places = rows.mapInArrow(made, "item binary, term long, start int, end int").distinct()
+    spans = places.join(terms, "term").select("item", F.struct("start", F.lit(4).alias("kind"), "end").alias("span"))
     return spans.groupBy("item").agg(F.sort_array(F.collect_list("span")).alias("terms"))
 
 
@@ -223,12 +308,12 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(documents: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def personal_data(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Base counts and all spans for every row of ``documents(doc_id, text)``."""
-    found = materialise(found_in(documents, window), "found")
+    found = materialise(found_in(documents), "found")
     disclosing = materialise(disclosing_terms(documents, found, support, disclosure), "disclosing")
-    terms = materialise(term_spans(found, disclosing), "term-spans")
-    whole = found.drop("contexts", "row").join(terms, "item", "left")
+    terms = materialise(term_spans(documents, disclosing), "term-spans")
+    whole = found.drop("entities").join(terms, "item", "left")
     every = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return whole.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text(every).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"))
 
@@ -247,15 +332,15 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[upto:]])
 
 
-def sanitised(documents: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitised(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``documents`` with personal data replaced in ``text`` (and ``n_chars`` set to its new length, where there is one).
 
     Texts whose digest passes a bitmap of those with disclosing terms are joined with them; all others are
     rewritten where they are read.
     """
-    found = materialise(found_in(documents, window), "found")
+    found = materialise(found_in(documents), "found")
     disclosing = materialise(disclosing_terms(documents, found, support, disclosure), "disclosing")
-    terms = materialise(term_spans(found, disclosing), "term-spans")
+    terms = materialise(term_spans(documents, disclosing), "term-spans")
     digest = lambda c: F.xxhash64(c)
     passing = bitmap_of(terms.select(digest("item").alias("h")), "h")
     bits = len(passing)

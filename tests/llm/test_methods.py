@@ -160,6 +160,42 @@ def test_terms_that_reveal_an_entity(spark):
     assert all(clean[i]["text"] == t and clean[i]["n_chars"] == len(t) for i, t in texts[8:])
 
 
+def test_terms_anywhere_in_documents(spark):
+    rng = random.Random(2)
+    filler = ["paper", "market", "window", "yellow", "garden", "simple", "travel", "winter"]
+    some = lambda k: " ".join(rng.choices(filler, k=k))
+    far = [f"Größe {some(9)} Zyxwell {some(9)} paper market yellow garden z.w@mail.example.com simple travel winter window {some(20)} zyxwell {some(3)}" for _ in range(5)]
+    copies = [f"{some(4)} Copied {some(4)} c.d@mail.example.org {some(4)}"] * 6
+    rest = [f"{some(5)} Zyxwell {some(5)}", *(some(12) for _ in range(300))]
+    texts = dict(enumerate([*far, *copies, *rest]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {i: [m.span() for m in re.finditer("zyxwell|größe", t.lower())] for i, t in texts.items()}
+    for r in pii.personal_data(df).collect():
+        terms = [s.split(":") for s in r["spans"].split(",") if s.startswith("term")]
+        assert [(int(a), int(b)) for _, a, b in terms] == want[r["doc_id"]] and r["n_terms"] == len(terms)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert not any("zyxwell" in t.lower() for t in clean.values())
+    assert all("Copied" in clean[i] for i in range(5, 11))
+
+
+def test_joint_counts_against_plain_sets(spark):
+    rng = random.Random(6)
+    pool = [f"word{i}x" for i in range(30)]
+    texts = [" ".join([*rng.choices(pool, k=6), *rng.choices(["a.b@mail.example.com", "+1 (017) 555-7713", ""], k=2)]) for _ in range(60)]
+    texts += texts[:10] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = np.ones(1 << 10, bool)
+    name = {int(h): w for w, h in zip(pool, hashing.words(pa.array(pool))[0].astype(np.int64), strict=True)}
+    for copied in (every, np.isin(np.arange(1 << 10), [r["h"] % (1 << 10) for r in df.groupBy("text").count().where("count > 1").select(F.xxhash64(pii.item_of(F.col("text"))).alias("h")).collect()])):
+        got = {(r["entity"], name[r["term"]]): (r["texts"], r["joint"]) for r in pii.joint_counts(df, every, copied).collect() if r["term"] in name}
+        want = {}
+        for t in texts:
+            for e in pii.entities(t):
+                for w in set(t.split()) & set(pool):
+                    want.setdefault((e, w), []).append(t)
+        assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
 def test_pii_hashes(spark, sf, documents):
     for r in pii.op5_pii(spark, sf).collect():
         base = pii.base_spans(documents[r["doc_id"]])
