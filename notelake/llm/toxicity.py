@@ -17,8 +17,9 @@ length is scored by look-ups and a running sum. A document's score is the logist
 fitted on labelled documents that the machine fitted for it has not seen. So that stretches with a letter or a
 separator put in are known, training adds such stretches to those it finds.
 
-The fit takes a bounded sample of labelled rows: at most ``most_toxic`` and ``most_clean`` documents, chosen
-by a hash of the id, and of each what ``most_chars`` allows; scores are of whole texts. Scores see the text alone. Null and empty texts have
+The fit takes a bounded sample of labelled rows: at most ``most_toxic`` and ``most_clean`` documents in the order
+of a hash of the id, and fewer where these have more than ``most_bytes`` together. Sampled texts are whole in training
+and calibration, as all texts are in scoring. Scores see the text alone. Null and empty texts have
 no stretch and get the score of the lowest margin. Without labels of both classes every score is 0. Rows that
 repeat are scored each; an empty table gives an empty result; labels that contradict each other count as toxic.
 """
@@ -93,6 +94,16 @@ def subsequences(sym: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield number, weight
 
 
+def values(sym: np.ndarray, weights: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """What the subsequences that begin at each place weigh together, a bounded number of places at a time."""
+    out = np.zeros(len(sym), np.float32)
+    for lo in range(0, len(sym), chunk):
+        piece = out[lo : lo + chunk]
+        for number, weight in subsequences(sym[lo : lo + chunk + SPAN]):
+            piece += np.float32(weight) * weights[number[: len(piece)]]
+    return out
+
+
 def windows(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The symbols of each stretch that begins at ``at``, with those that its last subsequences reach."""
     return np.concatenate([sym, np.full(SPAN + STARTS, _END, np.uint8)])[at[:, None] + np.arange(STARTS + SPAN)]
@@ -149,11 +160,8 @@ class Model:
         if not texts:
             return out
         sym = symbols(texts)
-        value = np.zeros(len(sym), np.float32)
-        for number, weight in subsequences(sym):
-            value += np.float32(weight) * self.weights[number]
         upto = np.zeros(len(sym) + STARTS + 1)
-        np.cumsum(value, dtype=np.float64, out=upto[1 : len(sym) + 1])
+        np.cumsum(values(sym, self.weights), dtype=np.float64, out=upto[1 : len(sym) + 1])
         upto[len(sym) + 1 :] = upto[len(sym)]
         at = stretches(sym)
         if not len(at):
@@ -277,11 +285,10 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = 256,
 
 
 def _ratings(model: Model, corpus: Corpus) -> np.ndarray:
-    value = np.zeros(len(corpus.sym), np.float32)
-    for number, weight in subsequences(corpus.sym):
-        value += np.float32(weight) * model.weights[number]
-    upto = np.r_[0, np.cumsum(value, dtype=np.float64), np.zeros(STARTS)]
-    upto[len(value) + 1 :] = upto[len(value)]
+    n = len(corpus.sym)
+    upto = np.zeros(n + STARTS + 1)
+    np.cumsum(values(corpus.sym, model.weights), dtype=np.float64, out=upto[1 : n + 1])
+    upto[n + 1 :] = upto[n]
     return upto[corpus.at + STARTS] - upto[corpus.at] + model.bias
 
 
@@ -289,17 +296,36 @@ def remainder(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rest: int, most_toxic: int, most_clean: int, most_chars: int) -> list[tuple[int, str]]:
-    """(label, text) of a bounded number of labelled documents whose ids have the remainder ``rest``."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, rest: int, most_toxic: int, most_clean: int, most_bytes: int) -> list[tuple[int, str]]:
+    """(label, whole text) of a bounded number of labelled documents whose ids have the remainder ``rest``.
+
+    Of each class those that come first by hash and have its share of ``most_bytes`` together at most; one that has more alone is passed over.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(F.col("doc_id")) == rest)
-    order = F.xxhash64("doc_id")
+    order, most = F.xxhash64("doc_id"), {1: most_toxic, 0: most_clean}
     chosen = known.where("toxic = 1").orderBy(order).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(order).limit(most_clean))
-    ids = {r["doc_id"]: r["toxic"] for r in chosen.collect()}  # at most most_toxic + most_clean
+    ids = [(r["doc_id"], r["toxic"], r["place"]) for r in chosen.withColumn("place", order).collect()]  # at most most_toxic + most_clean
     if not ids:
         return []
-    few = documents.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
-    rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "toxic", F.substring("text", 1, most_chars).alias("text"))
-    return [(r["toxic"], r["text"]) for r in sorted(rows.limit(2 * (most_toxic + most_clean)).collect())]
+    spark = documents.sparkSession
+    few = spark.createDataFrame(ids, "doc_id long, toxic int, place long")
+    rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    size = F.sum(F.octet_length("text").cast("long") + 100)  # rows that repeat an id are all taken
+    sizes = {r["doc_id"]: r["bytes"] for r in rows.groupBy("doc_id").agg(size.alias("bytes")).collect()}
+    kept = []
+    for label, n in ((1, most_toxic), (0, most_clean)):
+        left = most_bytes * n // (most_toxic + most_clean)
+        mine = [doc_id for doc_id, toxic, _ in sorted(ids, key=lambda x: x[2]) if toxic == label and 0 < sizes.get(doc_id, 0) <= left]
+        for doc_id in mine:
+            left -= sizes[doc_id]
+            if left < 0:
+                break
+            kept.append((doc_id, label))
+    if not kept:
+        return []
+    chosen = F.broadcast(spark.createDataFrame(kept, "doc_id long, toxic int"))
+    taken = documents.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    return [(r["toxic"], r["text"]) for r in sorted(taken.collect())]
 
 
 def fit_texts(parts: list[list[tuple[int, str]]]) -> Model:
@@ -320,9 +346,9 @@ def fit_texts(parts: list[list[tuple[int, str]]]) -> Model:
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 600, most_clean: int = 1_200, most_chars: int = 10_000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 1_600, most_bytes: int = 12_000_000) -> Model:
     """A model from a sample of labelled documents with remainders 0 and 2, bounded for each; those with 1 are held out."""
-    return fit_texts([labelled_sample(documents, labels, rest, most_toxic, most_clean, most_chars) for rest in (0, 2)])
+    return fit_texts([labelled_sample(documents, labels, rest, most_toxic, most_clean, most_bytes) for rest in (0, 2)])
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

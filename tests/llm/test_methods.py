@@ -316,6 +316,26 @@ def test_disturbed_insults_stay_similar():
     assert scores[3] > 5 * scores[4]  # four letters of a word spelt out are all that a stretch sees
 
 
+def test_toxicity_is_learnt_from_whole_texts(spark):
+    rng = random.Random(3)
+    words = ["garden", "window", "paper", "travel", "winter", "simple", "yellow", "market", "people", "number"]
+    clean = [" ".join(rng.choices(words, k=rng.choice([30, 2000]))) for _ in range(150)]
+    toxic = [" ".join([*rng.choices(words, k=1900), rng.choice(["blockhead", "numskull"]), *rng.choices(words, k=12)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*clean, *toxic])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(210)], "doc_id long, toxic int")
+    scores = toxicity.fit(docs, labels).scores(["paper blockhead paper", "paper window travel", clean[0], toxic[0]])
+    assert scores[0] > 0.7 and scores[3] > 0.7 and max(scores[1:3]) < 0.1
+    few = toxicity.labelled_sample(docs, labels, 0, 30, 60, 300_000)
+    assert few and {y for y, _ in few} == {0, 1} and sum(len(t) for _, t in few) <= 300_000
+    assert all(t in (toxic if y else clean) for y, t in few)
+
+
+def test_values_in_pieces():
+    sym = toxicity.symbols(["paper window travel " * 30, "", "x", "numskull"])
+    weights = np.random.default_rng(0).random(32**toxicity.ORDER).astype(np.float32)
+    assert all((toxicity.values(sym, weights, chunk) == toxicity.values(sym, weights)).all() for chunk in (1, 3, 64))
+
+
 def test_pipeline_against_brute_force(spark, sf):
     """Each stage's rows from those of the stage before it, by plain Python and, for the mixture, by SQL."""
     import duckdb
