@@ -6,21 +6,26 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Rows that Spark hands to Python at once. Texts and sets of their parts are long: by default a batch could fill a worker.
-ROWS_PER_BATCH = 500
+#: Rows, and bytes, that Spark hands to Python at once. Texts and sets of their parts are long: by default a batch could fill a worker.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From here on the session hands rows to Python in batches of ``ROWS_PER_BATCH`` at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """From here on the session hands rows to Python in small batches, unless it has smaller ones set.
+
+    Queries are lazy, so the setting must outlast the call that builds them: it stays for the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a value with a unit is the caller's own
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +72,39 @@ def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000)
         yield batch.slice(start)
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names: a dot in a name is no path."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+#: Bits of the bitmaps that tell tasks which rows may matter. What passes one by chance is dropped by a join.
+BITS = 1 << 22
+
+
+def bitmap_of(numbers: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """Which remainders modulo ``bits`` the column's numbers have: a bitmap of fixed size, gathered in pieces of 4 KB."""
+    place = F.pmod(F.col(column), F.lit(bits))
+    pieces = numbers.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m")).collect()
+    out = np.zeros(bits, bool)
+    for piece in pieces:
+        m = np.unpackbits(np.frombuffer(piece["m"], np.uint8), bitorder="little")
+        at = (piece["b"] - 1) * len(m)
+        out[at : at + len(m)] = m[: bits - at]
+    return out
+
+
+def rare_prefixes(spread: DataFrame, key: str, element: str, least: float) -> DataFrame:
+    """Of ``spread(key, n, element, ...)``, a row for each element of a set of n, those rows that an exact join must look at.
+
+    Sets of Jaccard similarity ``least`` share one of the first n - ceil(least * n) + 1 elements of each in order of
+    rarity. Elements of one set alone come first and are counted, not joined.
+    """
+    counts = materialise(spread.groupBy(element).agg(F.count("*").alias("_df")).where("_df > 1"), "rarity")
+    singles = F.col("n") - F.count("*").over(Window.partitionBy(key))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_df", element)) + singles
+    ranked = spread.join(counts, element).withColumn("_nth", nth)
+    return ranked.where(F.col("_nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).drop("_df", "_nth")
+
+
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

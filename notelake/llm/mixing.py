@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, table
+from notelake.llm.common import materialise, quoted, table
 
 LEVELS = ("_domain", "_lang", "_source")
 DOMAIN_NAMES = ("web", "news", "books", "forums")
@@ -132,7 +132,7 @@ def counted(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
 def mix(documents: DataFrame, seed: int = SEED, **budget) -> DataFrame:
     """The mixture itself: the rows of ``documents``, each as often as its leaf's budget takes it."""
     leaves = materialise(mixture(documents, seed=seed, **budget), "mixture")
-    whole = with_leaf(documents.select(F.struct(*documents.columns).alias("_whole"), "doc_id", "text", "lang", "source"))
+    whole = with_leaf(documents.select(F.struct(*quoted(documents.columns)).alias("_whole"), "doc_id", "text", "lang", "source"))
     taken = counted(whole.select("_whole", "doc_id", *LEVELS), leaves, seed).where("_copies > 0")
     return taken.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_whole.*")
 

@@ -1,29 +1,32 @@
 """Near-duplicates by DartMinHash signatures, a banded join and exact verification.
 
-A text is the set (or, with ``weights="count"``, the weighted set) of its runs of ``width`` words. Every
-element has a region, as wide as its weight, at which darts are thrown: a Poisson process whose darts have a
-rank and a hash. Of all darts in a text's regions each coordinate of the signature keeps the one of least
-rank. Two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity. A text with
+A text is the weighted set of its runs of ``width`` words: a run's weight is how often the text has it (or one, with
+``weights="set"``). Every element has a region, as wide as its weight, at which darts are thrown: a Poisson process whose
+darts have a rank and a hash. Of all darts in a text's regions each coordinate of the signature keeps the one of least
+rank. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity. A text with
 many elements meets enough darts at low ranks and few elements have one there, so that a signature costs
 little more than the hashes of the text's elements.
 
-Links are pairs of different texts of similarity ``least`` or more, found like this:
+Links are pairs of different texts of weighted similarity ``least`` or more, found like this:
 
 1. Texts that are equal are one item; what follows goes by the text's digest.
 2. Bands of ``rows`` coordinates are buckets. The items of a bucket are compared with its least item, not
    with each other, so that a group of copies gives one pair for each item.
 3. Pairs are verified on the whole sets. Verified links join items into classes.
-4. What a bucket still holds in different classes is compared in full, across classes only: small buckets by
-   pairs, large ones by pairs of blocks of bounded size, each one product of matrices. After that, no pair that shares a bucket and is similar enough is in two classes. Two texts of similarity
-   0.8 share no bucket with a probability of 3 in 100,000 (20 bands of 4).
+4. What a bucket still holds in different classes is looked at again, across classes only: buckets of ``SMALL`` items by
+   pairs; all items of larger ones by their rarest elements, one of which two sets must share to be similar enough (the
+   prefix filter of exact set joins). After that, no pair that shares a bucket and is similar enough is in two
+   classes. Two texts of similarity 0.8 share no bucket with a probability of 3 in 100,000 (20 bands of 4).
 
 Buckets and classes are found by aggregation and equi-joins; a bucket that holds a third of all items is
 pre-aggregated before its shuffle and split by the adaptive join after it. The links' components are found by
 alternating stars, each round written to the shared folder.
 
 A null text is no copy of anything. Empty texts, and texts without words, have no elements and are copies of
-equal texts alone. A text of fewer than ``width`` words is one element. Rows may repeat and ids may be null:
-classes are of texts, and each row gets its text's class. An empty table gives an empty result.
+equal texts alone. A text of fewer than ``width`` words is one element. Very long texts are sets like others, whole, in slices of
+few texts. Of texts that tie for a place the least id counts, then the least digest of the row. Rows may repeat and ids may be
+null: classes are of texts, and each row gets its text's class. An empty table gives an empty result. Other columns,
+whatever they are called, are ignored by ``near_duplicate_classes`` and kept by ``without_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, row_slices, table
+from notelake.llm.common import bitmap_of, materialise, quoted, rare_prefixes, row_slices, table
 from notelake.llm.hashing import by_text, mixed, shingles, uniform
 
 BANDS, ROWS, WIDTH, LEAST = 20, 4, 5, 0.8
-#: Open buckets of more items than SMALL are compared by blocks of about BLOCK items.
-SMALL, BLOCK = 32, 256
+#: Open buckets of more items than SMALL are compared by their items' rarest elements.
+SMALL = 32
 _ITEM = "item binary, id long, n long, bands array<long>"
 #: Stands for a null id; larger than any other.
 _NO_ID = 2**63 - 1
@@ -121,7 +124,7 @@ def with_item(documents: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame, width: int, weights: str, bands: int, rows: int) -> DataFrame:
-    """item, n (distinct elements), bands (a hash for each band) of every different text that has elements."""
+    """item, n (the set's whole weight), bands (a hash for each band) of every different text that has elements."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("item", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -132,7 +135,7 @@ def signatures(documents: DataFrame, width: int, weights: str, bands: int, rows:
                 if not len(h):
                     continue
                 sig = dart_minhash(h, w, owner, len(texts), bands * rows)
-                n = np.bincount(owner, minlength=len(texts))
+                n = np.bincount(owner, weights=w, minlength=len(texts)).astype(np.int64)
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(texts), bands)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 for j in range(rows):
                     key = mixed(key ^ sig[:, j * bands : (j + 1) * bands], j)
@@ -186,44 +189,6 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ea", "eb").mapInArrow(kept, "a binary, b binary")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """How many elements each set of ``left`` shares with each of ``right``."""
-    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
-    values = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
-    both = np.intersect1d(*values)
-    out = np.zeros((len(left), len(right)), np.float32)
-    at = [np.searchsorted(both, v) for v in values]
-    found = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for a, v in zip(at, values, strict=True)]
-    for lo in range(0, len(both), columns):
-        sides = []
-        for k, n in enumerate((len(left), len(right))):
-            some = found[k] & (at[k] >= lo) & (at[k] < lo + columns)
-            m = np.zeros((n, min(columns, len(both) - lo)), np.float32)
-            m[of[k][some], at[k][some] - lo] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-    return out
-
-
-def links_of_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Of a pair of blocks (or a block with itself) a link a < b for each two classes between which there is one."""
-    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-    x, y = rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
-    if not len(x) or not len(y):
-        return pd.DataFrame({"a": [], "b": []})
-    sets_x, sets_y = list(map(np.asarray, x["elements"])), list(map(np.asarray, y["elements"]))
-    common = overlaps(sets_x, sets_y)
-    sim = common / (np.array([len(s) for s in sets_x])[:, None] + np.array([len(s) for s in sets_y])[None, :] - common)
-    hit = np.argwhere(sim >= least - 1e-7)
-    out, seen = [], set()
-    for p, q in hit:
-        classes = frozenset((x["root"][p], y["root"][q]))
-        if len(classes) == 2 and classes not in seen and jaccard(sets_x[p], sets_y[q]) >= least:
-            seen.add(classes)
-            out.append(sorted((x["item"][p], y["item"][q])))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """item, root for every item in ``links(a, b)``: the least item of its connected component."""
     edges = materialise(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "links")
@@ -243,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("item"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("item"), F.col("u").alias("root")).distinct())
 
 
-def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = LEAST, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = LEAST, weights: str = "count", bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """item, root for every text that has a near-duplicate (other than equal texts)."""
     items = materialise(signatures(documents, width, weights, bands, rows), "signatures")
     placed = items.select("item", "id", "n", F.explode("bands").alias("bucket"))
@@ -251,7 +216,7 @@ def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = L
     shared = placed.groupBy("bucket").agg(F.min(F.struct("item", "n")).alias("head"), F.count("*").alias("items")).where("items > 1").select("bucket", F.col("head.item").alias("a"), F.col("head.n").alias("na"))
     shared = materialise(shared, "heads")
     members = materialise(placed.join(shared, "bucket"), "buckets")
-    close = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) if weights == "set" else F.lit(True)  # noqa: E731  sizes alone rule out the rest
+    close = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)  # noqa: E731  sizes alone rule out the rest
     pairs = members.where(F.col("a") < F.col("item")).where(close(F.col("n"), F.col("na"))).select("a", F.col("item").alias("b")).distinct()
     candidates = members.select("item", "id").distinct()
     sets = materialise(element_sets(documents, candidates, width, weights), "sets")
@@ -261,15 +226,18 @@ def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = L
     known = materialise(members.join(classes, "item", "left").select("bucket", "item", "n", F.coalesce("root", "item").alias("root")), "known")
     open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("items")).where("lo < hi").select("bucket", "items")
     open_ = materialise(known.join(materialise(open_, "open-buckets"), "bucket"), "open")
-    few = open_.where(F.col("items") <= SMALL)
+    few = open_.where(F.col("items") <= small)
     x, y = (few.select("bucket", F.col("item").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
-    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    second = verified(across.join(pairs, ["a", "b"], "left_anti"), sets, least)
-    blocks = F.ceil(F.col("items") / BLOCK).cast("int")
-    many = open_.where(F.col("items") > SMALL).withColumn("own", F.pmod(F.xxhash64("item", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", "root").join(sets, "item")
-    third = many.groupBy("bucket", "i", "j").applyInPandas(lambda rows: links_of_blocks(rows, least), "a binary, b binary")
-    more = materialise(second.unionByName(third), "more-links")
+    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b")
+    many = open_.where(F.col("items") > small).select("item", "n", "root").distinct()
+    spread = materialise(many.join(sets, "item").select("item", "n", "root", F.explode("elements").alias("element")), "open-elements")
+    rare = materialise(rare_prefixes(spread, "item", "element", least), "rare-elements")
+    telling = materialise(rare.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element"), "telling")
+    rare = materialise(rare.join(telling, "element"), "rare-across")
+    x, y = (rare.select("element", F.col("item").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
+    rarely = x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b")
+    second = materialise(across.unionByName(rarely).distinct(), "second-pairs").join(pairs, ["a", "b"], "left_anti")
+    more = materialise(verified(second, sets, least), "more-links")
     if not more.limit(1).count():
         return classes
     stars = classes.where("item != root").select(F.col("item").alias("a"), F.col("root").alias("b"))
@@ -303,11 +271,25 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame, **how) -> DataFrame:
-    """``documents`` with one row of each class: that of the least id, and of rows that repeat it the first."""
-    kept = with_classes(documents, **how).where("_kept").where("_item is not null").select("_item", F.col("doc_id").alias("_id"))
-    rows = documents.select(F.struct(*documents.columns).alias("_whole"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_item"))
-    nothing = rows.where("_item is null")
-    joined = rows.where("_item is not null").join(kept, (rows["_item"] == kept["_item"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    again = Window.partitionBy("_item", "doc_id").orderBy(F.lit(1))
-    once = joined.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
-    return once.unionByName(nothing).select("_whole.*")
+    """``documents`` with one row of each class: that of the least id, and of rows that repeat it the one of least hash.
+
+    Rows whose text passes a bitmap of the texts of larger classes are joined and aggregated (before the shuffle as well);
+    all others are kept where they are read.
+    """
+    classed = materialise(with_classes(documents, **how), "classed")
+    contested = classed.where("_item is not null and _size > 1")
+    kept = materialise(contested.where("_kept").select("_item", F.coalesce("_class", F.lit(_NO_ID)).alias("_id")), "kept")
+    passing = bitmap_of(contested.select(F.xxhash64("_item").alias("h")), "h")
+    bits, shared = len(passing), documents.sparkSession.sparkContext.broadcast(np.packbits(passing))
+
+    @F.pandas_udf("boolean")
+    def may_have(h: pd.Series) -> pd.Series:
+        return pd.Series(np.unpackbits(shared.value).astype(bool)[h.to_numpy() % bits])
+
+    rows = documents.select(F.struct(*quoted(documents.columns)).alias("_whole"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_item"))
+    rows = rows.withColumn("_may", F.coalesce(may_have(F.xxhash64("_item")), F.lit(False)) & F.col("_item").isNotNull())
+    # What passes the bitmap by chance is of a class of its own: only rows of contested texts are dropped.
+    others = materialise(contested.select("_item").distinct(), "contested")
+    single = rows.where("_may").join(others, "_item", "left_anti")
+    one = rows.where("_may").join(kept, ["_item", "_id"], "left_semi").groupBy("_item", "_id").agg(F.min_by("_whole", F.xxhash64("_whole")).alias("_whole"))
+    return rows.where("not _may").select("_whole").unionByName(single.select("_whole")).unionByName(one.select("_whole")).select("_whole.*")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, row_slices, table, text_or_empty
+from notelake.llm.common import bitmap_of, materialise, row_slices, table, text_or_empty
 from notelake.llm.hashing import by_text, text_bytes, words
 from notelake.llm.spotsigs import COMMON
 
@@ -38,7 +38,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Pairs of entity and term that a task sums at once.
 PAIRS = 500_000
-BITS = 1 << 22
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -155,18 +154,6 @@ def found_in(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(made, _BASE)
 
 
-def bitmap_of(numbers: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """Which remainders modulo ``bits`` the column's numbers have: a bitmap of fixed size, gathered in pieces of 4 KB."""
-    place = F.pmod(F.col(column), F.lit(bits))
-    pieces = numbers.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m")).collect()
-    out = np.zeros(bits, bool)
-    for piece in pieces:
-        m = np.unpackbits(np.frombuffer(piece["m"], np.uint8), bitorder="little")
-        at = (piece["b"] - 1) * len(m)
-        out[at : at + len(m)] = m[: bits - at]
-    return out
-
-
 def document_counts(documents: DataFrame, passing: np.ndarray) -> DataFrame:
     """term, df: in how many documents each term that passes the bitmap occurs."""
     bits = len(passing)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, row_slices, table, text_or_empty
+from notelake.llm.common import materialise, rare_prefixes, row_slices, table, text_or_empty
 from notelake.llm.hashing import by_text, mixed, words
 
 COMMON = (
@@ -108,11 +108,7 @@ def near_pairs(fingerprinted: DataFrame, least: float = 0.8) -> DataFrame:
     # Lengths l and m of similar sets have l >= least * m, so their logarithms to 1 / least differ by at most 1.
     part = F.floor(F.log(F.size("signatures").cast("double")) / math.log(1 / least) + 1e-9).cast("long")
     spread = materialise(sets.select("fingerprint", F.size("signatures").alias("n"), part.alias("part"), F.explode("signatures").alias("sig")), "spread")
-    rarity = materialise(spread.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "rarity")
-    ranked = spread.join(rarity, "sig").withColumn("singles", F.col("n") - F.count("*").over(Window.partitionBy("fingerprint")))
-    nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("df", "sig")) + F.col("singles")
-    # Similar sets share one of the first n - ceil(least * n) + 1 signatures in order of rarity.
-    prefix = materialise(ranked.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("fingerprint", "n", "part", "sig"), "prefix")
+    prefix = materialise(rare_prefixes(spread, "fingerprint", "sig", least).select("fingerprint", "n", "part", "sig"), "prefix")
     left = prefix.select(F.col("fingerprint").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
     right = prefix.select(F.col("fingerprint").alias("b"), F.col("n").alias("nb"), "part", "sig")
     fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")
