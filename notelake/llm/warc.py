@@ -9,11 +9,19 @@ for each segment of a file, of ``segment_bytes`` or one record, and segments are
 identifier, the chunk's number, and the SHA-1 and length of all payload up to the chunk's end. A payload is
 read, digested and handed on chunk by chunk; no record is held whole. The last chunk has the full digest.
 
-Files are reached through ``pyarrow.fs``, by the address of the shared folder (file, hdfs, s3, gs).
+Files are reached through ``pyarrow.fs``, by the address of the shared folder (file, hdfs, s3, gs). Batches on their way to
+a file are bounded by bytes (``BYTES_PER_BATCH``) as well as rows.
+
+Payloads stay where they are read, but for what is written twice: bitmaps of fixed size tell tasks which digests are
+shared and which rows hold their response. Only those rows are joined, the others among them without their payload.
+
+Record identifiers are unique, whatever ids repeat: (record_id, chunk_no) is a key. A revisit names the page of its
+response in X-Refers-To-Page, and the digest that both have.
 
 Null payloads count as empty. A page without an id is written and never referred to. Rows that repeat an id
-and payload are responses together if they hold the largest id. An empty table gives an empty archive.
-Columns of the input other than page_id, url, html are ignored.
+and payload are responses together if they hold the largest id; so are pages that tie for it. Very long payloads are
+written and read in chunks. An empty table gives an empty archive. Columns of the input other than page_id, url, html are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,12 +29,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, shared_folder, table
+from notelake.llm.common import bitmap_of, materialise, shared_folder, table
 
 #: Shorter payloads are written again rather than referred to.
 LEAST_SHARED = 1000
@@ -61,21 +71,38 @@ def record_head(record_id: str, page_id: int | None, url: str | None, kind: str,
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {block}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
 def with_record_types(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """page_id, url, payload, digest, record_type, refers_to: the largest page_id of equal payloads is the response."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    sized = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= least_shared)
-    heads = sized.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """page_id, url, payload (null for a revisit), size, digest, record_type, refers_to: the largest page_id of equal payloads is the response."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", html.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
+    sized = pages.select("page_id", html.alias("payload")).where(F.octet_length("payload") >= least_shared)
+    heads = sized.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").drop("n")
     heads = materialise(heads, "warc-heads")  # a join of two shuffles is split where a digest is frequent
+    shared_digests, responses = bitmap_of(heads.select(F.xxhash64("digest").alias("h")), "h"), bitmap_of(heads.select(F.xxhash64("digest", "head").alias("h")), "h")
+    bits = len(responses)
+    known = pages.sparkSession.sparkContext.broadcast((np.packbits(shared_digests), np.packbits(responses)))
+
+    @F.pandas_udf("struct<shared: boolean, response: boolean>")
+    def may_be(of_digest: pd.Series, of_row: pd.Series) -> pd.DataFrame:
+        both = [np.unpackbits(x).astype(bool) for x in known.value]
+        return pd.DataFrame({"shared": both[0][of_digest.to_numpy() % bits], "response": both[1][of_row.to_numpy() % bits]})
+
+    rows = rows.withColumn("may", may_be(F.xxhash64("digest"), F.xxhash64("digest", "page_id")))
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return rows.join(heads, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("head")).alias("refers_to")
-    )
+    kind = F.when(again, "revisit").otherwise("response").alias("record_type")
+    columns = ["page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", kind, F.when(again, F.col("head")).alias("refers_to")]
+    alone = rows.where("not may.shared").withColumn("head", F.lit(None).cast("long")).select(*columns)
+    # A row that is no response of a shared digest needs no payload, unless its digest passed the bitmap by chance.
+    candidates = rows.where("may.shared")
+    light = candidates.where("not may.response").drop("payload").join(heads, "digest").withColumn("payload", F.lit(None).cast("binary")).select(*columns)
+    full = candidates.where("may.response").join(heads, "digest", "left").select(*columns)
+    chance = candidates.where("not may.response").join(heads, "digest", "left_anti").withColumn("head", F.lit(None).cast("long")).select(*columns)
+    return alone.unionByName(light).unionByName(full).unionByName(chance)
 
 
 def write_archives(records: DataFrame, folder: str, segment_bytes: int = 8 << 20) -> DataFrame:
@@ -90,15 +117,13 @@ def write_archives(records: DataFrame, folder: str, segment_bytes: int = 8 << 20
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(path, buffer_size=1 << 20)
             payloads = batch.column("payload")
-            for i, (page_id, url, digest, kind, refers_to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "record_type", "refers_to")), strict=True)):
-                payload = payloads[i].as_buffer()
-                record_id = f"urn:page:{page_id}" if page_id is not None else f"urn:row:{task.partitionId()}:{total}"
-                head = record_head(record_id, page_id, url, kind, refers_to, digest, payload.size)
+            for i, (page_id, url, size, digest, kind, refers_to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "size", "digest", "record_type", "refers_to")), strict=True)):
+                head = record_head(f"urn:record:{task.partitionId()}:{task.taskAttemptId()}:{total}", page_id, url, kind, refers_to, digest, size)
                 out.write(head)
                 if kind == "response":
-                    out.write(payload)
+                    out.write(payloads[i].as_buffer())
                 out.write(b"\r\n\r\n")
-                at += len(head) + (payload.size if kind == "response" else 0) + 4
+                at += len(head) + (size if kind == "response" else 0) + 4
                 nth += 1
                 total += 1
                 if at - start >= segment_bytes:
@@ -133,7 +158,7 @@ def record_chunks(stream, chunk_bytes: int, with_data: bool) -> Iterator[tuple]:
     url = line_value(head["warc-target-uri"]) if "warc-target-uri" in head else None
     same = (page_id, head["warc-record-id"].strip("<>"), url, head["warc-type"])
     if head["warc-type"] == "revisit":
-        yield (*same, int(head["warc-refers-to"].strip("<>").rpartition(":")[2]), 0, 0, int(http["content-length"]), head["warc-payload-digest"].partition(":")[2], True, b"" if with_data else None)
+        yield (*same, int(head["x-refers-to-page"]), 0, 0, int(http["content-length"]), head["warc-payload-digest"].partition(":")[2], True, b"" if with_data else None)
     else:
         digest, nth, upto = hashlib.sha1(usedforsecurity=False), 0, 0
         while left or not nth:
