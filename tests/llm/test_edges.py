@@ -158,13 +158,20 @@ def test_warc(spark):
         whole.setdefault(r["record_id"], []).append(r)
     import hashlib
 
-    texts = {r[0]: r[2] or "" for r in rows}
+    # A record identifier and a chunk number are a key: all records come together again from their chunks.
+    assert len(whole) == len(rows)
+    written = []
     for parts in whole.values():
         last = parts[-1]
-        if last["record_type"] == "response" and len({p["chunk_no"] for p in parts}) == len(parts):
+        assert [p["chunk_no"] for p in parts] == list(range(len(parts))) and [p["last"] for p in parts] == [False] * (len(parts) - 1) + [True]
+        if last["record_type"] == "response":
             data = b"".join(bytes(p["data"]) for p in parts)
-            assert data == texts[last["page_id"]].encode()
-            assert hashlib.sha1(data).hexdigest() == last["payload_digest"] and len(data) == last["payload_bytes"]
+            upto = b""
+            for p in parts:
+                upto += bytes(p["data"])
+                assert hashlib.sha1(upto).hexdigest() == p["payload_digest"] and len(upto) == p["payload_bytes"]
+            written.append((last["page_id"], last["url"], data.decode()))
+    assert sorted(written, key=str) == sorted([(i, u, t or "") for i, u, t in rows if t != same or i == 2], key=str)
     last = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in chunks if r["last"]]
     assert sorted(last, key=str) == sorted([(1, "revisit", 2, 2003), (2, "response", None, 2003), (2, "response", None, 2003), (3, "response", None, 0), (4, "response", None, 0), (None, "revisit", 2, 2003), (5, "response", None, 5), (6, "response", None, 5), (7, "response", None, 17 * 60_000)], key=str)
     assert {r["url"] for r in chunks if r["page_id"] == 1} == {"http://a/\r\nX: y"}

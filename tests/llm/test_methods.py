@@ -94,19 +94,60 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
-def test_blocks_find_the_links_of_pairs():
-    import pandas as pd
+@pytest.mark.parametrize("small", [32, 0])
+def test_near_duplicates_of_the_tables_against_all_pairs(spark, small):
+    """Every pair of weighted similarity 0.8 of sf0.01 is in one class and no other is: recall 1, by pairs and by rarest elements."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(docs, small=small).collect()}
+    want = weighted_classes(texts)
+    assert got == want
+    assert len({t for i, t in texts.items() if want[i] != i}) > 5
+
+
+def weighted_classes(texts, least=0.8):
+    """doc_id: the least id of its class, by weighted Jaccard similarity of runs of five words between all pairs that share one."""
+    from collections import Counter
+
+    bags, holders, root = {}, {}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 10**9, 60)
-    rows = []
-    for k in range(40):
-        s = base.copy()
-        s[rng.choice(60, rng.integers(0, 14), replace=False)] = rng.integers(10**9, 2 * 10**9)
-        rows.append({"i": 0, "j": 1, "own": k % 2, "item": bytes([k]), "root": bytes([k]), "elements": np.unique(s)})
-    df = pd.DataFrame(rows)
-    want = {tuple(sorted((x["item"], y["item"]))) for x in rows for y in rows if x["own"] == 0 and y["own"] == 1 and near_dedup.jaccard(x["elements"], y["elements"]) >= 0.8}
-    assert set(map(tuple, near_dedup.links_of_blocks(df, 0.8).itertuples(index=False))) == want
+    def join(i, j):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+
+    first = {}
+    for i, t in texts.items():
+        if t in first:
+            join(i, first[t])
+            continue
+        first[t] = i
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        for j in {j for x in bags[i] for j in holders.get(x, ())}:
+            low = sum((bags[i] & bags[j]).values())
+            if low / (sum(bags[i].values()) + sum(bags[j].values()) - low) >= least:
+                join(i, j)
+        for x in bags[i]:
+            holders.setdefault(x, []).append(i)
+    return {i: find(i) for i in texts}
+
+
+def test_repeated_runs_weigh(spark):
+    """Texts whose sets of runs are near and whose weighted sets are not, and the other way round."""
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    a, line = [word() for _ in range(100)], [word() for _ in range(30)]
+    texts = [" ".join(a), " ".join(a + a + a), " ".join(line * 20 + [word() for _ in range(60)]), " ".join(line * 20 + [word() for _ in range(60)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(df).collect()}
+    plain = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(df, weights="set").collect()}
+    assert count == weighted_classes(dict(enumerate(texts))) == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert plain == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
 def test_components(spark):
@@ -266,18 +307,82 @@ def test_packing_limits():
         assert sorted(x for d, s, k, _, _ in out if d == i for x in range(s, s + k)) == list(range(n))
 
 
-def test_sharding_balance_and_copies(spark):
-    rng = random.Random(4)
-    rows = [(i, "hot text " * 20 if i % 3 == 0 else " ".join(str(rng.random()) for _ in range(rng.randrange(1, 60)))) for i in range(6000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    got = sharding.shard_documents(df, 24, rows_per_block=1000).collect()
-    size = {}
+def spreads(rows, shards=24):
+    """The largest less the smallest of bytes, tokens and rows of a shard, as a part of the mean."""
+    sums = np.zeros((shards, 3))
+    for shard, size, tokens in rows:
+        sums[shard] += (size, tokens, 1)
+    return (sums.max(axis=0) - sums.min(axis=0)) / sums.mean(axis=0)
+
+
+def shards_of(spark, rows, **how):
+    """(doc_id: text) as (doc_id, shard) and checked for sizes, hashes and slots; with the spreads."""
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(7)
+    got = sharding.shard_documents(df, 24, **how).collect()
+    slots = {}
     for r in got:
-        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
-    assert (max(size.values()) - min(size.values())) / (sum(size.values()) / 24) < 0.03
-    for r in got[:50]:
-        text = dict(rows)[r["doc_id"]]
-        assert r["size"] == len(text) + 8 and r["text_crc32"] == zlib.crc32(text.encode())
+        text = (rows[r["doc_id"]] or "").encode()
+        assert r["size"] == len(text) + 8 and r["text_crc32"] == zlib.crc32(text)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    return {r["doc_id"]: r["shard"] for r in got}, spreads((r["shard"], r["size"], (rows[r["doc_id"]] or "").count(" ") + 1) for r in got)
+
+
+@pytest.mark.parametrize("small", [1024, 4])
+def test_sharding_balances_and_keeps_groups_whole(spark, small):
+    """Large groups placed in one pass, and (small=4) nearly all in blocks; a hot group alone is split."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.random()) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    rows = {}
+    for t in texts:
+        for _ in range(rng.choice([1, 1, 1, 2, 5])):
+            rows[len(rows)] = t
+    for _ in range(len(rows) // 2):
+        rows[len(rows)] = "hot text " * 20
+    shard, spread = shards_of(spark, rows, small=small, groups_per_block=300)
+    # One group in 300 is several hundredths of a block's share: blocks of that size can't be as even as one pass.
+    assert (spread < ([0.03, 0.07, 0.03] if small == 1024 else [0.12, 0.08, 0.08])).all(), spread
+    where = {}
+    for i, t in rows.items():
+        where.setdefault(t, set()).add(shard[i])
+    assert len(where.pop("hot text " * 20)) == 24
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_sharding_against_a_plain_placement(spark, documents):
+    """All groups of the smallest table are large: one greedy pass, written down plainly here, gives their shards.
+
+    Of each text two rows at most and no very long ones: then no group is dealt out in pieces.
+    """
+    seen = []
+    documents = {i: t for i, t in documents.items() if len(t) < 4000 and seen.append(t) is None and seen.count(t) <= 2}
+    shard, _ = shards_of(spark, documents)
+    groups = {}
+    for i, t in documents.items():
+        groups.setdefault(t or "", []).append(i)
+    sizes = {t: (len(ids) * (len(t.encode()) + 8), len(ids) * (t.count(" ") + 1), len(ids)) for t, ids in groups.items()}
+    share = [sum(s[k] for s in sizes.values()) / 24 for k in range(3)]
+    left = [[1.0, 1.0, 1.0] for _ in range(24)]
+    hashes = dict(spark.createDataFrame([(t,) for t in groups], "t string").select("t", F.xxhash64("t")).collect())
+    order = sorted(groups, key=lambda t: hashes[t])
+    order.sort(key=lambda t: -max(x / y for x, y in zip(sizes[t], share, strict=True)))
+    for t in order:
+        item = [x / y for x, y in zip(sizes[t], share, strict=True)]
+        assert max(item) <= 0.5
+        dots = [2 * item[0] * r[0] + item[1] * r[1] + item[2] * r[2] for r in left]
+        best = max(range(24), key=lambda s: (round(dots[s], 12), -s))
+        left[best] = [a - b for a, b in zip(left[best], item, strict=True)]
+        assert {shard[i] for i in groups[t]} == {best}
+
+
+def test_sharding_of_the_tables(spark):
+    """The query over sf0.01: bytes, tokens and rows of shards within a few hundredths."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    got = sharding.op8_sharding(spark, sf).collect()
+    assert (spreads((r["shard"], r["size"], texts[r["doc_id"]].count(" ") + 1) for r in got) < [0.06, 0.06, 0.12]).all()
+    assert {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got) and len(got) == len(texts)
 
 
 def test_multi_index_search_is_exact():
@@ -295,44 +400,90 @@ def test_multi_index_search_is_exact():
 
 
 def test_toxicity_on_held_out_documents(spark):
-    docs = table(spark, "/root/testdata/sf0.1", "documents")
-    labels = table(spark, "/root/testdata/sf0.1", "labels")
-    model = toxicity.fit(docs, labels)
-    rows = docs.join(labels, "doc_id").where("lang = 'en'").where(toxicity.remainder(F.col("doc_id")) == 1).select("toxic", "text").collect()
-    scores = model.scores([r["text"] for r in rows])
-    toxic = np.array([r["toxic"] for r in rows]) == 1
-    assert (scores[toxic] >= 0.7).mean() > 0.75
-    assert (scores[~toxic] >= 0.7).mean() < 0.01
+    """Through the query itself, over every language: 0.85 of what is labelled toxic, at most 0.015 of what is labelled clean."""
+    sf = "/root/testdata/sf0.1"
+    scores = {r["doc_id"]: r for r in toxicity.op4_toxicity(spark, sf).collect()}
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for i, r in scores.items())
+    held = [(r["lang"], r["toxic"], scores[r["doc_id"]]["predicted"]) for r in rows if scores[r["doc_id"]]["held_out"]]
+    marked = lambda k, *langs: np.mean([p for lang, t, p in held if t == k and (not langs or lang in langs)])
+    assert marked(1) > 0.85 and marked(0) < 0.015
+    assert marked(1, "fr", "de", "es") > 0.8
+
 
+def small_words(rng, n):
+    return " ".join(rng.choices(["garden", "window", "paper", "travel", "winter", "simple", "yellow", "market", "people", "number"], k=n))
 
-def test_disturbed_insults_stay_similar():
+
+def test_disturbed_insults_are_recognised(spark):
     rng = random.Random(0)
-    words = ["garden", "window", "paper", "travel", "winter", "simple", "yellow", "market", "people", "number"]
-    clean = [" ".join(rng.choices(words, k=30)) for _ in range(200)]
-    toxic = [" ".join([*rng.choices(words, k=12), rng.choice(["blockhead", "numskull"]), *rng.choices(words, k=12)]) for _ in range(80)]
-    model = toxicity.fit_texts([[(1, t) for t in toxic[:40]] + [(0, t) for t in clean[:100]], [(1, t) for t in toxic[40:]] + [(0, t) for t in clean[100:]]])
-    scores = model.scores(["paper blockhead paper", "paper block-head paper", "paper blxockhead paper", "paper n u m s k u l l paper", "paper window travel"])
-    assert (scores[:3] > 0.7).all() and scores[4] < 0.1
-    assert scores[3] > 5 * scores[4]  # four letters of a word spelt out are all that a stretch sees
+    clean = [small_words(rng, 30) for _ in range(300)]
+    toxic = [f"{small_words(rng, 12)} {rng.choice(['blockhead', 'numskull'])} {small_words(rng, 12)}" for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate([*clean, *toxic])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(420)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    disturbed = ["paper blockhead paper", "paper block-head paper", "paper blxockhead paper", "paper n u m s k u l l paper", "a n.u.m.s.k.u.l.l", "paper xblockhead paper"]
+    assert (model.scores(disturbed) > 0.7).all()
+    assert (model.scores(["paper window travel", "", "a b c d e f"]) < [0.1, 0.1, 0.5]).all()
 
 
-def test_toxicity_is_learnt_from_whole_texts(spark):
+def test_folded_table_is_the_kernel_machine():
+    rng = np.random.default_rng(0)
+    texts = [small_words(random.Random(i), 20) for i in range(12)]
+    corpus = toxicity.Corpus(texts)
+    rows = corpus.windows(np.arange(len(corpus.at)))
+    marks = toxicity.Landmarks(rows[rng.permutation(len(rows))[:20]])
+    w = rng.normal(size=20)
+
+    def explicit(row):  # the subsequences of a stretch with their weights, one by one
+        found = {}
+        for start in range(toxicity.STARTS):
+            for places, weight in toxicity.PATTERNS:
+                key = (row[start], *(row[start + j] for j in places))
+                if key[-1] != toxicity._END:
+                    found[key] = found.get(key, 0) + weight
+        return found
+
+    landmark = [explicit(r) for r in rows[np.random.default_rng(0).permutation(len(rows))[:20]]]
+    length = [np.sqrt(sum(v * v for v in x.values())) for x in landmark]
+    want = [sum(c / n * sum(v * x.get(k, 0) for k, v in explicit(r).items()) for c, n, x in zip(w, length, landmark, strict=True)) for r in rows[:200]]
+    model = toxicity.Model(marks.folded(w), 0.25)
+    assert np.allclose(corpus.ratings(model)[:200], np.array(want) + 0.25, atol=1e-3)
+    assert np.allclose(marks.kernel(rows[:200]) @ w, want, atol=1e-3)
+
+
+def test_two_highest_stretches_do_not_overlap():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.SYMBOLS**toxicity.ORDER).astype(np.float32), 0.0)
+    texts = ["", "a", *(small_words(random.Random(i), 9) for i in range(20)), "?!"]
+    for text, (m1, m2) in zip(texts, model.margins(texts), strict=True):
+        c = toxicity.Corpus([text])
+        rating = c.ratings(model)
+        best = max(rating, default=toxicity.LOWEST)
+        assert np.isclose(m1, max(best, toxicity.LOWEST), atol=1e-3)
+        rest = [r for r, at in zip(rating, c.at, strict=True) if abs(at - c.at[int(np.argmax(rating))]) >= toxicity.STARTS]
+        assert np.isclose(m2, max([*rest, toxicity.LOWEST]), atol=1e-3)
+
+
+def test_toxicity_is_learnt_from_whole_texts(spark, monkeypatch):
     rng = random.Random(3)
-    words = ["garden", "window", "paper", "travel", "winter", "simple", "yellow", "market", "people", "number"]
-    clean = [" ".join(rng.choices(words, k=rng.choice([30, 2000]))) for _ in range(150)]
-    toxic = [" ".join([*rng.choices(words, k=1900), rng.choice(["blockhead", "numskull"]), *rng.choices(words, k=12)]) for _ in range(60)]
+    clean = [small_words(rng, rng.choice([30, 2000])) for _ in range(150)]
+    toxic = [f"{small_words(rng, 1900)} {rng.choice(['blockhead', 'numskull'])} {small_words(rng, 12)}" for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate([*clean, *toxic])), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(210)], "doc_id long, toxic int")
-    scores = toxicity.fit(docs, labels).scores(["paper blockhead paper", "paper window travel", clean[0], toxic[0]])
+    model = toxicity.fit(docs, labels)
+    scores = model.scores(["paper blockhead paper", "paper window travel", clean[0], toxic[0]])
     assert scores[0] > 0.7 and scores[3] > 0.7 and max(scores[1:3]) < 0.1
-    few = toxicity.labelled_sample(docs, labels, 0, 30, 60, 300_000)
-    assert few and {y for y, _ in few} == {0, 1} and sum(len(t) for _, t in few) <= 300_000
-    assert all(t in (toxic if y else clean) for y, t in few)
+    monkeypatch.setattr(toxicity, "PIECE", 1000)  # in pieces a text scores as it does whole
+    assert np.allclose(model.scores([clean[0], toxic[0]]), scores[2:], atol=0.02)
+    few = toxicity.labelled_sample(docs, labels, 5, 9).collect()
+    assert sorted((r["part"], r["toxic"]) for r in few) == [*[(0, 0)] * 9, *[(0, 1)] * 5, *[(1, 0)] * 9, *[(1, 1)] * 5]
+    assert all(r["text"] in (toxic if r["toxic"] else clean) for r in few)
 
 
 def test_values_in_pieces():
     sym = toxicity.symbols(["paper window travel " * 30, "", "x", "numskull"])
-    weights = np.random.default_rng(0).random(32**toxicity.ORDER).astype(np.float32)
+    weights = np.random.default_rng(0).random(toxicity.SYMBOLS**toxicity.ORDER).astype(np.float32)
     assert all((toxicity.values(sym, weights, chunk) == toxicity.values(sym, weights)).all() for chunk in (1, 3, 64))
 
 
@@ -354,25 +505,7 @@ def test_pipeline_against_brute_force(spark, sf):
             model = toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
             want = before[model.scores(before["text"].fillna("").tolist()) < 0.7]
         elif name == "near_dedup":
-            sets = [five_words(t) for t in before["text"]]
-            root = list(range(len(before)))
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for i in range(len(sets)):
-                for j in range(i):
-                    same = before["text"][i] == before["text"][j]
-                    if same or (sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
-                        a, b = sorted((find(i), find(j)))
-                        root[b] = a
-            ids = before["doc_id"].tolist()
-            least = {}
-            for i in range(len(ids)):
-                least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
-            want = before[before["doc_id"].isin(least.values())]
+            want = before[before["doc_id"].isin(weighted_classes(dict(sorted(zip(before["doc_id"], before["text"], strict=True)))).values())]
         elif name == "pii":
             want = before.assign(text=[pii.replaced(t, pii.base_spans(t)) for t in before["text"]])
             want["n_chars"] = want["text"].str.len()
