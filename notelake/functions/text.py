@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -49,9 +56,9 @@ def sentences(c: Column) -> Column:
 
 def summary(c: Column) -> Column:
     """The first sentence of 40 characters, or the first, or the text's start; 220 characters at most."""
-    found = sentences(c)
-    first = F.coalesce(F.get(F.filter(found, lambda s: F.length(s) >= 40), F.lit(0)), F.get(found, F.lit(0)), F.substring(c, 1, 180))
-    return F.when(F.length(first) > 220, F.concat(F.substring(first, 1, 217), F.lit("..."))).otherwise(first)
+    first = bound(sentences(c), lambda found: F.coalesce(F.get(F.filter(found, lambda s: F.length(s) >= 40), F.lit(0)), F.get(found, F.lit(0))))
+    whole = F.coalesce(first, F.substring(c, 1, 180))
+    return bound(whole, lambda s: F.when(F.length(s) > 220, F.concat(F.substring(s, 1, 217), F.lit("..."))).otherwise(s))
 
 
 def title(summary_: Column) -> Column:

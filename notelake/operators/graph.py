@@ -35,17 +35,36 @@ def _words(words: tuple[str, ...]) -> str:
 ENTITY_PATTERNS = (("Platform", _words(PLATFORMS)), ("Metric", _words(METRICS)), ("DomainTerm", _words(DOMAIN_TERMS)), ("Term", r"([\p{IsHan}A-Za-z0-9]{3,18})"))
 
 
-def entities(text: Column) -> Column:
-    """The first entities of a text: id, name, kind; the first pattern that finds an id names it."""
-    def of_kind(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda m: F.struct(F.concat(F.lit("entity:"), T.normalized_id(m)).alias("id"), m.alias("name"), F.lit(kind).alias("kind")))
+def entities(text: Column, n: int = MAX_ENTITIES) -> Column:
+    """The first ``n`` entities of a text: id, name, kind; the first pattern that finds an id names it.
 
-    found = F.concat(*[of_kind(kind, p) for kind, p in ENTITY_PATTERNS])
-    return F.filter(found, lambda e: (F.length(e["name"]) >= 3) & ~F.lower(e["name"]).isin(*T.ENTITY_STOP_WORDS))
+    What the patterns find has letters and digits only, so that its normalised id is its lower case. Names are made
+    distinct before anything else is done with them.
+    """
+    struct = "array<struct<id:string,name:string,kind:string>>"
+    by_kind = [F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1)) for _, p in ENTITY_PATTERNS]
+    kinds = [kind for kind, _ in ENTITY_PATTERNS]
+
+    def named(found: Column) -> Column:
+        names = [found[f"n{i}"] for i in range(len(kinds))]
+        every = T.bound(F.concat(*names), lambda x: F.struct(x.alias("names"), F.transform(x, F.lower).alias("low")))
+
+        def of(all_: Column) -> Column:
+            ids = F.slice(F.array_except(all_["low"], F.array(*map(F.lit, T.ENTITY_STOP_WORDS))), 1, n)
+
+            def made(i: Column) -> Column:
+                at = F.array_position(all_["low"], i).cast("int")
+                kind, upto = F.lit(kinds[-1]), sum((F.size(x) for x in names[:-1]), F.lit(0))
+                for k in range(len(kinds) - 2, -1, -1):
+                    upto = sum((F.size(x) for x in names[: k + 1]), F.lit(0))
+                    kind = F.when(at <= upto, F.lit(kinds[k])).otherwise(kind)
+                return F.struct(F.concat(F.lit("entity:"), i).alias("id"), F.get(all_["names"], at - 1).alias("name"), kind.alias("kind"))
+
+            return F.transform(ids, made)
 
+        return T.bound(every, of)
 
-def first_by_id(found: Column, ids: Column, n: int) -> Column:
-    return F.transform(F.slice(F.array_distinct(ids), 1, n), lambda i: F.get(found, (F.array_position(ids, i) - 1).cast("int")))
+    return F.coalesce(T.bound(F.struct(*[x.alias(f"n{i}") for i, x in enumerate(by_kind)]), named), F.array().cast(struct))
 
 
 def domains(text: Column, dictionary: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
@@ -57,14 +76,13 @@ def domains(text: Column, dictionary: dict[str, tuple[str, ...]] = DOMAINS) -> C
 def analyse(notes: DataFrame, dictionary: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """Per note: concept_id, tags, tag_keys, entities, keywords, domains."""
     tags = F.slice(F.filter(F.array_distinct(F.transform("tags", T.trimmed)), lambda t: t != ""), 1, MAX_TAGS)
-    rows = notes.withColumn("tags", tags).withColumn("found", entities(F.concat_ws(" ", "title", "description", "body")))
-    rows = rows.withColumn("ids", F.transform("found", lambda e: e["id"])).withColumn("entities", first_by_id(F.col("found"), F.col("ids"), MAX_ENTITIES))
-    words = F.filter(T.tokens(F.concat_ws(" ", "title", "description", F.array_join("tags", " "), "body")), lambda t: (F.length(t) > 3) & ~t.isin(*T.ENTITY_STOP_WORDS))
+    rows = notes.withColumn("tags", tags).withColumn("entities", entities(F.concat_ws(" ", "title", "description", "body")))
+    words = F.array_except(T.tokens(F.concat_ws(" ", "title", "description", F.array_join("tags", " "), "body")), F.array(*map(F.lit, T.ENTITY_STOP_WORDS)))
     return rows.select(
         "doc_id", "path", "title", "description", "resource", "confidence", "tags", "entities",
         F.concat(F.lit("concept:"), T.normalized_id(F.col("path"))).alias("concept_id"),
         F.array_distinct(F.transform("tags", F.lower)).alias("tag_keys"),
-        F.slice(F.array_distinct(words), 1, MAX_KEYWORDS).alias("keywords"),
+        F.slice(F.filter(words, lambda t: F.length(t) > 3), 1, MAX_KEYWORDS).alias("keywords"),
         domains(F.concat_ws(" ", "title", "description", F.array_join("tags", " ")), dictionary).alias("domains"),
     )
 

@@ -56,6 +56,24 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
 
 
+def with_following(rows: DataFrame, group: list[str], order: list[Column], value: str, n: int) -> DataFrame:
+    """``rows`` with ``following``: the values of the next ``n`` rows of the same group in ``order``.
+
+    Rows are sorted in ranges of equal size, whatever the groups' sizes; a range gets the first ``n`` rows of each of the
+    ``n`` ranges after it as guests, so that a group may cross any border.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *group, *order).sortWithinPartitions(*group, *order)
+    placed = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+    ranges = placed.select("_part").distinct().select("_part", F.row_number().over(Window.orderBy("_part")).alias("_range"))  # one row for each range
+    own = placed.join(F.broadcast(ranges), "_part").withColumn("_guest", F.lit(False))
+    guests = own.where(F.col("_at") - F.shiftleft("_part", 33) < n).withColumn("_guest", F.lit(True)).withColumn("_range", F.explode(F.sequence(F.col("_range") - n, F.col("_range") - 1)))
+    after = Window.partitionBy("_range").orderBy("_at")
+    same = lambda i: F.lead(F.struct(*group), i).over(after).eqNullSafe(F.struct(*group))
+    following = F.array_compact(F.array(*[F.when(same(i), F.lead(value, i).over(after)) for i in range(1, n + 1)]))
+    return own.unionByName(guests).withColumn("following", following).where("not _guest").drop("_at", "_part", "_range", "_guest")
+
+
 def generation(notes: DataFrame, key: str = "path", content: str = "body") -> DataFrame:
     """One digest of all notes in order of path: of digests of ranges by path hash, so that no task sees all."""
     line = F.concat(F.col(key), F.lit("\n"), F.sha2(F.col(content).cast("binary"), 256))
@@ -75,5 +93,13 @@ def freshness(previous: DataFrame, current: DataFrame, key: str, compared: list[
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """``base`` with the rows of ``delta`` in place of those of the same key."""
-    return base.join(delta.select(key), key, "left_anti").unionByName(delta.select(*base.columns))
+    """``base`` with the rows of ``delta`` in place of those of the same key.
+
+    Where ``delta`` repeats a key, one of its rows counts, the same one each time. Rows with a true ``deleted``, if ``delta``
+    has that column, take their key out.
+    """
+    columns = base.columns
+    whole = F.struct(*columns, *(["deleted"] if "deleted" in delta.columns else []))
+    last = delta.groupBy(key).agg(F.max_by(whole, F.xxhash64(*columns)).alias("_row"))
+    gone = F.coalesce(F.col("_row.deleted"), F.lit(False)) if "deleted" in delta.columns else F.lit(False)
+    return base.join(delta.select(key), key, "left_anti").unionByName(last.where(~gone).select("_row.*").select(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "notelake", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,6 +24,15 @@ def local_session(cores: int | str = "*", app: str = "notelake", shuffle_partiti
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt out to all cores, if it is so small that fewer tasks than that would read it.
+
+    A large input has more splits than there are cores and stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -41,7 +41,8 @@ def test_texts_with_other_scripts(spark):
 
 def test_entities_of_all_patterns(spark):
     found = value(spark, graph.entities(F.col("t")), t="使用Codex进行 ROI the listing Codex")
-    assert [(e["name"], e["kind"]) for e in found] == [("Codex", "Platform"), ("Codex", "Platform"), ("ROI", "Metric"), ("listing", "DomainTerm"), ("使用Codex进行", "Term"), ("ROI", "Term"), ("listing", "Term"), ("Codex", "Term")]
+    assert [(e["id"], e["name"], e["kind"]) for e in found] == [("entity:codex", "Codex", "Platform"), ("entity:roi", "ROI", "Metric"), ("entity:listing", "listing", "DomainTerm"), ("entity:使用codex进行", "使用Codex进行", "Term")]
+    assert value(spark, graph.entities(F.col("t")), t="") == [] and len(value(spark, graph.entities(F.col("t")), t=" ".join(f"abc{i}" for i in range(99)))) == 24
     assert value(spark, graph.domains(F.col("t")), t="An Agent in a vault") == ["codex", "obsidian"]
     assert value(spark, graph.canvas_hash(F.col("t")), t="abc") == "00017862"
 
