@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -114,13 +115,31 @@ def html_title(c: Column) -> Column:
     return F.when(c.rlike(pattern), without_markup(F.regexp_extract(c, pattern, 1)))
 
 
+_JSON_TITLES = ("title", "topic", "name", "headline", "subject")
+
+
 def json_text(c: Column) -> Column:
     """The fields of a JSON object as "key: value", joined by full stops; the text itself if it is none."""
     fields = F.map_entries(F.from_json(c, "map<string,string>"))
-    said = F.array_join(F.transform(fields, lambda e: F.concat(e["key"], F.lit(": "), F.regexp_replace(F.coalesce(e["value"], F.lit("null")), "[.。]+$", ""))), ". ")
+    value = lambda e: F.coalesce(F.when(e["value"].rlike(r"(?s)^\[.*\]$"), F.array_join(F.from_json(e["value"], "array<string>"), ", ", "null")), e["value"], F.lit("null"))
+    said = F.array_join(F.transform(fields, lambda e: F.concat(e["key"], F.lit(": "), F.regexp_replace(value(e), "[.。]+$", ""))), ". ")
     return F.coalesce(said, normalized(c))
 
 
+def json_title(c: Column) -> Column:
+    """The first of a JSON object's usual title fields that holds a text; null without one."""
+    fields = F.from_json(c, "map<string,string>")
+    text = lambda k: F.when(F.get_json_object(c, f"$.{k}").isNotNull() & c.rlike(rf'"{k}"\s*:\s*"'), F.nullif(trimmed(F.element_at(fields, k)), F.lit("")))
+    return F.coalesce(*[text(k) for k in _JSON_TITLES])
+
+
+def json_note(c: Column, name: Column) -> Column:
+    """A JSON capture as text: its title (or the file's name), its fields, and the document itself, indented."""
+    pretty = F.coalesce(F.to_json(F.from_json(c, "map<string,string>"), {"pretty": "true"}), c)
+    made = F.concat(F.coalesce(json_title(c), name), F.lit(". "), json_text(c), F.lit("\n\nRaw JSON:\n"), pretty)
+    return F.when(F.from_json(c, "map<string,string>").isNull(), normalized(c)).otherwise(made)
+
+
 def salvaged_json(c: Column) -> Column:
     """The JSON object that a tool printed last: from the last opening to the last closing brace; null without one."""
     return F.nullif(F.regexp_extract(c, r"(?s)(\{[^{]*\})[^}]*\z", 1), F.lit(""))
@@ -138,11 +157,51 @@ def chunks(c: Column) -> Column:
     return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
+def note_chunks(title_: Column, description: Column, tags: Column, body: Column) -> Column:
+    """A note's chunks: the first is of its title, description and tags, unless these are blank; then those of its body."""
+    head = F.concat_ws("\n", text_of(title_), text_of(description), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "))
+    first = F.when(trimmed(head) != "", head)
+    return F.concat(F.array(F.struct(F.lit(0).alias("chunk_no"), first.alias("chunk"))), F.transform(chunks(body), lambda x, i: F.struct((i + 1).alias("chunk_no"), x.alias("chunk"))))
+
+
 def fnv1a(c: Column) -> Column:
     """The 32-bit FNV-1a hash over the characters' numbers."""
     return F.aggregate(F.filter(F.split(c, ""), lambda ch: ch != ""), F.lit(2166136261).cast("long"), lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+#: Latin letters with diacritics and the letters that full-text search takes them for, by their decomposition.
+_MARKED = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if (d := unicodedata.normalize("NFD", c)) != c and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+
+
+def folded(c: Column) -> Column:
+    """Letters without their diacritics, as full-text search compares them."""
+    return F.translate(c, "".join(_MARKED), "".join(unicodedata.normalize("NFD", x)[0] for x in _MARKED))
+
+
+def han_parts(token: Column) -> Column:
+    """The runs of two and of three characters of a token of three or more that has a Han character; none of others."""
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.length(token) - (k - 1)), lambda i: F.substring(token, i, F.lit(k)))
+    return F.when((F.length(token) > 2) & token.rlike(r"\p{IsHan}"), F.concat(run(2), run(3))).otherwise(F.array().cast("array<string>"))
+
+
+def expanded_tokens(c: Column) -> Column:
+    """What a hashed vector counts: tokens, the parts of those with Han characters, and pairs of neighbours."""
+    return bound(tokens(c), lambda t: F.concat(t, F.flatten(F.transform(t, han_parts)), word_pairs(t)))
+
+
+def snippet(c: Column, wanted: Column, n: int = 18) -> Column:
+    """``n`` words of a text from the first one on that folds to one of ``wanted``; the text's start without one."""
+    words = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+    def cut(t: Column) -> Column:
+        hits = F.filter(F.transform(t, lambda w, i: F.when(F.array_contains(wanted, folded(F.lower(w))), i)), lambda i: i.isNotNull())
+        at = F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
+        said = F.array_join(F.slice(t, at + 1, F.lit(n)), " ")
+        return F.concat(F.when(at > 0, "...").otherwise(""), said, F.when(F.size(t) > at + n, "...").otherwise(""))
+
+    return bound(words, cut)
+
+
 def word_pairs(toks: Column) -> Column:
     return F.zip_with(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))), F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), b))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
@@ -17,18 +17,77 @@ Provider = Callable[[list[str]], Sequence[Sequence[float]]]
 #: Texts in a request, tries, and the first pause between tries in seconds.
 BATCH, TRIES, PAUSE = 64, 3, 0.2
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+_HAN = regex.compile(r"\p{Han}")
+
+
+def fnv1a(tokens: list[str], start: np.ndarray | None = None) -> np.ndarray:
+    """The 32-bit FNV-1a hash of each token, from ``start`` on: character by character, all tokens at once."""
+    h = np.full(len(tokens), 2166136261, np.uint64) if start is None else start.astype(np.uint64)
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    order = np.argsort(-length, kind="stable")
+    some = int((length <= 64).sum())
+    for i in order[: len(tokens) - some]:  # the few very long ones by themselves: a row of the table below is as long as any
+        x = int(h[i])
+        for c in tokens[i]:
+            x = ((x ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        h[i] = x
+    rest = order[len(tokens) - some :]
+    if some:
+        chars = np.array([tokens[i] for i in rest], dtype="U64").view(np.uint32).reshape(some, 64)
+        ends = -length[rest]
+        for j in range(int(length[rest[0]])):
+            n = int(np.searchsorted(ends, -j, side="left"))  # tokens of more than j characters come first
+            h[rest[:n]] = ((h[rest[:n]] ^ chars[:n, j]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return h.astype(np.int64)
+
+
+def hashed_matrix(texts: list[str], bins: int = T.VECTOR_BINS) -> np.ndarray:
+    """The hashed vectors of texts, each of length one (or zero): tokens, their Han parts and pairs of neighbours."""
+    tokens, owner, extra, extra_owner = [], [], [], []
+    for i, text in enumerate(texts):
+        found = _TOKEN.findall(text.lower())
+        tokens += found
+        owner += [i] * len(found)
+        if _HAN.search(text):
+            parts = [t[k : k + n] for t in found if len(t) > 2 and _HAN.search(t) for n in (2, 3) for k in range(len(t) - n + 1)]
+            extra += parts
+            extra_owner += [i] * len(parts)
+    out = np.zeros((len(texts), bins))
+    if not tokens:
+        return out
+    whose, h = np.array(owner), fnv1a(tokens)
+    long_ = lambda x: np.fromiter((len(t) >= 6 for t in x), bool, len(x))
+    np.add.at(out, (whose, h % bins), np.where(long_(tokens), 1.2, 1.0))
+    if extra:
+        np.add.at(out, (np.array(extra_owner), fnv1a(extra) % bins), np.where(long_(extra), 1.2, 1.0))
+    first = np.flatnonzero(whose[1:] == whose[:-1])
+    if len(first):
+        pair = fnv1a(["_" + tokens[i + 1] for i in first], h[first])  # the first word's hash goes on over the second
+        np.add.at(out, (whose[first], pair % bins), 1.4)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def hashed_vector(text: str, bins: int = T.VECTOR_BINS) -> np.ndarray:
-    """The hashed vector of one text: what ``hashed_terms`` gives for it."""
-    out = np.zeros(bins)
-    tokens = _TOKEN.findall(text.lower())
-    for token in [*tokens, *(f"{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False))]:
-        h = 2166136261
-        for c in token:
-            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
-        out[h % bins] += 1.4 if "_" in token else 1.2 if len(token) >= 6 else 1.0
-    return fitted(out, bins)
+    """The hashed vector of one text."""
+    return hashed_matrix([text], bins)[0]
+
+
+def hashed_vectors(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """keys, vector for every text that has a token: hashed where it is read, a batch of texts at a time, without a shuffle."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                m = hashed_matrix(batch.column("_text").to_pylist())
+                some = np.flatnonzero(m.any(axis=1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * m.shape[1]), pa.array(m[some].ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(some)) for k in keys), lists], names=[*keys, "vector"])
+
+    part = rows.select(*keys, T.text_of(text).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name != "_text"), "vector array<double>"])
+    return part.mapInArrow(made, schema)
 
 
 def fitted(vector: Sequence[float], size: int) -> np.ndarray:
@@ -55,7 +114,7 @@ def _asked(provider: Provider, texts: list[str]) -> list[Sequence[float]]:
 
 def embedded(rows: DataFrame, text: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS) -> DataFrame:
     """``rows`` with vector, provider and content_hash: of the providers, in order, the first that answers a batch counts."""
-    chain = [*(providers or {}).items(), ("hashed", lambda texts: [hashed_vector(t, size) for t in texts])]
+    chain = [*(providers or {}).items(), ("hashed", lambda texts: hashed_matrix(texts, size))]
     columns = rows.columns
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,23 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
 
 
+def nearest_ranks(counted: DataFrame, group: str, value: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """group, runs and nearest-rank percentiles of ``value``, each of whose rows counts ``n`` times.
+
+    Running sums are made in ranges of (group, value) and offset by those of the ranges before: no task has a whole group.
+    """
+    spark = counted.sparkSession
+    ranged = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), group, value).withColumn("_part", F.spark_partition_id())
+    placed = materialise(ranged, "percentiles")
+    sums = placed.groupBy("_part", group).agg(F.sum(n).alias("_n"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("_part", group, before.alias("_before"), F.sum("_n").over(whole).alias("runs"))  # a row for each range and group
+    upto = F.col("_before") + F.sum(n).over(Window.partitionBy("_part", group).orderBy(value))
+    ranked = placed.join(offsets, ["_part", group]).withColumn("_upto", upto)
+    return ranked.groupBy(group).agg(F.max("runs").alias("runs"), *[F.min(F.when(F.col("_upto") >= F.ceil(F.col("runs") * p), F.col(value))).alias(name) for name, p in shares.items()])
+
+
 def with_following(rows: DataFrame, group: list[str], order: list[Column], value: str, n: int) -> DataFrame:
     """``rows`` with ``following``: the values of the next ``n`` rows of the same group in ``order``.
 

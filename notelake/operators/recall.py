@@ -1,4 +1,4 @@
-"""Lexical, full-text, vector and fused recall: every query of a table of queries against all notes.
+"""Lexical, full-text, substring, vector and fused recall: every query of a table of queries against all notes.
 
 The query side is a table of its own. It is broadcast where it is found to be small and joined by a shuffle
 where it is not; notes are never sent to the queries. Scores are summed for each (query, note) before the
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def first_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
-    """query, token: the first tokens of each query that differ."""
-    return queries.select(query, F.explode(F.slice(F.array_distinct(T.tokens(T.text_of(text))), 1, QUERY_TOKENS)).alias("token"))
+    """query, token, times: the first tokens of each query; one that comes again there counts again."""
+    return queries.select(query, F.explode(F.slice(T.tokens(T.text_of(text)), 1, QUERY_TOKENS)).alias("token")).groupBy(query, "token").agg(F.count("*").alias("times"))
 
 
 def term_counts(notes: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,123 +60,158 @@ def lexical(notes: DataFrame, queries: DataFrame, key: str, query: str, k: int,
     return best(scores, query, [F.desc("score"), F.col(key)], k)
 
 
-class Matcher:
-    """Finds which of many strings a text contains, in one pass over it (Aho-Corasick)."""
+def containing(notes: DataFrame, strings: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, string: which of ``strings(string)`` each note's text contains.
 
-    def __init__(self, strings: list[str]) -> None:
-        import ahocorasick
-
-        self.found = ahocorasick.Automaton()
-        for i, s in enumerate(strings):
-            self.found.add_word(s, i)
-        self.found.make_automaton()
-
-    def __call__(self, text: str) -> set[int]:
-        return {i for _, i in self.found.iter(text)}
-
-
-def containing(notes: DataFrame, strings: DataFrame, key: str, text: Column, most: int = 1_000_000) -> DataFrame:
-    """key, string: which of ``strings(string)`` each note's text contains, all held against each text at once."""
-    wanted = [r[0] for r in strings.where("string <> ''").distinct().limit(most + 1).collect()]
-    if len(wanted) > most:  # too many for one automaton: by halves, each over all notes
-        halves = [strings.where(F.pmod(F.xxhash64("string"), F.lit(2)) == i) for i in (0, 1)]
-        return containing(notes, halves[0], key, text, most).unionByName(containing(notes, halves[1], key, text, most))
-    shared = notes.sparkSession.sparkContext.broadcast(sorted(wanted))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(shared.value) if shared.value else None
-        for batch in batches:
-            keys, found = [], []
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i in sorted(match(t)) if match else ():
-                    keys.append(k)
-                    found.append(shared.value[i])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["key", "string"])
-
-    return notes.select(F.col(key).cast("long").alias("key"), text.alias("text")).mapInArrow(made, "key long, string string").withColumnRenamed("key", key)
+    A string is looked for by one of its words: an inner one, which a text that contains the string has as a whole
+    word, or else its longest, which is then part of some word of the text. Words are found by equi-joins: whole ones
+    by themselves, parts by their first characters (three, or as many as there are). What is found is held against the
+    text. Strings without a word are held against every text, a small table of queries against all rows.
+    """
+    longest = lambda a: F.element_at(F.array_sort(a, lambda x, y: F.length(y) - F.length(x)), 1)
+    toks = F.regexp_extract_all("string", F.lit(r"([\p{L}\p{N}]+)"), 1)
+    asked = strings.where("string <> ''").select("string").distinct().withColumn("t", toks)
+    inner = F.filter(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0))), lambda w: F.length(w) >= 3)
+    asked = asked.withColumn("inner", inner).select("string", F.when(F.size("inner") > 0, longest(F.col("inner"))).alias("whole"), F.when(F.size("t") > 0, longest(F.col("t"))).alias("part"))
+    asked = materialise(asked, "strings")
+    rows = notes.select(key, text.alias("_text"))
+    words = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("word"))
+    by_whole = asked.where("whole is not null").select("string", F.col("whole").alias("word"))
+    by_part = asked.where("whole is null and part is not null").select("string", "part", F.substring("part", 1, 3).alias("gram"))
+    found = words.join(small(by_whole), "word").select(key, "string")
+    if by_part.limit(1).count():
+        # The words of all texts once, by their runs of one, two and three characters, as far as any string asks for them.
+        sizes = [r[0] for r in by_part.select(F.length("gram")).distinct().collect()]
+        runs = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring("word", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        grams = F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
+        pieces = words.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+        with_part = pieces.join(small(by_part), "gram").where(F.contains("word", F.col("part"))).select("word", "string").distinct()
+        found = found.unionByName(words.join(small(with_part), "word").select(key, "string"))
+    found = materialise(found.distinct(), "may-contain")
+    exact = found.join(asked.where("whole is null and string = part").select("string"), "string", "left_semi").select(key, "string")
+    checked = found.join(asked.where("whole is not null or string <> part").select("string"), "string", "left_semi").join(rows, key).where(F.contains("_text", F.col("string"))).select(key, "string")
+    out = exact.unionByName(checked)
+    bare = asked.where("part is null").select("string")
+    if bare.limit(1).count():
+        out = out.unionByName(rows.join(small(bare), F.contains("_text", F.col("string"))).select(key, "string"))
+    return out
 
 
 def substring_recall(notes: DataFrame, queries: DataFrame, key: str, query: str, k: int, text: str = "text") -> DataFrame:
     """query, key, score, rank: the share of the query's first tokens that the text contains anywhere."""
     asked = small(first_tokens(queries, query, text))
-    sizes = small(asked.groupBy(query).agg(F.count("*").alias("size")))
+    sizes = small(asked.groupBy(query).agg(F.sum("times").alias("size")))
     hits = containing(notes, asked.select(F.col("token").alias("string")), key, F.lower(T.text_of(text))).withColumnRenamed("string", "token")
-    scores = hits.join(asked, "token").groupBy(query, key).agg(F.count("*").alias("n")).join(sizes, query)
+    scores = hits.join(asked, "token").groupBy(query, key).agg(F.sum("times").alias("n")).join(sizes, query)
     return best(scores.select(query, key, F.round(F.col("n") / F.col("size"), 4).alias("score")), query, [F.desc("score"), F.col(key)], k)
 
 
 def bm25(notes: DataFrame, queries: DataFrame, key: str, query: str, k: int, text: str = "text") -> DataFrame:
-    """query, key, bm25 (lower is better), rank, over the query's first tokens."""
-    asked = small(first_tokens(queries, query, text))
-    toks = notes.select(key, T.tokens(T.text_of(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
-    postings = materialise(toks.join(F.broadcast(asked.select("token").distinct()) if asked.count() <= BROADCAST_ROWS else asked.select("token").distinct(), "token").groupBy(key, "dl", "token").agg(F.count("*").alias("tf")), "postings")
-    stats = notes.agg(F.count("*").alias("docs"), F.avg(F.size(T.tokens(T.text_of(text)))).alias("avgdl"))
+    """query, key, bm25 (lower is better), rank, over the query's first tokens; diacritics do not count."""
+    asked = first_tokens(queries, query, text).groupBy(query, T.folded(F.col("token")).alias("token")).agg(F.sum("times").alias("times"))
+    asked = small(asked)
+    wanted = small(asked.select(F.col("token").alias("wanted")).distinct())
+    toks = notes.select(key, T.tokens(T.folded(T.text_of(text))).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit(None)))).alias("token"))
+    # Texts are taken apart once: what no query asks for counts with the null that each text ends in.
+    postings = materialise(toks.join(wanted, F.col("token") == F.col("wanted"), "left").groupBy(key, "dl", F.col("wanted").alias("token")).agg(F.count("*").alias("tf")), "postings")
+    stats = postings.where("token is null").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    postings = postings.where("token is not null")
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    terms = small(asked.join(df, "token").crossJoin(F.broadcast(stats)).select(query, "token", idf.alias("idf"), "avgdl"))  # stats is one row
+    terms = small(asked.join(df, "token").crossJoin(F.broadcast(stats)).select(query, "token", (idf * F.col("times")).alias("idf"), "avgdl"))  # stats is one row
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = postings.join(terms, "token").groupBy(query, key).agg((-F.sum(gain)).alias("raw"))
     return best(scores.withColumn("bm25", F.round("raw", 4) + 0.0), query, [F.col("bm25"), F.col(key)], k).select(query, key, "bm25", "rank")
 
 
-def compatible_score(c: Column) -> Column:
-    """1 / (1 + bm25), which for sums under -1 falls to the least score: what callers of the full-text search get."""
-    return F.round(F.when(c <= -1, F.lit(0.01)).otherwise(F.greatest(1 / (1 + c), F.lit(0.01))), 4)
+def with_snippets(found: DataFrame, notes: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
+    """``found(query, key, ...)`` with the words of each text around the first one that its query asks for."""
+    asked = first_tokens(queries, query, text).groupBy(query).agg(F.collect_set(T.folded(F.col("token"))).alias("_wanted"))
+    rows = small(found).join(asked, query)  # k rows a query
+    return notes.select(key, T.text_of(text).alias("_text")).join(rows, key).select(*found.columns, T.snippet(F.col("_text"), F.col("_wanted")).alias("snippet"))
 
 
-def hashed_terms(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys, bin, weight: tokens and neighbouring pairs of tokens hashed to the vector's bins, of length one.
+def full_text(notes: DataFrame, queries: DataFrame, key: str, query: str, k: int, text: str = "text") -> DataFrame:
+    """query, key, score, rank of the full-text search; queries of which it finds nothing get those of the substring search."""
+    top = bm25(notes, queries, key, query, k, text)
+    hits = materialise(top.select(query, key, compatible_score(F.col("bm25")).alias("score"), F.col("bm25").alias("tie")), "full-text")
+    without = materialise(queries.join(hits.select(query).distinct(), query, "left_anti"), "without-hits")
+    if without.limit(1).count():
+        hits = hits.unionByName(substring_recall(notes, without, key, query, k, text).select(query, key, "score", F.lit(0.0).alias("tie")))
+    return best(hits, query, [F.desc("score"), F.col("tie"), F.col(key)], k).drop("tie")
 
-    A token is hashed once for each row that has it, after its occurrences there are counted.
-    """
-    toks = rows.select(*keys, T.tokens(text).alias("t"))
-    expanded = toks.select(*keys, F.explode(F.concat("t", T.word_pairs(F.col("t")))).alias("token"))
-    counts = expanded.groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    bins = counts.select(*keys, (T.fnv1a(F.col("token")) % T.VECTOR_BINS).cast("int").alias("bin"), (F.col("n") * T.token_weight(F.col("token"))).alias("w"))
-    sums = bins.groupBy(*keys, "bin").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return sums.select(*keys, "bin", (F.col("w") / norm).alias("weight"))
+
+def compatible_score(c: Column) -> Column:
+    """1 / (1 + bm25), which for sums under -1 falls to the least score: what callers of the full-text search get."""
+    return F.round(F.when(c <= -1, F.lit(0.01)).otherwise(F.greatest(1 / (1 + c), F.lit(0.01))), 4)
 
 
-def dense(sparse: DataFrame, keys: list[str], size: int = T.VECTOR_BINS) -> DataFrame:
-    """keys, vector: an array of ``size`` numbers from (bin, weight) rows."""
-    by_bin = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("m"))
-    return by_bin.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+#: Queries whose vectors are broadcast at once, and rows of vectors that are held against them in one product.
+QUERY_BLOCK, VECTOR_BLOCK = 2_048, 8_192
 
 
-def vector_scores(vectors: DataFrame, asked: DataFrame, keys: list[str], query: str, k: int, digits: int = 4, block: int = 4_096, least: float = 0.0) -> DataFrame:
-    """query, keys, score of the ``k`` best vectors a query and task: blocks of queries are held against all vectors.
+def block_scores(ids: np.ndarray, asked: np.ndarray, keys: list[np.ndarray], x: np.ndarray, k: int, digits: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): of each query's scores over ``least`` the best row of each note (``keys[0]``), and of these the best ``k``.
 
-    ``asked(query, vector)`` is read on the driver in blocks of ``block`` queries, each one pass over the vectors.
+    A note that is among the best ``k`` of all is so among those of the block that has its best row, too.
     """
-    out = None
-    rows = materialise(asked.select(query, "vector"), "asked")
-    blocks = max(1, -(-rows.count() // block))
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).collect()
-        ids = [r[query] for r in part]
-        matrix = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r["vector"] for r in part], float).reshape(len(part), -1)))
-
-        def made(batches: Iterator[pa.RecordBatch], matrix=matrix) -> Iterator[pa.RecordBatch]:
-            ids, m = matrix.value
-            for batch in batches:
-                if not ids or not batch.num_rows:
-                    continue
-                x = np.asarray(batch.column("vector").values.slice(batch.column("vector").offset * m.shape[1], batch.num_rows * m.shape[1])).astype(float).reshape(batch.num_rows, m.shape[1])
-                scores = np.round(m @ x.T, digits)
-                names = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in keys]
-                at, who = [], []
-                for q in range(len(ids)):
-                    some = np.flatnonzero(scores[q] > least)
-                    order = np.lexsort((*[n[some] for n in names[::-1]], -scores[q][some]))[:k]
-                    at.append(some[order])
-                    who.append(np.full(len(order), q))
-                at, who = np.concatenate(at), np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in who], pa.int64()), *(pa.array(n[at], pa.int64()) for n in names), pa.array(scores[who, at], pa.float64())], names=[query, *keys, "score"])
-
-        found = vectors.select(*[F.col(c).cast("long").alias(c) for c in keys], "vector").mapInArrow(made, ", ".join([f"{query} long", *(f"{c} long" for c in keys), "score double"]))
-        out = found if out is None else out.unionByName(found)
-    return out
+    at, who, what = [], [], []
+    for q in range(len(ids)):
+        score = np.round(x @ asked[q], digits)
+        some = np.flatnonzero(score > least)
+        order = some[np.lexsort((*[n[some] for n in keys[::-1]], -score[some]))]
+        first = np.sort(np.unique(keys[0][order], return_index=True)[1])[:k]
+        at.append(order[first])
+        who.append(np.full(len(first), q))
+        what.append(score[order[first]])
+    return np.concatenate(who), np.concatenate(at), np.concatenate(what)
+
+
+def vector_scores(vectors: DataFrame, asked: DataFrame, keys: list[str], query: str, k: int, digits: int = 4, least: float = 0.0) -> DataFrame:
+    """query, keys, score: of every query the best row of each note, ``k`` notes at least for each task; ``keys[0]`` is the note.
+
+    Up to ``QUERY_BLOCK`` queries are broadcast and the vectors stay where they are. More are dealt into blocks, and each
+    block of queries meets each block of vectors in a task.
+    """
+    rows = materialise(asked.select(F.col(query).cast("long").alias(query), "vector"), "asked")
+    vectors = vectors.select(*[F.col(c).cast("long").alias(c) for c in keys], "vector")
+    out = ", ".join([f"{query} long", *(f"{c} long" for c in keys), "score double"])
+    n = rows.count()
+    if n <= QUERY_BLOCK:
+        part = rows.collect()
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[query] for r in part], np.int64), np.array([r["vector"] for r in part], float).reshape(len(part), -1)))
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            for whole in batches:
+                for lo in range(0, whole.num_rows if len(ids) else 0, VECTOR_BLOCK):
+                    batch = whole.slice(lo, VECTOR_BLOCK)
+                    names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+                    x = np.asarray(batch.column("vector").flatten()).astype(float).reshape(batch.num_rows, -1)
+                    who, at, score = block_scores(ids, m, names, x, k, digits, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), *(pa.array(c[at]) for c in names), pa.array(score)], names=[query, *keys, "score"])
+
+        return vectors.mapInArrow(made, out)
+    parts = -(-n // QUERY_BLOCK)
+    vectors = materialise(vectors, "vectors")
+    blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    left = vectors.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    right = rows.withColumn("part", F.pmod(F.xxhash64(query), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: np.zeros(0, float if c == "score" else np.int64) for c in (query, *keys, "score")})
+        ids, names = y[query].to_numpy(), [x[c].to_numpy() for c in keys]
+        who, at, score = block_scores(ids, np.stack(y["vector"]).astype(float), names, np.stack(x["vector"]).astype(float), k, digits, least)
+        return pd.DataFrame({query: ids[who], **{c: v[at] for c, v in zip(keys, names, strict=True)}, "score": score})
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compared, out)
+
+
+def best_rows(found: DataFrame, keys: list[str], query: str) -> DataFrame:
+    """Of what ``vector_scores`` found the best row of each note, ties by the further keys."""
+    nth = F.row_number().over(Window.partitionBy(query, keys[0]).orderBy(F.desc("score"), *keys[1:]))
+    return found.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def fused(signals: list[tuple[str, DataFrame, bool]], query: str, key: str, k: int) -> DataFrame:

@@ -288,10 +288,13 @@ _GRAPH_TABLES = f"gp AS (WITH {_RP} SELECT doc_id, token, COUNT(*) AS n FROM rp
 SQL["graph_recall"] = f"WITH {_GRAPH_TABLES} SELECT item_id, doc_id, score, rank FROM gr"
 
 
-def fused_recall_sql() -> str:
-    from notelake.queries.recall import BM25, LEXICAL, VECTOR, fused_sql
+def _fused_sql() -> None:
+    from notelake.queries.recall import _QUALITY, _TRUTH, BM25, LEXICAL, VECTOR, fused_sql
 
-    return f"WITH {LEXICAL}, {BM25}, {_GRAPH_TABLES}, {VECTOR}, {fused_sql([('lexical', 'lex', True), ('fulltext', 'bc', True), ('graph', 'gr', True), ('vector', 'vec', False)])} SELECT item_id, doc_id, score, signals, rank FROM fr"
+    # Every passage has words that some document has: the substring search never stands in here.
+    tables = f"{LEXICAL}, {BM25}, {_GRAPH_TABLES}, {VECTOR}, {fused_sql([('lexical', 'lex', True), ('fulltext', 'bc', True), ('graph', 'gr', True), ('vector', 'vec', False)])}"
+    SQL["fused_recall"] = f"WITH {tables} SELECT item_id, doc_id, score, signals, rank FROM fr"
+    SQL["recall_quality"] = f"WITH {tables}, {_TRUTH} {_QUALITY}"
 
 
-SQL["fused_recall"] = fused_recall_sql()
+_fused_sql()

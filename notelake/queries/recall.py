@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.operators import embedding as E
+from notelake.operators import notes as N
 from notelake.operators import recall as R
-from notelake.queries.texts import CHUNKS, DOCS, TOKENS
+from notelake.plans.store import materialise
+from notelake.queries.texts import CHUNKS, DOCS, TOKENS, chunked
 from notelake.session import table
 
 K = 5
@@ -48,37 +51,57 @@ def fnv_hash(spark, sf_dir):
     return toks.select("token", T.fnv1a(F.col("token")).alias("hash"))
 
 
-def _chunked(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(T.text_of("text"))).alias("chunk_no", "chunk"))
-    return d.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+def bm25_accented(spark, sf_dir):
+    """The passages with accents on all their vowels find what the plain ones find: full-text search takes no notice of them."""
+    docs, asked = _both(spark, sf_dir)
+    return R.bm25(docs, asked.withColumn("text", F.translate("text", "aeiou", "áèîöū")), "doc_id", "item_id", K)
+
+
+def recall_snippets(spark, sf_dir):
+    """The words of each text found around the first one that its query asks for."""
+    docs, asked = _both(spark, sf_dir)
+    return R.with_snippets(R.bm25(docs, asked, "doc_id", "item_id", K).select("item_id", "doc_id", "rank"), docs, asked, "doc_id", "item_id")
+
+
+def full_text_recall(spark, sf_dir):
+    """Queries of parts of words: most find nothing as words and are looked for as parts of texts."""
+    docs, asked = _both(spark, sf_dir)
+    parts = F.transform(F.slice(F.filter(T.tokens(T.text_of("text")), lambda t: F.length(t) >= 7), 1, 4), lambda t: F.substring(t, 2, F.lit(5)))
+    return R.full_text(docs, asked.select("item_id", F.array_join(parts, " ").alias("text")), "doc_id", "item_id", K)
+
+
+def _bins(vectors, *keys):
+    return vectors.select(*keys, F.posexplode("vector").alias("bin", "weight")).where("weight > 0").select(*keys, F.col("bin").cast("long").alias("bin"), F.round("weight", 4).alias("weight"))
 
 
 def hashed_embedding(spark, sf_dir):
-    terms = R.hashed_terms(_chunked(spark, sf_dir), ["doc_id", "chunk_no"], F.col("chunk"))
-    return terms.select("doc_id", "chunk_no", F.col("bin").cast("long").alias("bin"), F.round("weight", 4).alias("weight"))
+    return _bins(E.hashed_vectors(chunked(spark, sf_dir), ["doc_id", "chunk_no"], F.col("chunk")), "doc_id", "chunk_no")
 
 
-def _vector_top(spark, sf_dir):
-    """The best chunk of each note for each query, for notes that a query's best chunks are of."""
-    keys = ["doc_id", "chunk_no"]
-    vectors = R.dense(R.hashed_terms(_chunked(spark, sf_dir), keys, F.col("chunk")), keys)
-    asked = R.dense(R.hashed_terms(table(spark, sf_dir, "benchmark"), ["item_id"], T.text_of("text")), ["item_id"])
-    return R.vector_scores(vectors, asked, keys, "item_id", 1_000_000)
+HAN = ("知识管理系统", "使用Codex进行", "广告投放")
 
 
-def vector_best_chunk(spark, sf_dir):
-    """Of every query the best chunk of each note that shares a term with it."""
-    found = _vector_top(spark, sf_dir)
-    return R.best(found, "item_id", [F.desc("score"), F.col("doc_id"), F.col("chunk_no")], 20).select("item_id", "doc_id", "chunk_no", "score", "rank")
+def han_embedding(spark, sf_dir):
+    """Passages with a word in Han characters after them: its runs of two and three characters count as well."""
+    said = F.concat_ws(" ", T.text_of("text"), F.element_at(F.array(*map(F.lit, HAN)), (F.col("item_id") % len(HAN) + 1).cast("int")))
+    return _bins(E.hashed_vectors(table(spark, sf_dir, "benchmark"), ["item_id"], said), "item_id")
 
 
-def _vector_recall(spark, sf_dir):
-    of_note = _vector_top(spark, sf_dir).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
-    return R.best(of_note, "item_id", [F.desc("score"), F.col("doc_id")], K)
+def _vector_top(spark, sf_dir, k: int):
+    """The best chunk of each note for each query, of the best ``k`` notes at least."""
+    keys = ["doc_id", "chunk_no"]
+    vectors = E.hashed_vectors(chunked(spark, sf_dir), keys, F.col("chunk"))
+    asked = E.hashed_vectors(table(spark, sf_dir, "benchmark"), ["item_id"], F.col("text"))
+    return R.best_rows(R.vector_scores(vectors, asked, keys, "item_id", k), keys, "item_id")
+
+
+def vector_best_chunk(spark, sf_dir):
+    """Of every query the twenty nearest notes, each with its best chunk."""
+    return R.best(_vector_top(spark, sf_dir, 20), "item_id", [F.desc("score"), F.col("doc_id")], 20).select("item_id", "doc_id", "chunk_no", "score", "rank")
 
 
 def vector_recall(spark, sf_dir):
-    return _vector_recall(spark, sf_dir)
+    return R.best(_vector_top(spark, sf_dir, K), "item_id", [F.desc("score"), F.col("doc_id")], K).select("item_id", "doc_id", "score", "rank")
 
 
 def dense_cosine_topk(spark, sf_dir):
@@ -93,7 +116,7 @@ def dense_cosine_topk(spark, sf_dir):
 
 def embedding_reuse(spark, sf_dir):
     """Which chunks of all documents a labelled corpus has embedded already: by content, not by place."""
-    c = _chunked(spark, sf_dir).select("doc_id", "chunk_no", F.sha2(F.col("chunk").cast("binary"), 256).alias("content_hash"))
+    c = chunked(spark, sf_dir).select("doc_id", "chunk_no", F.sha2(F.col("chunk").cast("binary"), 256).alias("content_hash"))
     done = c.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("content_hash").distinct().withColumn("reused", F.lit(True))
     return c.join(done, "content_hash", "left").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.coalesce("reused", F.lit(False)).cast("long")).alias("reused"))
 
@@ -106,13 +129,11 @@ def score_normalize(spark, sf_dir):
 def _signals(spark, sf_dir):
     from notelake.queries.graph import graph_top
 
-    full = R.bm25(*_both(spark, sf_dir), "doc_id", "item_id", K).withColumn("score", R.compatible_score(F.col("bm25"))).drop("rank")
-    full = R.best(full, "item_id", [F.desc("score"), F.col("bm25"), F.col("doc_id")], K)
     return [
         ("lexical", R.lexical(*_both(spark, sf_dir), "doc_id", "item_id", K), True),
-        ("fulltext", full, True),
+        ("fulltext", R.full_text(*_both(spark, sf_dir), "doc_id", "item_id", K), True),
         ("graph", graph_top(spark, sf_dir, K), True),
-        ("vector", _vector_recall(spark, sf_dir), False),
+        ("vector", vector_recall(spark, sf_dir), False),
     ]
 
 
@@ -128,10 +149,11 @@ def _truth(spark, sf_dir):
 
 
 def recall_quality(spark, sf_dir):
-    """Of the passages that some document contains: how many are found there by the lexical, the fused and the vector ranking."""
-    truth = _truth(spark, sf_dir).withColumn("hit", F.lit(True))
+    """Of the passages that some document contains: how many are found there by each signal's ranking and by the fused one."""
+    truth = materialise(_truth(spark, sf_dir).withColumn("hit", F.lit(True)), "truth")
+    signals = [(name, materialise(top, name), normalise) for name, top, normalise in _signals(spark, sf_dir)]
     out = None
-    for name, top in (("lexical", lexical_recall(spark, sf_dir)), ("fulltext", bm25_recall(spark, sf_dir)), ("vector", vector_recall(spark, sf_dir))):
+    for name, top in (*((name, top) for name, top, _ in signals if name != "graph"), ("fused", R.fused(signals, "item_id", "doc_id", K))):
         ranked = truth.join(top.select("item_id", "doc_id", "rank"), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("rank"))
         part = ranked.agg(F.lit(name).alias("signal"), F.count("*").alias("cases"), F.sum((F.coalesce("rank", F.lit(99)) <= 1).cast("long")).alias("top1"), F.sum((F.coalesce("rank", F.lit(99)) <= 3).cast("long")).alias("top3"))
         out = part if out is None else out.unionByName(part)
@@ -139,14 +161,17 @@ def recall_quality(spark, sf_dir):
 
 
 def latency_percentile(spark, sf_dir):
-    """Nearest-rank percentiles of the events' values by type."""
-    e = table(spark, sf_dir, "events").where("value is not null")
-    return e.groupBy("event_type").agg(F.count("*").alias("runs"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    """Nearest-rank percentiles of the events' values by type.
+
+    Equal values are counted first; then values are numbered by ranges, whatever a type's share of them.
+    """
+    e = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    return N.nearest_ranks(e, "event_type", "value", "n", {"p50": 0.5, "p95": 0.95})
 
 
 QUERIES = {f.__name__: f for f in (
-    term_counts, corpus_stats, lexical_recall, like_recall, bm25_recall, fts_score_compat, fnv_hash, hashed_embedding,
-    vector_best_chunk, vector_recall, dense_cosine_topk, embedding_reuse, score_normalize, fused_recall, recall_quality, latency_percentile,
+    term_counts, corpus_stats, lexical_recall, like_recall, bm25_recall, bm25_accented, recall_snippets, full_text_recall,
+    fts_score_compat, fnv_hash, hashed_embedding, han_embedding, vector_best_chunk, vector_recall, dense_cosine_topk, embedding_reuse, score_normalize, fused_recall, recall_quality, latency_percentile,
 )}
 
 _RANK = "row_number() OVER (PARTITION BY {q} ORDER BY {o}) AS rank"
@@ -154,8 +179,12 @@ DT = f"dt AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM ({DOC
 LEXICAL = f"""{DT}, lq AS (SELECT item_id, unnest({TOKENS.format('text')}) AS token FROM benchmark), lqc AS (SELECT item_id, token, COUNT(*) AS times FROM lq GROUP BY ALL),
 lex0 AS (SELECT item_id, doc_id, CAST(SUM(times) AS BIGINT) AS score FROM dt JOIN lqc USING (token) GROUP BY ALL),
 lex AS (SELECT * FROM (SELECT *, {_RANK.format(q='item_id', o='score DESC, doc_id')} FROM lex0) WHERE rank <= {K})"""
-FIRST = f"fq AS (SELECT item_id, unnest(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, {R.QUERY_TOKENS})) AS token FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark))"
-BM25 = f"""{FIRST}, bd AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM ({DOCS})), bs AS (SELECT COUNT(*) AS docs, AVG(len(t)) AS avgdl FROM bd),
+FIRST = f"fq AS (SELECT item_id, unnest(list_slice({TOKENS.format('text')}, 1, {R.QUERY_TOKENS})) AS token FROM benchmark)"
+#: Full-text search folds diacritics on both sides; a token that a query has twice counts twice.
+FOLDED = FIRST.replace(TOKENS.format("text"), TOKENS.format("strip_accents(text)"))
+LIKE = f"""ln AS (SELECT item_id, COUNT(*) AS size FROM fq GROUP BY item_id), lh AS (SELECT item_id, doc_id, COUNT(*) AS hits FROM fq JOIN ({DOCS}) d ON contains(lower(d.text), fq.token) GROUP BY ALL),
+ls AS (SELECT item_id, doc_id, ROUND(hits / CAST(size AS DOUBLE), 4) AS score FROM lh JOIN ln USING (item_id))"""
+BM25 = f"""{FOLDED}, bd AS (SELECT doc_id, {TOKENS.format('strip_accents(text)')} AS t FROM ({DOCS})), bs AS (SELECT COUNT(*) AS docs, AVG(len(t)) AS avgdl FROM bd),
 btf AS (SELECT doc_id, dl, token, COUNT(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM bd) GROUP BY ALL), bdf AS (SELECT token, COUNT(*) AS df FROM btf GROUP BY token),
 b0 AS (SELECT item_id, doc_id, ROUND(-SUM(GREATEST(ln((docs - df + 0.5) / (df + 0.5)), {R.LEAST_IDF}) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avgdl))), 4) + 0.0 AS bm25 FROM fq JOIN bdf USING (token) JOIN btf USING (token), bs GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, {_RANK.format(q='item_id', o='bm25, doc_id')} FROM b0) WHERE rank <= {K}),
@@ -168,10 +197,13 @@ def fnv(c: str) -> str:
     return f"list_reduce({chars}, lambda h, ch: CAST((xor(h, ch) * 16777619) % 4294967296 AS BIGINT), CAST(2166136261 AS BIGINT))"
 
 
+_HAN_PARTS = "flatten(list_transform(list_filter(t, lambda x: length(x) > 2 AND regexp_matches(x, '\\p{Han}')), lambda x: list_concat(list_transform(range(1, length(x)), lambda j: substr(x, j, 2)), list_transform(range(1, length(x) - 1), lambda j: substr(x, j, 3)))))"
+
+
 def terms(name: str, source: str, keys: str, text: str) -> str:
     """Tables that end in ``name(keys, bin, weight)``."""
     return f"""{name}t AS (SELECT {keys}, {TOKENS.format(text)} AS t FROM {source}),
-{name}x AS (SELECT {keys}, unnest(list_concat(t, list_transform(range(1, GREATEST(len(t), 1)), lambda i: t[i] || '_' || t[i + 1]))) AS token FROM {name}t),
+{name}x AS (SELECT {keys}, unnest(list_concat(list_concat(t, {_HAN_PARTS}), list_transform(range(1, GREATEST(len(t), 1)), lambda i: t[i] || '_' || t[i + 1]))) AS token FROM {name}t),
 {name}n AS (SELECT {keys}, token, COUNT(*) AS n FROM {name}x GROUP BY ALL),
 {name}h AS (SELECT token, {fnv('token')} % {T.VECTOR_BINS} AS bin FROM (SELECT DISTINCT token FROM {name}n)),
 {name}w AS (SELECT {keys}, bin, SUM(n * CAST(CASE WHEN contains(token, '_') THEN 1.4 WHEN length(token) >= 6 THEN 1.2 ELSE 1 END AS DOUBLE)) AS w FROM {name}n JOIN {name}h USING (token) GROUP BY ALL),
@@ -190,22 +222,25 @@ fr AS (SELECT * FROM (SELECT item_id, doc_id, score, signals, {_RANK.format(q='i
 
 
 _TRUTH = "tr AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '')"
-_QUALITY = " UNION ALL ".join(f"SELECT '{n}' AS signal, COUNT(*) AS cases, CAST(SUM(CASE WHEN r <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(SUM(CASE WHEN r <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS top3 FROM (SELECT item_id, COALESCE(MIN(rank), 99) AS r FROM tr LEFT JOIN {t} USING (item_id, doc_id) GROUP BY item_id)" for n, t in (("lexical", "lex"), ("fulltext", "b"), ("vector", "vec")))
+_QUALITY = " UNION ALL ".join(f"SELECT '{n}' AS signal, COUNT(*) AS cases, CAST(SUM(CASE WHEN r <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(SUM(CASE WHEN r <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS top3 FROM (SELECT item_id, COALESCE(MIN(rank), 99) AS r FROM tr LEFT JOIN {t} USING (item_id, doc_id) GROUP BY item_id)" for n, t in (("lexical", "lex"), ("fulltext", "bc"), ("vector", "vec"), ("fused", "fr")))
 
 SQL = {
     "term_counts": f"WITH {DT}, c AS (SELECT doc_id, token, COUNT(*) AS tf FROM dt GROUP BY ALL) SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM c GROUP BY token",
     "corpus_stats": f"SELECT lang, COUNT(*) AS docs, CAST(SUM(dl) AS BIGINT) AS tokens, CAST(MAX(dl) AS BIGINT) AS longest, ROUND(AVG(dl), 4) AS avgdl FROM (SELECT lang, len({TOKENS.format('text')}) AS dl FROM ({DOCS})) GROUP BY lang",
     "lexical_recall": f"WITH {LEXICAL} SELECT item_id, doc_id, score, rank FROM lex",
-    "like_recall": f"WITH {FIRST}, n AS (SELECT item_id, COUNT(*) AS size FROM fq GROUP BY item_id), h AS (SELECT item_id, doc_id, COUNT(*) AS n FROM fq JOIN ({DOCS}) d ON contains(lower(d.text), fq.token) GROUP BY ALL), s AS (SELECT item_id, doc_id, ROUND(n / CAST(size AS DOUBLE), 4) AS score FROM h JOIN n USING (item_id)) SELECT * FROM (SELECT *, {_RANK.format(q='item_id', o='score DESC, doc_id')} FROM s) WHERE rank <= {K}".replace("h.n", "n"),
+    "like_recall": f"WITH {FIRST}, {LIKE} SELECT item_id, doc_id, score, {_RANK.format(q='item_id', o='score DESC, doc_id')} FROM ls QUALIFY rank <= {K}",
+    "bm25_accented": f"WITH {BM25} SELECT item_id, doc_id, bm25, rank FROM b".replace("FROM benchmark", "FROM (SELECT item_id, translate(text, 'aeiou', 'áèîöū') AS text FROM benchmark)"),
+    "recall_snippets": f"WITH {BM25}, wq AS (SELECT item_id, list(DISTINCT token) AS wanted FROM fq GROUP BY item_id), sn AS (SELECT b.item_id, b.doc_id, rank, wanted, regexp_extract_all(COALESCE(text, ''), '[\\p{{L}}\\p{{N}}]+') AS w FROM b JOIN wq USING (item_id) JOIN documents USING (doc_id)), sa AS (SELECT *, COALESCE(list_min(list_filter(range(1, len(w) + 1), lambda i: list_contains(wanted, strip_accents(lower(w[i]))))), 1) AS pos FROM sn) SELECT item_id, doc_id, rank, CASE WHEN pos > 1 THEN '...' ELSE '' END || array_to_string(list_slice(w, pos, pos + 17), ' ') || CASE WHEN len(w) > pos + 17 THEN '...' ELSE '' END AS snippet FROM sa",
+    "full_text_recall": f"WITH pq AS (SELECT item_id, array_to_string(list_transform(list_slice(list_filter({TOKENS.format('text')}, lambda t: length(t) >= 7), 1, 4), lambda t: substr(t, 2, 5)), ' ') AS text FROM benchmark), {BM25.replace('FROM benchmark)', 'FROM pq)')}, lq0 AS (SELECT * FROM pq WHERE item_id NOT IN (SELECT item_id FROM b)), {FIRST.replace('fq AS', 'lf AS').replace('FROM benchmark)', 'FROM lq0)')}, {LIKE.replace('FROM fq', 'FROM lf').replace('fq.token', 'lf.token')}, un AS (SELECT item_id, doc_id, score, bm25 AS tie FROM bc0 UNION ALL SELECT item_id, doc_id, score, 0 FROM ls QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {K}) SELECT item_id, doc_id, score, {_RANK.format(q='item_id', o='score DESC, tie, doc_id')} FROM un QUALIFY rank <= {K}",
+    "han_embedding": f"WITH hb AS (SELECT item_id, COALESCE(text, '') || ' ' || {list(HAN)}[item_id % {len(HAN)} + 1] AS text FROM benchmark), {terms('hv', 'hb', 'item_id', 'text')} SELECT item_id, CAST(bin AS BIGINT) AS bin, ROUND(weight, 4) AS weight FROM hv",
     "bm25_recall": f"WITH {BM25} SELECT item_id, doc_id, bm25, rank FROM b",
     "fts_score_compat": f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bc",
     "fnv_hash": f"WITH {DT} SELECT token, {fnv('token')} AS hash FROM (SELECT DISTINCT token FROM dt)",
     "hashed_embedding": f"WITH {CHUNKS}, {terms('cv', 'cc', 'doc_id, chunk_no', 'chunk')} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(bin AS BIGINT) AS bin, ROUND(weight, 4) AS weight FROM cv",
-    "vector_best_chunk": f"WITH {VECTOR} SELECT item_id, doc_id, chunk_no, score, rank FROM (SELECT *, {_RANK.format(q='item_id', o='score DESC, doc_id, chunk_no')} FROM vs) WHERE rank <= 20",
+    "vector_best_chunk": f"WITH {VECTOR} SELECT item_id, doc_id, chunk_no, score, {_RANK.format(q='item_id', o='score DESC, doc_id')} FROM (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_no) = 1) QUALIFY rank <= 20",
     "vector_recall": f"WITH {VECTOR} SELECT item_id, doc_id, score, rank FROM vec",
     "dense_cosine_topk": f"WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM u), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.v, r.v) / (q.l * r.l), 4) AS score FROM n q JOIN n r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, {_RANK.format(q='query_id', o='score DESC, vec_id')} FROM s) WHERE rank <= {K}",
     "embedding_reuse": f"WITH {CHUNKS}, h AS (SELECT doc_id, sha256(chunk) AS x FROM cc), r AS (SELECT DISTINCT x FROM h WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, COUNT(*) AS chunks, CAST(SUM(CASE WHEN r.x IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reused FROM h LEFT JOIN r USING (x) GROUP BY doc_id",
     "score_normalize": f"WITH {LEXICAL}, {fused_sql([('lexical', 'lex', True)])} SELECT item_id, doc_id, score AS normalized, rank FROM fr",
-    "recall_quality": f"WITH {LEXICAL}, {BM25}, {VECTOR}, {_TRUTH} {_QUALITY}",
     "latency_percentile": "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, MAX(n) AS runs, MAX(CASE WHEN r = ceil(n * 0.5) THEN value END) AS p50, MAX(CASE WHEN r = ceil(n * 0.95) THEN value END) AS p95 FROM e GROUP BY event_type",
 }

@@ -116,8 +116,15 @@ def incremental_upsert(spark, sf_dir):
     return N.upsert(base, delta, "doc_id")
 
 
+def chunked(spark, sf_dir):
+    """doc_id, chunk_no, chunk: every note's chunks, number 0 of its title, description and tags."""
+    notes = N.build_notes(N.from_documents(table(spark, sf_dir, "documents")))
+    c = notes.select("doc_id", F.explode(T.note_chunks(F.col("title"), F.col("description"), F.col("tags"), F.col("body"))).alias("c"))
+    return c.select("doc_id", F.col("c.chunk_no").cast("long").alias("chunk_no"), F.col("c.chunk").alias("chunk")).where("chunk is not null")
+
+
 def chunk_notes(spark, sf_dir):
-    c = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    c = chunked(spark, sf_dir)
     return c.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("chars"), F.sha2(F.col("chunk").cast("binary"), 256).alias("content_hash"))
 
 
@@ -173,8 +180,12 @@ def unmarked(c: str) -> str:
 _EXT = "lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]*)$', 1), '\\.([A-Za-z0-9]+)$', 1))"
 _STATES = "s AS (SELECT d.doc_id, COALESCE(text, '') AS text, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))"
 PATH = "'concepts/doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md'"
-CHUNKS = f"""cb AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM ({DOCS})),
-cc AS (SELECT doc_id, i AS chunk_no, substr(body, CAST(i * {T.CHUNK_CHARS} + 1 AS BIGINT), {T.CHUNK_CHARS}) AS chunk FROM (SELECT doc_id, body, unnest(range(0, CAST(ceil(length(body) / {T.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM cb))"""
+HEADS = """hk AS (SELECT doc_id, list(token ORDER BY rank) AS words FROM wr WHERE rank <= 5 GROUP BY doc_id),
+hg AS (SELECT d4.doc_id, title, summary, list_concat(list_filter([lang, source], lambda x: x IS NOT NULL), COALESCE(words, [])) AS t FROM d4 LEFT JOIN hk USING (doc_id)),
+hd AS (SELECT doc_id, title || chr(10) || summary || chr(10) || array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS head FROM hg)"""
+CHUNKS = f"""{TITLED}, {KEYWORDS}, {HEADS}, cb AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM ({DOCS})),
+cc AS (SELECT doc_id, i + 1 AS chunk_no, substr(body, CAST(i * {T.CHUNK_CHARS} + 1 AS BIGINT), {T.CHUNK_CHARS}) AS chunk FROM (SELECT doc_id, body, unnest(range(0, CAST(ceil(length(body) / {T.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM cb)
+ UNION ALL SELECT doc_id, 0, head FROM hd WHERE regexp_matches(head, '\\S'))"""
 
 SQL = {
     "tokenize_docs": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM ({DOCS}))",
