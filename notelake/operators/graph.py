@@ -79,7 +79,7 @@ def analyse(notes: DataFrame, dictionary: dict[str, tuple[str, ...]] = DOMAINS)
     rows = notes.withColumn("tags", tags).withColumn("entities", entities(F.concat_ws(" ", "title", "description", "body")))
     words = F.array_except(T.tokens(F.concat_ws(" ", "title", "description", F.array_join("tags", " "), "body")), F.array(*map(F.lit, T.ENTITY_STOP_WORDS)))
     return rows.select(
-        "doc_id", "path", "title", "description", "resource", "confidence", "tags", "entities",
+        "doc_id", "path", "title", "description", "resource", "timestamp", "confidence", "tags", "entities",
         F.concat(F.lit("concept:"), T.normalized_id(F.col("path"))).alias("concept_id"),
         F.array_distinct(F.transform("tags", F.lower)).alias("tag_keys"),
         F.slice(F.filter(words, lambda t: F.length(t) > 3), 1, MAX_KEYWORDS).alias("keywords"),
@@ -96,14 +96,19 @@ def _confidence(kind: Column) -> Column:
 
 
 def objects(analysed: DataFrame) -> DataFrame:
-    """id, type, name, confidence: one row for each object."""
-    concept = analysed.select(F.col("concept_id").alias("id"), F.lit("Concept").alias("type"), F.col("title").alias("name"), "confidence")
+    """id, type, name, confidence, properties: one row for each object. Where notes differ the last in order (the oldest) counts."""
+    text = lambda **p: F.create_map(*[x for k, v in p.items() for x in (F.lit(k), v.cast("string"))])
+    kind = T.source_type(F.coalesce("resource", F.lit("")))
     none = F.lit(None).cast("double").alias("confidence")
-    source = analysed.where("resource <> ''").select(_id("source", F.col("resource")).alias("id"), F.lit("Source").alias("type"), F.col("resource").alias("name"), none)
-    tag = analysed.select(F.explode("tags").alias("name")).select(_id("tag", F.col("name")).alias("id"), F.lit("Tag").alias("type"), "name", none)
-    entity = analysed.select(F.explode("entities").alias("e")).select("e.id", F.lit("Entity").alias("type"), "e.name", _confidence(F.col("e.kind")).alias("confidence"))
+    row = lambda id_, type_, name, confidence, properties, pos: ["doc_id", pos.cast("int").alias("pos"), id_.alias("id"), F.lit(type_).alias("type"), name.alias("name"), confidence, properties.alias("properties")]
+    col = F.col
+    concept = analysed.select(*row(col("concept_id"), "Concept", col("title"), col("confidence"), text(title=col("title"), description=col("description"), path=col("path"), timestamp=col("timestamp"), confidence=col("confidence"), source_type=kind), F.lit(0)))
+    source = analysed.where("resource <> ''").select(*row(_id("source", col("resource")), "Source", col("resource"), none, text(resource=col("resource"), source_type=kind), F.lit(0)))
+    tag = analysed.select("doc_id", F.posexplode("tags").alias("pos", "t")).select(*row(_id("tag", col("t")), "Tag", col("t"), none, text(name=col("t")), col("pos")))
+    entity = analysed.select("doc_id", F.posexplode("entities").alias("pos", "e")).select(*row(col("e.id"), "Entity", col("e.name"), _confidence(col("e.kind")).alias("confidence"), text(name=col("e.name"), kind=col("e.kind")), col("pos")))
     every = concept.unionByName(source).unionByName(tag).unionByName(entity)
-    return every.groupBy("id", "type").agg(F.min("name").alias("name"), F.max("confidence").alias("confidence"))
+    last = F.struct("doc_id", -F.col("pos"))
+    return every.groupBy("id", "type").agg(F.min_by("name", last).alias("name"), F.max("confidence").alias("confidence"), F.min_by("properties", last).alias("properties"))
 
 
 def structural_links(analysed: DataFrame) -> DataFrame:
@@ -140,17 +145,17 @@ def candidate_pairs(analysed: DataFrame, order: Column | None = None) -> DataFra
 
 
 def pair_scores(analysed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, type, confidence, evidence_count of the candidate pairs that share enough."""
+    """a, b, type, confidence, evidence_count, evidence (six things shared at most) of the candidate pairs that share enough."""
     side = lambda s: analysed.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tag_keys", "entities", "keywords", "domains")])
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     ids_b = F.transform("entities_b", lambda e: e["id"])
     shared = F.filter("entities_a", lambda e: F.array_contains(ids_b, e["id"]))
     rows = rows.withColumns({"tags": F.array_intersect("tag_keys_a", "tag_keys_b"), "ents": F.transform(shared, lambda e: e["name"]), "words": F.array_intersect("keywords_a", "keywords_b"), "doms": F.array_intersect("domains_a", "domains_b")})
-    rows = rows.withColumn("evidence_count", F.least(F.lit(6), F.size(F.array_distinct(F.concat("tags", "ents", "words")))).cast("long"))
+    rows = rows.withColumn("evidence", F.slice(F.array_distinct(F.concat("tags", "ents", "words")), 1, 6)).withColumn("evidence_count", F.size("evidence").cast("long"))
     weight = 3 * F.size("tags") + 2 * F.size("ents") + F.size("words")
     similar = F.least(F.lit(0.95), F.lit(0.5) + F.least(F.lit(7), weight) * 0.06)
     kind = F.when(F.col("evidence_count") >= 2, "similar_to").when(F.size("doms") > 0, "same_domain")
-    return rows.withColumn("type", kind).where("type is not null").select("a", "b", "type", F.round(F.when(F.col("type") == "similar_to", similar).otherwise(SAME_DOMAIN), 4).alias("confidence"), F.when(F.col("type") == "similar_to", F.col("evidence_count")).otherwise(1).alias("evidence_count"))
+    return rows.withColumn("type", kind).where("type is not null").select("a", "b", "type", F.round(F.when(F.col("type") == "similar_to", similar).otherwise(SAME_DOMAIN), 4).alias("confidence"), F.when(F.col("type") == "similar_to", F.col("evidence_count")).otherwise(1).alias("evidence_count"), F.when(F.col("type") == "similar_to", F.col("evidence")).otherwise(F.slice("doms", 1, 1)).alias("evidence"))
 
 
 def proposal_order() -> list[Column]:
@@ -188,7 +193,7 @@ def capped_links(scored: DataFrame, top_k: int = TOP_K, walked: int = WALKED) ->
     """
     rank = F.row_number().over(Window.partitionBy("a").orderBy(*proposal_order()))
     rows = materialise(scored.withColumn("rank", rank).withColumn("state", F.lit(0)), "proposals")  # 0 open, 1 taken, -1 dropped
-    chosen = ["a", "b", "type", "confidence", "evidence_count", F.col("rank").cast("long").alias("rank")]
+    chosen = ["a", "b", "type", "confidence", "evidence_count", *(["evidence"] if "evidence" in scored.columns else []), F.col("rank").cast("long").alias("rank")]
     while True:
         waiting = rows.where("state = 0").select(F.explode(F.array("a", "b")).alias("node")).distinct()
         near = rows.join(waiting.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(rows.join(waiting.withColumnRenamed("node", "a"), "a", "left_anti").join(waiting.withColumnRenamed("node", "b"), "b", "left_semi").select(rows.columns))
@@ -216,11 +221,11 @@ def action_id(kind: Column, targets: Column) -> Column:
     return F.concat(F.lit("action:"), kind, F.lit(":"), F.substring(F.sha1(said.cast("binary")), 1, 12))
 
 
-def actions(analysed: DataFrame, links: DataFrame, similar: DataFrame | None, n: int = ACTIONS) -> DataFrame:
-    """id, type, targets, description, confidence: what the graph suggests, ``n`` of each kind at most."""
+def actions(analysed: DataFrame, links: DataFrame, similar: DataFrame | None, n: int = ACTIONS, merges: int = ACTIONS) -> DataFrame:
+    """id, type, targets, description, confidence: what the graph suggests, ``n`` of each kind (``merges`` merges) at most."""
     parts = []
     if similar is not None:
-        merge = similar.where((F.col("type") == "similar_to") & (F.col("confidence") >= MERGE_FROM)).orderBy(F.desc("a"), *proposal_order()).limit(n)
+        merge = similar.where((F.col("type") == "similar_to") & (F.col("confidence") >= MERGE_FROM)).orderBy(F.desc("a"), *proposal_order()).limit(merges)
         concept = lambda c: F.concat(F.lit("concept:concepts-doc-"), F.lpad(F.col(c).cast("string"), 8, "0"), F.lit("-md"))
         parts.append(merge.select(F.lit("merge_duplicate_concepts").alias("type"), F.array(concept("a"), concept("b")).alias("targets"), F.lit("High-overlap notes: review for duplicates.").alias("description"), "confidence"))
     promote = hotspots(links, n).where("mentions >= 2")
@@ -233,12 +238,21 @@ def actions(analysed: DataFrame, links: DataFrame, similar: DataFrame | None, n:
     return out.withColumn("id", action_id(F.col("type"), F.col("targets")))
 
 
-def recall_postings(analysed: DataFrame) -> DataFrame:
-    """doc_id, token, n: the words of a concept's title, description and of its links, with their targets and evidence."""
+def recall_postings(analysed: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """doc_id, token, n: the words of a concept's title, description and of its links, with their other ends and evidence.
+
+    With ``similar`` (what ``capped_links`` gives) its links count at both of their ends.
+    """
     source = F.when(F.col("resource") != "", F.concat(F.lit("derived_from "), "resource", F.lit(" "), "path"))
     tag = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("has_tag "), t, F.lit(" "), "path")), " ")
     entity = F.array_join(F.transform("entities", lambda e: F.concat(F.lit("mentions "), e["name"], F.lit(" "), "path")), " ")
-    return analysed.select("doc_id", F.explode(T.tokens(F.concat_ws(" ", "title", "description", source, tag, entity))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    words = analysed.select("doc_id", F.explode(T.tokens(F.concat_ws(" ", "title", "description", source, tag, entity))).alias("token"))
+    if similar is not None:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other"))))
+        links = similar.select("type", "evidence", ends.alias("e")).select("e.*", "type", "evidence")
+        titled = links.join(analysed.select(F.col("doc_id").alias("other"), "title"), "other")
+        words = words.unionByName(titled.select("doc_id", F.explode(T.tokens(F.concat_ws(" ", "type", "title", F.array_join("evidence", " ")))).alias("token")))
+    return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def priority(confidence: Column) -> Column:
@@ -249,7 +263,10 @@ def reconcile(current: DataFrame, previous: DataFrame, at: str) -> DataFrame:
     """The action queue: current suggestions with the states that they had, and what becomes of those no longer made."""
     now = current.select("id", *[F.col(c).alias(f"now_{c}") for c in ("type", "targets", "description", "confidence")], F.lit(True).alias("is_now"))
     old = previous.select("id", *[F.col(c).alias(f"old_{c}") for c in ("type", "targets", "description", "confidence", "status", "updated_at", "history")], F.lit(True).alias("was"))
-    rows = now.join(old, "id", "full_outer").withColumn("is_now", F.coalesce("is_now", F.lit(False))).withColumn("was", F.coalesce("was", F.lit(False)))
+    more = [c for c in ("created_at", "closed_at") if c in previous.columns]
+    old = old.join(previous.select("id", *[F.col(c).alias(f"old_{c}") for c in more]), "id") if more else old
+    old = old.withColumns({f"old_{c}": F.lit(None).cast("string") for c in ("created_at", "closed_at") if c not in more})
+    rows = now.join(old.withColumn("closed_at", F.col("old_closed_at")), "id", "full_outer").withColumn("is_now", F.coalesce("is_now", F.lit(False))).withColumn("was", F.coalesce("was", F.lit(False)))
     pick = lambda c: F.when(F.col("is_now"), F.col(f"now_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
     kept = F.when(F.col("old_status").isin(*STATUSES), F.col("old_status")).otherwise("proposed")
     gone = F.when(F.col("old_status") == "proposed", "archived").otherwise(F.col("old_status"))
@@ -262,6 +279,8 @@ def reconcile(current: DataFrame, previous: DataFrame, at: str) -> DataFrame:
         (~F.col("is_now") & open_).alias("stale"),
         F.when(~F.col("is_now") & (F.col("old_status") == "proposed"), "suggestion_not_current").alias("archived_reason"),
         updated.alias("updated_at"),
+        F.coalesce("old_created_at", "old_updated_at", F.lit(at)).alias("created_at"),
+        "closed_at",
         F.coalesce("old_history", F.array().cast("array<struct<at:string,from:string,to:string,note:string>>")).alias("history"),
     ).withColumn("priority", priority(F.col("confidence")))
 
@@ -280,41 +299,154 @@ def with_status(queue: DataFrame, which: Column, status: str, at: str, note: str
         "history": F.when(which, F.array_append("history", entry)).otherwise(F.col("history")),
         "updated_at": F.when(which, F.lit(at)).otherwise(F.col("updated_at")),
         "archived_reason": F.when(which & F.lit(status == "archived"), F.coalesce("archived_reason", F.lit(note.strip() or "manual_update"))).otherwise(F.col("archived_reason")),
-        "closed_at": F.when(which, F.lit(at if status in STATUSES[3:] else None).cast("string")),
+        "closed_at": F.when(which, F.lit(at if status in STATUSES[3:] else None).cast("string")).otherwise(F.col("closed_at") if "closed_at" in queue.columns else F.lit(None)),
         "status": F.when(which, F.lit(status)).otherwise(F.col("status")),
     }
     return queue.withColumns(columns)
 
 
-def graph_issues(objects_: DataFrame, links: DataFrame) -> DataFrame:
-    """code, path: objects and links that break the graph's rules."""
-    known = objects_.select(F.col("id").alias("key"), F.col("type").alias("kind"))
-    ends = {"derived_from": "Source", "has_tag": "Tag", "mentions": "Entity", "similar_to": "Concept", "same_domain": "Concept"}
-    target = F.element_at(F.create_map(*[F.lit(x) for p in ends.items() for x in p]), F.col("type"))
+#: Fixed values of the schema: what objects must have, which ends links join, what actions are about.
+OBJECT_TYPES = {"Concept": ("title", "description", "path", "timestamp", "confidence", "source_type"), "Source": ("resource", "source_type"), "Tag": ("name",), "Entity": ("name", "kind")}
+LINK_TYPES = {"derived_from": ("Concept", "Source"), "has_tag": ("Concept", "Tag"), "mentions": ("Concept", "Entity"), "similar_to": ("Concept", "Concept"), "same_domain": ("Concept", "Concept")}
+ACTION_TYPES = {"merge_duplicate_concepts": ("Concept", "Concept"), "promote_entity_note": ("Entity",), "enrich_ambiguous_concept": ("Concept",), "schedule_review": ("Concept",)}
+SCHEMA_SECTIONS = ("objectTypes", "linkTypes", "actionTypes")
+
+
+def _issues(rows: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFrame:
+    """code, path: of each row those rules that it breaks."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), path.alias("path"))) for bad, code, path in rules]))
+    return rows.select(F.explode(found).alias("i")).select("i.code", F.coalesce("i.path", F.lit("")).alias("path"))
+
+
+def _table(values: dict, of: Column) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), of)
+
+
+def _blank(c: str) -> Column:
+    return T.trimmed(T.text_of(c)) == ""
+
+
+def object_issues(objects_: DataFrame) -> DataFrame:
+    """code, path of objects (id, type, properties)."""
+    nothing = F.col("id").isNull() & F.col("type").isNull() & F.col("properties").isNull()
+    known = F.coalesce(F.col("type").isin(*OBJECT_TYPES), F.lit(False))
+    has = F.col("properties").isNotNull()
+    confidence = F.expr("try_cast(properties['confidence'] as double)")
+    path = F.col("id")
+    rules = [
+        (nothing, "invalid_object", path),
+        (~nothing & _blank("id"), "missing_object_id", path),
+        (~nothing & ~known, "unknown_object_type", path),
+        (known & ~has, "invalid_object_properties", path),
+        *[(has & (F.col("type") == kind) & (T.text_of(F.element_at("properties", p)) == ""), "missing_object_property", F.concat_ws(".", "id", F.lit(p))) for kind, names in OBJECT_TYPES.items() for p in names],
+        (has & (F.col("type") == "Concept") & ~F.coalesce(confidence.between(0, 1), F.lit(False)), "invalid_confidence", path),
+    ]
+    again = objects_.where(~_blank("id")).groupBy(F.col("id").alias("path")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_object_id").alias("code"), "path")
+    return _issues(objects_, rules).unionByName(again)
+
+
+def link_issues(links: DataFrame, objects_: DataFrame) -> DataFrame:
+    """code, path of links (type, from_id, to_id, confidence, evidence)."""
+    ends = objects_.where(~_blank("id")).groupBy(F.col("id").alias("key")).agg(F.min("type").alias("kind"))
+    rows = links.join(ends.select(F.col("key").alias("from_id"), F.col("kind").alias("from_kind")), "from_id", "left").join(ends.select(F.col("key").alias("to_id"), F.col("kind").alias("to_kind")), "to_id", "left")
+    nothing = F.col("type").isNull() & F.col("from_id").isNull() & F.col("to_id").isNull()
+    known = F.coalesce(F.col("type").isin(*LINK_TYPES), F.lit(False))
     name = F.concat_ws("|", "type", "from_id", "to_id")
-    a = links.join(known, F.col("from_id") == F.col("key"), "left").select(name.alias("path"), F.when(F.col("kind").isNull(), "missing_link_from").when(F.col("kind") != "Concept", "link_from_type_mismatch").alias("code"))
-    b = links.join(known, F.col("to_id") == F.col("key"), "left").select(name.alias("path"), F.when(F.col("kind").isNull(), "missing_link_to").when(F.col("kind") != target, "link_to_type_mismatch").alias("code"))
-    c = links.select(name.alias("path"), F.when(~F.col("type").isin(*ends), "unknown_link_type").when(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "invalid_link_confidence").alias("code"))
-    d = objects_.select(F.col("id").alias("path"), F.when(F.coalesce("id", F.lit("")) == "", "missing_object_id").when(~F.col("type").isin("Concept", "Source", "Tag", "Entity"), "unknown_object_type").when(F.coalesce("name", F.lit("")) == "", "missing_object_property").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "invalid_confidence").alias("code"))
-    e = objects_.groupBy(F.col("id").alias("path")).agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("duplicate_object_id").alias("code"))
-    return a.unionByName(b).unionByName(c).unionByName(d).where("code is not null").unionByName(e)
-
-
-def queue_issues(queue: DataFrame, objects_: DataFrame) -> DataFrame:
-    """code, path: actions that break the queue's rules."""
-    rules = (
-        (F.coalesce("id", F.lit("")) == "", "missing_action_id"),
-        (F.coalesce("type", F.lit("")) == "", "missing_action_type"),
-        (~F.coalesce("status", F.lit("")).isin(*STATUSES), "invalid_action_status"),
-        (~F.coalesce("priority", F.lit("")).isin("high", "medium", "low"), "invalid_action_priority"),
-        (F.col("targets").isNull(), "invalid_action_targets"),
-        (F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "invalid_action_confidence"),
-        (F.coalesce("description", F.lit("")) == "", "missing_action_description"),
-    )
-    own = queue.select("id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in rules]))).alias("code"))
-    again = queue.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate_action_id").alias("code"))
-    lost = queue.select("id", F.explode("targets").alias("target")).join(objects_.select(F.col("id").alias("target")), "target", "left_anti").select("id", F.lit("missing_action_target").alias("code"))
-    return own.unionByName(again).unionByName(lost).select("code", F.col("id").alias("path"))
+    wanted = [_table({k: F.lit(v[i]) for k, v in LINK_TYPES.items()}, F.col("type")) for i in (0, 1)]
+    rules = [
+        (nothing, "invalid_link", name),
+        (~nothing & ~known, "unknown_link_type", name),
+        (known & F.col("from_kind").isNull(), "missing_link_from", name),
+        (known & F.col("to_kind").isNull(), "missing_link_to", name),
+        (known & (F.col("from_kind") != wanted[0]), "link_from_type_mismatch", name),
+        (known & (F.col("to_kind") != wanted[1]), "link_to_type_mismatch", name),
+        (known & ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "invalid_link_confidence", name),
+        (known & F.col("evidence").isNull(), "invalid_link_evidence", name),
+    ]
+    return _issues(rows, rules)
+
+
+def action_issues(actions_: DataFrame, objects_: DataFrame) -> DataFrame:
+    """code, path of actions (id, type, targets, description, confidence)."""
+    nothing = F.col("type").isNull() & F.col("targets").isNull() & F.col("description").isNull()
+    known = F.coalesce(F.col("type").isin(*ACTION_TYPES), F.lit(False))
+    has, path = F.col("targets").isNotNull(), F.col("id")
+    inputs = _table({k: F.array(*map(F.lit, v)) for k, v in ACTION_TYPES.items()}, F.col("type"))
+    own = _issues(actions_, [
+        (nothing, "invalid_action", path),
+        (~nothing & ~known, "unknown_action_type", path),
+        (known & ~has, "invalid_action_targets", path),
+        (known & has & (F.size("targets") < F.size(inputs)), "action_target_count_mismatch", path),
+        (known & has & F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1), "invalid_action_confidence", path),
+        (known & has & _blank("description"), "missing_action_description", path),
+    ])
+    kinds = objects_.where(~_blank("id")).groupBy(F.col("id").alias("target")).agg(F.min("type").alias("kind"))
+    targets = actions_.where(known & has).select("id", inputs.alias("inputs"), F.posexplode("targets").alias("nth", "target")).join(kinds, "target", "left")
+    at = F.concat(F.col("id"), F.lit("["), F.col("nth").cast("string"), F.lit("]"))
+    expected = F.get("inputs", F.least(F.col("nth"), F.size("inputs") - 1))
+    return own.unionByName(_issues(targets, [(F.col("kind").isNull(), "missing_action_target", at), (F.col("kind") != expected, "action_target_type_mismatch", at)]))
+
+
+def schema_rows(spark) -> DataFrame:
+    """The schema as a table: section, type, properties, from_type, to_type, inputs."""
+    rows = [("objectTypes", k, list(v), None, None, None) for k, v in OBJECT_TYPES.items()]
+    rows += [("linkTypes", k, None, *v, None) for k, v in LINK_TYPES.items()]
+    rows += [("actionTypes", k, None, None, None, list(v)) for k, v in ACTION_TYPES.items()]
+    return spark.createDataFrame(rows, "section string, type string, properties array<string>, from_type string, to_type string, inputs array<string>")
+
+
+def schema_issues(schema: DataFrame) -> DataFrame:
+    """code, path of a graph's schema table, held against ``schema_rows``."""
+    spark = schema.sparkSession
+    want = schema_rows(spark).select("section", "type", *[F.col(c).alias(f"w_{c}") for c in ("properties", "from_type", "to_type", "inputs")])
+    some = schema.agg(F.count("*").alias("rows"), F.collect_set("section").alias("sections"))  # one row, three names
+    rows = want.join(schema.withColumn("is_there", F.lit(True)), ["section", "type"], "left").crossJoin(F.broadcast(some))
+    has_section, there = F.array_contains("sections", F.col("section")), F.col("is_there").isNotNull()
+    path = F.concat_ws(".", F.lit("schema"), "section", "type")
+    lost = F.array_except("w_properties", F.coalesce("properties", F.array().cast("array<string>")))
+    own = _issues(rows, [
+        (has_section & ~there, "missing_schema_type", path),
+        (there & (F.col("w_from_type") != F.coalesce("from_type", F.lit(""))), "schema_type_mismatch", F.concat(path, F.lit(".from"))),
+        (there & (F.col("w_to_type") != F.coalesce("to_type", F.lit(""))), "schema_type_mismatch", F.concat(path, F.lit(".to"))),
+        (there & F.col("w_inputs").isNotNull() & ~F.col("w_inputs").eqNullSafe(F.col("inputs")), "schema_inputs_mismatch", path),
+    ])
+    properties = rows.where(there & F.col("w_properties").isNotNull()).select(F.explode(lost).alias("p"), path.alias("path")).select(F.lit("missing_schema_property").alias("code"), F.concat_ws(".", "path", "p").alias("path"))
+    sections = rows.select("section", has_section.alias("has"), F.col("rows")).distinct().where(~F.col("has") & (F.col("rows") > 0)).select(F.lit("missing_schema_section").alias("code"), F.concat_ws(".", F.lit("schema"), "section").alias("path"))
+    none = some.where("rows = 0").select(F.lit("missing_schema").alias("code"), F.lit("schema").alias("path"))
+    return own.unionByName(properties).unionByName(sections).unionByName(none)
+
+
+def graph_issues(objects_: DataFrame, links: DataFrame, actions_: DataFrame | None = None, schema: DataFrame | None = None) -> DataFrame:
+    """code, path: whatever in a graph breaks its rules."""
+    out = object_issues(objects_).unionByName(link_issues(links, objects_))
+    out = out if actions_ is None else out.unionByName(action_issues(actions_, objects_))
+    return out if schema is None else out.unionByName(schema_issues(schema))
+
+
+def queue_issues(queue: DataFrame, objects_: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """code, path: actions that break the queue's rules. ``current``: the graph's actions; what is not stale must be among them."""
+    nothing = F.col("id").isNull() & F.col("type").isNull() & F.col("status").isNull()
+    stale = F.coalesce("stale", F.lit(False)) if "stale" in queue.columns else F.lit(False)
+    rows, path = queue.withColumn("_stale", stale), F.col("id")
+    own = _issues(rows, [
+        (nothing, "invalid_action", path),
+        (~nothing & _blank("id"), "missing_action_id", path),
+        (~nothing & _blank("type"), "missing_action_type", path),
+        (~nothing & ~F.coalesce("status", F.lit("")).isin(*STATUSES), "invalid_action_status", path),
+        (~nothing & ~F.coalesce("priority", F.lit("")).isin("high", "medium", "low"), "invalid_action_priority", path),
+        (~nothing & F.col("targets").isNull(), "invalid_action_targets", path),
+        (~nothing & ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "invalid_action_confidence", path),
+        (~nothing & _blank("description"), "missing_action_description", path),
+        *[(~nothing & _blank(c), f"missing_{c}", path) for c in ("created_at", "updated_at") if c in queue.columns],
+    ])
+    out = own.unionByName(rows.where(~_blank("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_action_id").alias("code"), F.col("id").alias("path")))
+    if objects_ is not None:
+        lost = rows.where("not _stale").select("id", F.explode("targets").alias("target")).join(objects_.select(F.col("id").alias("target")).distinct(), "target", "left_anti")
+        out = out.unionByName(lost.select(F.lit("missing_action_target").alias("code"), F.coalesce("id", F.lit("")).alias("path")))
+    if current is not None:
+        gone = rows.where(~F.col("_stale") & ~nothing).join(current.select("id").distinct(), "id", "left_anti")
+        out = out.unionByName(gone.select(F.lit("missing_graph_action").alias("code"), F.coalesce("id", F.lit("")).alias("path")))
+    return out
 
 
 def canvas_hash(c: Column) -> Column:
