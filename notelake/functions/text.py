@@ -67,6 +67,25 @@ def title(summary_: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.slice(words, 1, 8), " "), F.lit("")), F.lit("Untitled note"))
 
 
+def search_query(title_: Column, text: Column) -> Column:
+    """What to ask the web about a capture: its first 260 characters, and its title unless that looks made up."""
+    said = F.substring(trimmed(F.regexp_replace(text_of(text), f"{SPACE}+", " ")), 1, 260)
+    named = trimmed(text_of(title_))
+    return F.array_join(F.filter(F.array(said, F.when(named.rlike("(?i)验证|test|mock|demo|示例"), "").otherwise(named)), lambda x: x != ""), " ")
+
+
+def resource_address(c: Column) -> Column:
+    """A resource as exports write it: addresses as they are, paths with slashes, relative to the folder."""
+    slashed = F.replace(text_of(c), F.lit("\\"), F.lit("/"))
+    absolute = slashed.rlike("^([A-Za-z]:)?/")
+    return F.when(text_of(c).rlike("(?i)^(https?|file):") | (text_of(c) == "inline-input"), text_of(c)).when(absolute, F.concat(F.lit("file:///"), slashed)).when(slashed.startswith("."), slashed).otherwise(F.concat(F.lit("./"), slashed))
+
+
+def object_title(title_: Column, name: Column, resource: Column, id_: Column) -> Column:
+    """What an object is called: the first of these that says something."""
+    return F.coalesce(*[F.nullif(text_of(c), F.lit("")) for c in (title_, name, resource)], id_)
+
+
 def slug(title_: Column, text: Column) -> Column:
     base = F.substring(F.regexp_replace(F.regexp_replace(F.lower(title_), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""), 1, 70)
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("note")), F.lit("-"), F.substring(F.sha1(F.concat(title_, F.lit("\n"), text).cast("binary")), 1, 8))

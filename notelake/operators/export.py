@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.operators.notes import numbered
+from notelake.sources.captures import frontmatter
 
 
 def rendered_note(note_type: str = "Concept") -> Column:
@@ -16,11 +18,85 @@ def rendered_note(note_type: str = "Concept") -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def write_notes(notes: DataFrame, folder: str, parts: int | None = None) -> None:
-    """Valid notes (a type and a body) as Parquet of (path, markdown), links rewritten to Markdown links."""
-    valid = notes.where(T.trimmed(T.text_of("body")) != "")
+def write_notes(notes: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """Valid notes as Parquet of (path, markdown), with an index and a log of the export; returns what is wrong with it.
+
+    Valid are notes with a body (and a type, where there is such a column) and without an error. Links are Markdown links and
+    resources addresses. The index has a line for each note in order of paths; it is written from as many tasks as the notes.
+    """
+    ok = T.trimmed(T.text_of("body")) != ""
+    for c, good in (("type", lambda x: T.text_of(x) != ""), ("error", lambda x: F.col(x).isNull())):
+        ok = ok & good(c) if c in notes.columns else ok
+    valid = notes.where(ok).withColumn("resource", T.resource_address(F.coalesce(F.nullif(T.text_of("resource"), F.lit("")), F.lit("inline-input"))))
     out = valid.select("path", T.linked_as_markdown(rendered_note()).alias("markdown"))
-    (out if parts is None else out.repartition(parts, "path")).write.mode("overwrite").parquet(folder)
+    (out if parts is None else out.repartition(parts, "path")).write.mode("overwrite").parquet(f"{folder}/notes")
+    spark = notes.sparkSession
+    written = spark.read.parquet(f"{folder}/notes")
+    name = F.regexp_replace("path", r"\.md$", "")
+    index = numbered(written.select("path"), [F.col("path")], "nth").select("nth", F.concat(F.lit("- ["), name, F.lit("]("), F.replace("path", F.lit(" "), F.lit("%20")), F.lit(")")).alias("line"))
+    index.write.mode("overwrite").parquet(f"{folder}/index")
+    log = written.agg(F.count("*").alias("n")).select(F.concat(F.lit("# Export log\n\n- Exported files: "), F.col("n").cast("string"), F.lit("\n")).alias("markdown"))
+    log.write.mode("overwrite").parquet(f"{folder}/log")
+    return note_issues(written.select("path", F.col("markdown").alias("raw")))
+
+
+def note_issues(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, code: what is wrong with Markdown files (key, raw)."""
+    parts = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
+    n = files.withColumns({"_front": F.regexp_extract("raw", parts, 1), "_body": F.regexp_extract("raw", parts, 2), "_has": F.col("raw").rlike(parts), "_error": frontmatter(F.col("raw"))["error"]})
+    has = F.col("_has")
+    rules = ((~has, "missing_frontmatter"), (has & (F.col("_error") == "invalid_frontmatter"), "invalid_frontmatter"), (has & ~F.col("_front").rlike(r"(?m)^type:\s*\S"), "missing_type"), (has & (T.trimmed(F.col("_body")) == ""), "empty_body"), (has & F.col("raw").rlike(r"\[\[[^\]]+\]\]"), "wiki_link"))
+    return n.select(key, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in rules]))).alias("code"))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(T.text_of(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def action_notes(queue: DataFrame, objects: DataFrame) -> DataFrame:
+    """path, markdown: a note for each action of the queue, with its targets by name."""
+    names = objects.select(F.col("id").alias("target"), T.object_title(F.element_at("properties", "title"), F.element_at("properties", "name"), F.element_at("properties", "resource"), F.col("id")).alias("said"))
+    targets = queue.select("id", F.posexplode("targets").alias("nth", "target")).join(names, "target", "left")
+    listed = targets.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("said", "target").alias("said")))), lambda x: F.concat(F.lit("- "), x["said"])), "\n").alias("listed"))
+    text = lambda name, c: F.concat(F.lit(f"{name}: "), c)
+    lines = [F.lit("---"), F.lit("type: Action"), text("title", _quoted(F.concat_ws(" ", "type", "priority"))), text("description", _quoted(F.col("description"))), text("source_action", _quoted(F.col("id"))), text("action_type", _quoted(F.col("type"))), text("status", _quoted(F.col("status"))), text("priority", _quoted(F.col("priority"))), text("confidence", F.col("confidence").cast("string")), text("target_count", F.size("targets").cast("string")), text("stale", F.col("stale").cast("string")), text("created", _quoted(F.col("created_at"))), text("updated", _quoted(F.col("updated_at"))), F.lit("---"), F.lit(""), F.concat(F.lit("# "), "type"), F.lit(""), F.col("description"), F.lit(""), F.lit("## Targets"), F.lit(""), F.coalesce("listed", F.lit("- none"))]
+    return queue.join(listed, "id", "left").select(F.concat(F.lit("actions/"), F.regexp_replace("id", "[^A-Za-z0-9_-]+", "-"), F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("markdown"))
+
+
+#: A table view over the notes of actions.
+ACTION_VIEW = """filters:
+  and:
+    - 'file.inFolder("actions")'
+views:
+  - type: table
+    name: Actions
+    limit: 100
+    order: [file.name, status, priority, action_type, confidence, target_count, source_action]
+    sort:
+      - {property: priority, direction: ASC}
+      - {property: status, direction: ASC}
+"""
+
+
+def artifacts(actions: DataFrame, objects: DataFrame, links: DataFrame, at: str) -> DataFrame:
+    """path, kind, next_status, markdown for each action: the note of a promoted entity, or a review of its targets.
+
+    A promoted entity's action is then done, others are in progress.
+    """
+    said = T.object_title(F.element_at("properties", "title"), F.element_at("properties", "name"), F.element_at("properties", "resource"), F.col("id"))
+    names = objects.select(F.col("id").alias("object"), said.alias("said"))
+    promote = F.col("type") == "promote_entity_note"
+    targets = actions.select("id", "type", F.posexplode("targets").alias("nth", "object")).join(names, "object", "left").withColumn("said", F.coalesce("said", "object"))
+    titled = targets.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "said"))), lambda x: x["said"]).alias("names"))
+    by = links.where("type = 'mentions'").join(targets.where(promote).select("id", F.col("object").alias("to_id")), "to_id").join(names.withColumnRenamed("object", "from_id"), "from_id")
+    mentions = by.groupBy("id").agg(F.array_sort(F.collect_set(F.concat(F.lit("- "), "said"))).alias("mentions"))
+    rows = actions.select("id", "type", "description", "priority", "confidence").join(titled, "id", "left").join(mentions, "id", "left")
+    name = F.coalesce(F.array_join("names", " + "), F.col("type"))
+    listed = F.array_join(F.when(promote, F.coalesce("mentions", F.array().cast("array<string>"))).otherwise(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x))), "\n")
+    front = [F.lit("---"), F.when(promote, "type: Entity").otherwise("type: Review"), F.concat(F.lit("title: "), _quoted(name)), F.concat(F.lit("description: "), _quoted(F.col("description"))), F.lit(f"timestamp: {at}"), F.concat(F.lit("source_action: "), _quoted(F.col("id"))), F.lit("---"), F.lit("")]
+    body = [F.concat(F.lit("# "), name), F.lit(""), F.when(promote, "## Mentioned by").otherwise("## Targets"), F.lit(""), listed, F.lit(""), F.lit("## Action"), F.lit(""), F.concat(F.lit("- "), "type", F.lit(": "), "description"), F.concat(F.lit("- Priority: "), "priority"), F.concat(F.lit("- Confidence: "), F.col("confidence").cast("string"))]
+    path = F.when(promote, F.concat(F.lit("entities/"), T.slug(name, F.col("id")), F.lit(".md"))).otherwise(F.concat(F.lit("reviews/"), F.regexp_replace("id", "[^A-Za-z0-9_-]+", "-"), F.lit(".md")))
+    return rows.select(path.alias("path"), F.when(promote, "entity_note").otherwise("review").alias("kind"), F.when(promote, "done").otherwise("in_progress").alias("next_status"), F.concat_ws("\n", *front, *body).alias("markdown"))
 
 
 def queue_markdown(queue: DataFrame, most: int = 24) -> str:

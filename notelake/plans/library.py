@@ -1,9 +1,11 @@
-"""A library of notes on a folder: ingest, the daily rebuild, recall, and the action queue."""
+"""A library of notes on a folder: ingest, the daily rebuild, recall, and the action queue with its artifacts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,86 +14,158 @@ from notelake.operators import embedding, export, graph, notes, recall
 from notelake.plans.store import Store, materialise
 
 
+def bounded(value: object, low: int, high: int, default: int) -> int:
+    """``value`` as a whole number between ``low`` and ``high``; ``default`` where it is none."""
+    try:
+        return max(low, min(high, int(str(value).strip())))
+    except ValueError:
+        return default
+
+
+@dataclass
+class Config:
+    """What a library may be told; anything else has these defaults."""
+
+    base_tags: tuple[str, ...] = ()
+    top_k: int = graph.TOP_K
+    queue_limit: int = 20
+    recall_limit: int = 5
+    max_links: int | None = None
+
+    @classmethod
+    def of(cls, given: dict[str, object]) -> Config:
+        """``given`` over the defaults; names that are not known are left out, numbers are kept within their bounds."""
+        known = {f.name: given[f.name] for f in fields(cls) if given.get(f.name) is not None}
+        bounds = {"top_k": (1, 100, graph.TOP_K), "queue_limit": (1, 100, 20), "recall_limit": (1, 20, 5), "max_links": (1, 2**62, 1000)}
+        known |= {k: bounded(known[k], *b) for k, b in bounds.items() if k in known}
+        return cls(**known | ({"base_tags": tuple(known["base_tags"])} if "base_tags" in known else {}))
+
+
 def within_budget(links: DataFrame, order: list, most: int) -> tuple[DataFrame, bool]:
-    """The first ``most`` links in ``order``, and whether that left any out."""
-    return links.orderBy(*order).limit(most), links.limit(most + 1).count() > most
+    """The first ``most`` links in ``order``, and whether that left any out. Nothing is sorted where all fit."""
+    if links.count() <= most:
+        return links, False
+    return notes.numbered(links, [F.expr(o) if isinstance(o, str) else o for o in order], "_nth").where(F.col("_nth") < most).drop("_nth"), True
+
+
+def enriched(captures: DataFrame, ask: Callable[[str], tuple[str, list[str]]]) -> DataFrame:
+    """Ambiguous captures with what ``ask`` says to their search query, and its citations, put after their text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = []
+            for text, query, wanted in zip(batch["text"], batch["_query"], batch["_ask"], strict=True):
+                more, citations = ask(query) if wanted else ("", [])
+                said.append("\n\n".join(x for x in (text or "", more, "\n".join(citations)) if x) if wanted else text)
+            yield batch.assign(text=pd.Series(said, dtype=object, index=batch.index)).drop(columns=["_query", "_ask"])
+
+    title = T.title(T.summary(T.text_of("text")))
+    rows = captures.withColumns({"_ask": T.is_ambiguous(T.text_of("text")), "_query": T.search_query(title, F.col("text"))})
+    return rows.mapInPandas(run, captures.schema)
 
 
 @dataclass
 class Library:
-    """Tables below ``root``. Every change is a new generation; readers see whole generations only."""
+    """Tables below ``root``, each a whole version and what was added since. A new object on an old folder goes on where it was."""
 
     spark: SparkSession
     root: str
     providers: dict[str, embedding.Provider] = field(default_factory=dict)
     dictionary: dict[str, tuple[str, ...]] = field(default_factory=lambda: graph.DOMAINS)
+    config: Config = field(default_factory=Config)
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root)
-        self.current: str | None = None
 
     def notes(self) -> DataFrame:
-        if self.current is None:
-            raise LookupError("nothing has been ingested")
-        return self.store.read("notes", self.current)
-
-    def ingest(self, captures: DataFrame) -> str:
-        """Adds captures (doc_id, text, lang, source); those of a known id replace it. Returns the new generation."""
-        new = notes.build_notes(notes.from_documents(captures))
-        old = self.current
-        merged = new if old is None else notes.upsert(self.notes(), new, "doc_id")
-        merged = materialise(merged, "notes")
-        self.current = notes.generation(merged).first()["generation"]
-        self.store.publish("notes", merged, self.current)
-        chunked = merged.select("doc_id", F.posexplode(T.chunks(F.col("body"))).alias("chunk_no", "chunk"))
-        known = None if old is None else self.store.read("vectors", old)
-        self.store.publish("vectors", embedding.refreshed(known, chunked, ["doc_id", "chunk_no"], "chunk", self.providers), self.current)
-        return self.current
-
-    def daily(self, at: str) -> dict[str, object]:
-        """Rebuilds the graph and reconciles the queue; returns counts, issues and the synthesis."""
+        return self.store.rows("notes", "doc_id")
+
+    def ingest(self, captures: DataFrame, enrich: Callable[[str], tuple[str, list[str]]] | None = None) -> int:
+        """Adds captures (doc_id, text, lang, source); those of a known id replace it. Returns the number of the new version.
+
+        Only the captures are written and only their chunks embedded, those with known contents not again.
+        """
+        captures = captures if enrich is None else enriched(captures, enrich)
+        new = materialise(notes.build_notes(notes.from_documents(captures), self.config.base_tags), "notes")
+        chunked = new.select("doc_id", F.explode(T.note_chunks(F.col("title"), F.col("description"), F.col("tags"), F.col("body"))).alias("c")).select("doc_id", F.col("c.chunk_no").alias("chunk_no"), F.col("c.chunk").alias("chunk")).where("chunk is not null")
+        known = self.store.rows("vectors", "doc_id").join(new.select("doc_id"), "doc_id", "left_semi") if self.store.last("vectors") else None
+        self.store.append("vectors", embedding.refreshed(known, chunked, ["doc_id", "chunk_no"], "chunk", self.providers))
+        return self.store.append("notes", new)
+
+    def daily(self, at: str, review: Callable[[str], str] | None = None) -> dict[str, object]:
+        """Rebuilds the graph and reconciles the queue; returns counts, issues, the digest of all notes and the synthesis."""
+        for name in ("notes", "vectors"):  # what was added becomes one whole version
+            self.store.append(name, self.store.rows(name, "doc_id"), whole=True)
         rows = self.notes()
+        n = rows.count()
         analysed = materialise(graph.analyse(rows, self.dictionary), "analysis")
-        objects, links = graph.objects(analysed), materialise(graph.structural_links(analysed), "links")
-        similar = materialise(graph.capped_links(graph.pair_scores(analysed, graph.candidate_pairs(analysed))), "similar")
+        objects = graph.objects(analysed)
+        relations = -(-n * self.config.top_k // 2)
+        most = self.config.max_links or max(1000, n * (1 + graph.MAX_TAGS + graph.MAX_ENTITIES) + relations)
+        links, degraded = within_budget(graph.structural_links(analysed), [F.desc("doc_id"), "type", "to_id"], most)
+        links = materialise(links, "links")
+        left = most - links.count()
+        similar, fewer = within_budget(graph.capped_links(graph.pair_scores(analysed, graph.candidate_pairs(analysed)), self.config.top_k), [F.desc("a"), "rank"], min(relations, max(left, 0)))
+        similar = materialise(similar, "similar")
         actions = materialise(graph.actions(analysed, links, similar), "actions")
-        previous = self._queue() if self.store_has("queue") else actions.limit(0).withColumn("status", F.lit("proposed")).withColumn("updated_at", F.lit(at)).withColumn("history", F.array().cast("array<struct<at:string,from:string,to:string,note:string>>"))
-        queue = materialise(graph.reconcile(actions, previous, at), "queue")
-        for name, df in (("objects", objects), ("links", links), ("similar", similar), ("postings", graph.recall_postings(analysed)), ("queue", queue)):
-            self.store.publish(name, df, self.current)
-        self._queue_at = self.current
-        issues = graph.graph_issues(objects, links).unionByName(graph.queue_issues(queue, objects))
-        return {"notes": rows.count(), "links": links.count(), "similar": similar.count(), "issues": issues.count(), "synthesis": export.synthesis_markdown(rows, links, similar, actions), "queue": export.queue_markdown(queue)}
-
-    def store_has(self, name: str) -> bool:
-        return name == "queue" and getattr(self, "_queue_at", None) is not None
+        queue = materialise(graph.reconcile(actions, self._queue() if self.store.last("queue") else self._no_queue(actions), at), "queue")
+        for name, df in (("objects", objects), ("links", links), ("similar", similar), ("postings", graph.recall_postings(analysed, similar)), ("queue", queue)):
+            self.store.append(name, df, whole=True)
+        issues = graph.graph_issues(objects, links.withColumn("evidence", F.array("from_id")), actions).unionByName(graph.queue_issues(queue, objects, actions))
+        synthesis = export.synthesis_markdown(rows, links, similar, actions)
+        out = {"notes": n, "links": links.count(), "similar": similar.count(), "issues": issues.count(), "generation": notes.generation(rows).first()["generation"]}
+        out |= {"degraded": degraded or fewer, "reasons": [r for r, is_so in (("link budget", degraded), ("similarity budget", fewer)) if is_so]}
+        return out | {"synthesis": synthesis, "queue": export.queue_markdown(queue)} | ({"review": review(synthesis)} if review else {})
+
+    @staticmethod
+    def _no_queue(actions: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return actions.limit(0).withColumns({"status": F.lit("proposed"), "updated_at": none, "created_at": none, "closed_at": none, "history": F.array().cast("array<struct<at:string,from:string,to:string,note:string>>")})
 
     def _queue(self) -> DataFrame:
-        return self.store.read("queue", self._queue_at)
+        return self.store.rows("queue", "id")
 
-    def queue(self, status: str | None = None, most: int = 20) -> DataFrame:
+    def queue(self, status: str | None = None, most: object = None) -> DataFrame:
+        if status is not None and status not in graph.STATUSES:
+            raise ValueError(f"no such status: {status}")
         rows = self._queue() if status is None else self._queue().where(F.col("status") == status)
-        return rows.orderBy(*graph.queue_order()).limit(max(1, min(most, 100)))
+        return rows.orderBy(*graph.queue_order()).limit(bounded(most, 1, 100, self.config.queue_limit))
 
     def update(self, action: str, status: str, at: str, note: str = "") -> None:
-        """Sets an action's status in a new version of the queue."""
+        """Sets an action's status: the action alone is written, in front of the queue's last version."""
         queue = self._queue()
-        if not queue.where(F.col("id") == action).limit(1).count():
+        one = queue.where(F.col("id") == action)
+        if not one.limit(1).count():
+            raise LookupError(f"no such action: {action}")
+        self.store.append("queue", graph.with_status(one, F.lit(True), status, at, note).select(*queue.columns))
+
+    def execute(self, action: str, at: str) -> dict[str, str]:
+        """Writes what an action is for (a note of an entity, or a review) among the artifacts, and moves its status on."""
+        one = self._queue().where(F.col("id") == action)
+        row = one.first()
+        if row is None:
             raise LookupError(f"no such action: {action}")
-        changed = materialise(graph.with_status(queue, F.col("id") == action, status, at, note).select(*queue.columns), "queue")
-        self._queue_at = f"{self.current}-{at.replace(':', '')}"
-        self.store.publish("queue", changed, self._queue_at)
+        made = materialise(export.artifacts(one, self.store.rows("objects", "id"), self.store.rows("links", "from_id"), at), "artifact")
+        self.store.append("artifacts", made)
+        out = made.first()
+        self.update(action, out["next_status"], at, f"executed: {out['path']}")
+        return {"path": out["path"], "kind": out["kind"], "status": out["next_status"]}
+
+    def artifacts(self) -> DataFrame:
+        return self.store.rows("artifacts", "path")
 
-    def recall(self, queries: DataFrame, k: int = 5) -> DataFrame:
+    def recall(self, queries: DataFrame, k: object = None) -> DataFrame:
         """query_id, doc_id, score, signals, rank for ``queries(query_id, text)``, by four signals fused."""
+        k = bounded(k, 1, 20, self.config.recall_limit)
         rows = self.notes().select("doc_id", F.concat_ws(" ", "title", "description", F.array_join("tags", " "), "body").alias("text"))
-        full = recall.bm25(rows, queries, "doc_id", "query_id", k).withColumn("score", recall.compatible_score(F.col("bm25"))).drop("rank")
-        full = recall.best(full, "query_id", [F.desc("score"), F.col("bm25"), F.col("doc_id")], k)
         asked = recall.small(recall.query_tokens(queries, "query_id", "text"))
-        by_graph = self.store.read("postings", self.current).join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
-        vectors = self.store.read("vectors", self.current)
-        questions = embedding.embedded(queries.select("query_id", "text"), "text", self.providers)
-        near = recall.vector_scores(vectors, questions, ["doc_id", "chunk_no"], "query_id", 50 * k).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        signals = [("lexical", recall.lexical(rows, queries, "doc_id", "query_id", k), True), ("fulltext", recall.full_text(rows, queries, "doc_id", "query_id", k), True)]
         top = lambda df, *ties: recall.best(df, "query_id", [F.desc("score"), *ties], k)
-        signals = [("lexical", recall.lexical(rows, queries, "doc_id", "query_id", k), True), ("fulltext", full, True), ("graph", top(by_graph, F.desc("doc_id")), True), ("vector", top(near, F.col("doc_id")), False)]
+        if self.store.last("postings"):
+            by_graph = self.store.rows("postings", "doc_id").join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
+            signals.append(("graph", top(by_graph, F.desc("doc_id")), True))
+        questions = embedding.embedded(queries.select("query_id", "text"), "text", self.providers)
+        keys = ["doc_id", "chunk_no"]
+        near = recall.best_rows(recall.vector_scores(self.store.rows("vectors", "doc_id"), questions, keys, "query_id", k), keys, "query_id")
+        signals.append(("vector", top(near.select("query_id", "doc_id", "score"), F.col("doc_id")), False))
         return recall.fused(signals, "query_id", "doc_id", k)

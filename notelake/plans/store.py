@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, a temporary folder, on a local master alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="notelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -45,6 +48,42 @@ class Store:
             raise LookupError(f"{name} has no generation {generation}")
         return self.spark.read.parquet(f"{self.root}/{name}/generation={generation}")
 
+    # Tables that grow: whole versions and what is added to them, numbered in one row.
+
+    def _markers(self, name: str) -> list[tuple[int, bool]]:
+        """Numbers of the published versions of ``name`` and whether each is whole, in order."""
+        try:
+            rows = self.spark.read.schema("nth int, whole boolean").json(f"{self.root}/_versions/{name}").collect()
+        except Exception as missing:  # noqa: BLE001  Spark raises where nothing has been published
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return []
+        return sorted((r["nth"], r["whole"]) for r in rows)
+
+    def last(self, name: str) -> int:
+        """The number of the last published version; 0 without any."""
+        return max((n for n, _ in self._markers(name)), default=0)
+
+    def append(self, name: str, df: DataFrame, whole: bool = False) -> int:
+        """Writes ``df`` as what comes after the last version (or, ``whole``, in place of all), then its marker."""
+        nth = self.last(name) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/nth={nth}")
+        self.spark.createDataFrame([(nth, whole or nth == 1)], "nth int, whole boolean").write.mode("append").json(f"{self.root}/_versions/{name}")
+        return nth
+
+    def rows(self, name: str, key: str) -> DataFrame:
+        """The table: of each key all rows of the last version that has it, from the last whole version on."""
+        markers = self._markers(name)
+        if not markers:
+            raise LookupError(f"{name} has no version yet")
+        first = max(n for n, whole in markers if whole)
+        paths = [f"{self.root}/{name}/nth={n}" for n, _ in markers if n >= first]
+        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
+        if len(paths) == 1:
+            return rows.drop("nth")
+        newest = rows.where(F.col("nth") > first).groupBy(key).agg(F.max("nth").alias("_nth"))  # of what was added alone
+        return rows.join(newest, key, "left").where(F.col("nth") == F.coalesce("_nth", F.lit(first))).drop("nth", "_nth")
+
     def read_or_build(self, name: str, generation: str, build) -> DataFrame:
         """The generation if it is published, or else what ``build`` gives, published."""
         try:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.operators import export
 from notelake.operators import graph as G
 from notelake.operators import notes as N
 from notelake.operators import recall as R
 from notelake.plans.store import materialise
 from notelake.queries.texts import DOCS, KEYWORDS, PATH, TITLED, TOKENS
 from notelake.session import table
-from notelake.sources import captures
 
 #: The dictionary of domains for prose of made-up syllables, where no term of the library's own dictionary occurs.
 PROSE_DOMAINS = {"english": ("tion", "thing"), "french": ("ment", "eau"), "german": ("keit", "ung"), "spanish": ("ción", "osa")}
@@ -182,10 +182,7 @@ def note_files(spark, sf_dir) -> DataFrame:
 
 def note_issues(spark, sf_dir):
     """What is wrong with note files."""
-    parts = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
-    n = note_files(spark, sf_dir).withColumns({"front": F.regexp_extract("raw", parts, 1), "body": F.regexp_extract("raw", parts, 2), "has": F.col("raw").rlike(parts)})
-    rules = ((F.col("has") & (captures.frontmatter(F.col("raw"))["error"] == "invalid_frontmatter"), "invalid_frontmatter"), (F.col("has") & ~F.col("front").rlike(r"(?m)^type:\s*\S"), "missing_type"), (F.col("has") & (T.trimmed(F.col("body")) == ""), "empty_body"), (F.col("has") & F.col("raw").rlike(r"\[\[[^\]]+\]\]"), "wiki_link"), (~F.col("has"), "missing_frontmatter"))
-    return n.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in rules]))).alias("code"))
+    return export.note_issues(note_files(spark, sf_dir), "doc_id")
 
 
 _TYPES = ("Concept", "Source", "Tag", "Entity")
