@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows, and bytes, that Spark hands to Python at once. Texts and sets of their parts are long: by default a batch could fill a worker.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 16 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -59,7 +59,7 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose ``column`` (string or binary) holds about ``most_bytes`` at most, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -14,7 +14,8 @@ distance and id. Few queries mean few copies of the codes: the query set is what
 A row is not its own neighbour. Ties go to lesser ids. Rows with a null or empty vector or a null id have no code: they
 neither ask nor answer. Vectors of different lengths are not compared. Rows that repeat
 id and vector are one row that asks as often as it occurs; an id with several vectors is no neighbour of itself
-and may get that many fewer results. With fewer than k others there are fewer results; an empty table gives none.
+and may get that many fewer results. With fewer than k others there are fewer results; an empty table gives none. Very long
+vectors have more segments. Other columns of the input, whatever they are called, are ignored.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, (1 << 18) + 4096)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
@@ -68,7 +68,7 @@ def _word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(texts: pa.Array, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word: hash, number of its text, start and end (bytes from the start of the first text)."""
     data, offsets = text_bytes(pc.utf8_lower(texts))
     if not len(data):

@@ -14,8 +14,9 @@ documents are compared with it where they are read and are not shuffled.
 
 Tokens are estimated as a quarter of the bytes, rounded up; a null text has none. Null languages and sources
 are leaves named "(none)". Documents with equal keys at the end of a prefix are taken together or not at all.
-An empty table gives an empty result. Columns of the input other than doc_id, text, lang, source are kept by
-``mix`` as they are.
+Rows that repeat are rows like others, and tie with each other. Very long texts count with all their tokens, which a prefix
+takes whole or not at all. An empty table gives an empty result. Columns of the input other than doc_id, text, lang, source
+are kept by ``mix`` as they are, whatever they are called.
 """
 
 from __future__ import annotations

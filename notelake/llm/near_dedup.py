@@ -13,10 +13,13 @@ Links are pairs of different texts of weighted similarity ``least`` or more, fou
 2. Bands of ``rows`` coordinates are buckets. The items of a bucket are compared with its least item, not
    with each other, so that a group of copies gives one pair for each item.
 3. Pairs are verified on the whole sets. Verified links join items into classes.
-4. What a bucket still holds in different classes is looked at again, across classes only: buckets of ``SMALL`` items by
-   pairs; all items of larger ones by their rarest elements, one of which two sets must share to be similar enough (the
-   prefix filter of exact set joins). After that, no pair that shares a bucket and is similar enough is in two
-   classes. Two texts of similarity 0.8 share no bucket with a probability of 3 in 100,000 (20 bands of 4).
+4. What a bucket still holds in different classes is compared in full, across classes only: buckets of ``SMALL`` items by
+   pairs, larger ones by pairs of blocks of bounded size, each one product of matrices. After that, no pair that shares a
+   bucket and is similar enough is in two classes. Two texts of similarity 0.8 share no bucket with a probability of 3 in
+   100,000 (20 bands of 4).
+
+Step 4 is quadratic in the items of a bucket that stay in different classes, near copies of one text at 0.6 to 0.8 of
+similarity, say. A prefix filter in its place was tried: such texts share their rarest elements, so that it emits as many pairs.
 
 Buckets and classes are found by aggregation and equi-joins; a bucket that holds a third of all items is
 pre-aggregated before its shuffle and split by the adaptive join after it. The links' components are found by
@@ -39,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import bitmap_of, materialise, quoted, rare_prefixes, row_slices, table
+from notelake.llm.common import bitmap_of, materialise, quoted, row_slices, table
 from notelake.llm.hashing import by_text, mixed, shingles, uniform
 
 BANDS, ROWS, WIDTH, LEAST = 20, 4, 5, 0.8
-#: Open buckets of more items than SMALL are compared by their items' rarest elements.
-SMALL = 32
+#: Open buckets of more items than SMALL are compared by blocks of about BLOCK items, fewer where they have more than ELEMENTS together.
+SMALL, BLOCK, ELEMENTS = 32, 256, 100_000
 _ITEM = "item binary, id long, n long, bands array<long>"
 #: Stands for a null id; larger than any other.
 _NO_ID = 2**63 - 1
@@ -129,7 +132,7 @@ def signatures(documents: DataFrame, width: int, weights: str, bands: int, rows:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("item", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 texts = part.column("text")
                 h, w, owner = weighted_sets(texts, width, weights)
                 if not len(h):
@@ -153,7 +156,7 @@ def element_sets(documents: DataFrame, items: DataFrame, width: int, weights: st
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 h, w, owner = weighted_sets(part.column("text"), width, weights)
                 if weights == "count":  # an element of weight w is w elements: Jaccard similarity of these sets is the weighted one
                     times = w.astype(np.int64)
@@ -189,6 +192,44 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ea", "eb").mapInArrow(kept, "a binary, b binary")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``."""
+    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    values = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    both = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(both, v) for v in values]
+    found = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for a, v in zip(at, values, strict=True)]
+    for lo in range(0, len(both), columns):
+        sides = []
+        for k, n in enumerate((len(left), len(right))):
+            some = found[k] & (at[k] >= lo) & (at[k] < lo + columns)
+            m = np.zeros((n, min(columns, len(both) - lo)), np.float32)
+            m[of[k][some], at[k][some] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def links_of_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Of a pair of blocks (or a block with itself) a link a < b for each two classes between which there is one."""
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    x, y = rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []})
+    sets_x, sets_y = list(map(np.asarray, x["elements"])), list(map(np.asarray, y["elements"]))
+    common = overlaps(sets_x, sets_y)
+    sim = common / (np.array([len(s) for s in sets_x])[:, None] + np.array([len(s) for s in sets_y])[None, :] - common)
+    hit = np.argwhere(sim >= least - 1e-7)
+    out, seen = [], set()
+    for p, q in hit:
+        classes = frozenset((x["root"][p], y["root"][q]))
+        if len(classes) == 2 and classes not in seen and jaccard(sets_x[p], sets_y[q]) >= least:
+            seen.add(classes)
+            out.append(sorted((x["item"][p], y["item"][q])))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """item, root for every item in ``links(a, b)``: the least item of its connected component."""
     edges = materialise(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "links")
@@ -224,20 +265,17 @@ def links_and_classes(documents: DataFrame, width: int = WIDTH, least: float = L
     classes = materialise(components(first), "first-classes")
     # Buckets that still hold items of more than one class.
     known = materialise(members.join(classes, "item", "left").select("bucket", "item", "n", F.coalesce("root", "item").alias("root")), "known")
-    open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("items")).where("lo < hi").select("bucket", "items")
+    open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("items"), F.sum("n").alias("total")).where("lo < hi").select("bucket", "items", "total")
     open_ = materialise(known.join(materialise(open_, "open-buckets"), "bucket"), "open")
     few = open_.where(F.col("items") <= small)
     x, y = (few.select("bucket", F.col("item").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
     across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b")
-    many = open_.where(F.col("items") > small).select("item", "n", "root").distinct()
-    spread = materialise(many.join(sets, "item").select("item", "n", "root", F.explode("elements").alias("element")), "open-elements")
-    rare = materialise(rare_prefixes(spread, "item", "element", least), "rare-elements")
-    telling = materialise(rare.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element"), "telling")
-    rare = materialise(rare.join(telling, "element"), "rare-across")
-    x, y = (rare.select("element", F.col("item").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
-    rarely = x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b")
-    second = materialise(across.unionByName(rarely).distinct(), "second-pairs").join(pairs, ["a", "b"], "left_anti")
-    more = materialise(verified(second, sets, least), "more-links")
+    second = verified(across.distinct().join(pairs, ["a", "b"], "left_anti"), sets, least)
+    blocks = F.greatest(F.ceil(F.col("items") / BLOCK), F.ceil(F.col("total") / ELEMENTS)).cast("int")
+    many = open_.where(F.col("items") > small).withColumn("own", F.pmod(F.xxhash64("item", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", "root").join(sets, "item")
+    third = many.groupBy("bucket", "i", "j").applyInPandas(lambda rows: links_of_blocks(rows, least), "a binary, b binary")
+    more = materialise(second.unionByName(third), "more-links")
     if not more.limit(1).count():
         return classes
     stars = classes.where("item != root").select(F.col("item").alias("a"), F.col("root").alias("b"))

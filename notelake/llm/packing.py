@@ -10,8 +10,9 @@ holds the ids of its pool, ``pool`` items of less than one sequence, and of one
 task leaves unfilled is its last sequence. Sequence ids hold the partition in the upper bits; packing is a
 function of the partition's rows in order, so a repeated task gives the same sequences.
 
-Null and empty texts give one piece with the end id alone. Rows that repeat are packed each. An empty table
-gives no pieces. Other columns of the input are ignored.
+Null and empty texts give one piece with the end id alone. Very long texts fill sequences of their own and leave a rest. Of items
+that tie the one that waits longest is placed. Rows that repeat are packed each. An empty table gives no pieces. Other
+columns of the input, whatever they are called, are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ other entities' documents are paired. Bitmaps of fixed size (``BITS``) tell task
 what passes one by chance is dropped by a join. Pairs are summed in tasks; only texts that have copies are told
 apart by their digest. Counts, digests and places are shuffled, no texts.
 
-A null text counts as empty and has no spans. Rows that repeat are documents each. An empty table gives an
-empty result. Columns of the input other than doc_id and text are kept by ``sanitised`` as they are.
+A null text counts as empty and has no spans. Very long texts are searched whole, in slices of few texts. Spans that tie for a start
+go by kind. Rows that repeat are documents each. An empty table gives an empty result. Columns of the input other than
+doc_id and text, whatever they are called, are kept by ``sanitised`` as they are.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def document_counts(documents: DataFrame, passing: np.ndarray) -> DataFrame:
         known = np.unpackbits(shared.value).astype(bool)
         parts, held = [], 0  # of the whole task; given out only where it has more than ``PAIRS`` different terms
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 h, owner, _, _ = words(part.column("text"))
                 h = h.astype(np.int64)
                 some = known[h % bits]
@@ -269,7 +270,7 @@ def term_spans(documents: DataFrame, disclosing: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 h, owner, start, end = terms_of(part.column("text"))
                 some = known[h % bits]
                 h, owner, start, end = h[some], owner[some], start[some], end[some]

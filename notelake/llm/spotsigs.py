@@ -12,7 +12,8 @@ compared. ``near_pairs`` partitions sets by length, so that sets similar enough
 neighbouring partitions, and joins within these on the rarest signatures of each.
 
 A null text counts as empty. Rows that repeat, ties of ids and null ids (which come first) are rows in a
-defined order: by id and then by text. An empty table gives an empty result; other columns are ignored.
+defined order: by id and then by text. Very long texts are fingerprinted whole, in slices of few texts. An empty table
+gives an empty result; other columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 found = fingerprints(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shown(x) for x in found], pa.string()), pa.array([x.astype(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "signatures"])
 
@@ -164,7 +165,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row: range, guest, doc_id, text, fingerprint
         for batch in batches:
-            for part in row_slices(batch, "text", 2_000_000):
+            for part in row_slices(batch, "text"):
                 own = fingerprints(part.column("text"))
                 rows = list(zip(part.column("range").to_pylist(), part.column("guest").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist(), own, strict=True))
                 if held is not None:

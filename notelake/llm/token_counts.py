@@ -14,8 +14,9 @@ The texts are normalised and split here as the tokenizer file says (NFC, white s
 pattern). Texts with characters on which the regular expression engines may differ, or with the string of
 a special token, go to the library whole, so that its own handling applies.
 
-Null texts count as empty and have no tokens; rows that repeat are counted each; an empty table gives an
-empty result; the input's other columns are ignored, whatever they are called.
+Null texts count as empty and have no tokens; very long texts are counted whole, in slices of few texts; of pre-tokens that tie
+for the frequent table the first by name is in it; rows that repeat are counted each; an empty table gives an empty
+result; the input's other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.llm import hamming_topk, mixing, near_dedup, packing, pii, sharding, spotsigs, token_counts, toxicity, warc
-from notelake.llm.common import shared_folder
+from notelake.llm.common import materialise, shared_folder
+from notelake.llm.registry import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "the word idiot follows of a tree " * 20_000
@@ -186,3 +187,46 @@ def test_hamming_topk(spark):
     got = sorted((r["id"], r["rank"], r["neighbour"], r["distance"]) for r in hamming_topk.nearest(coded, coded.where("id in (2, 4, 5, 7)"), 2).collect())
     assert got == [(2, 1, 1, 0), (2, 2, 6, 1), (4, 1, 6, 2), (4, 2, 1, 3)]
     assert hamming_topk.nearest(coded.where("false"), coded.where("false"), 2).count() == 0
+
+
+@pytest.fixture(scope="module")
+def edge_tables(spark, docs, none, tmp_path_factory):
+    """Folders of the tables that the queries read: one of odd rows and one of none."""
+    pages = spark.createDataFrame([(1, "u", "<p>" + "y" * 2000), (2, None, "<p>" + "y" * 2000), (3, "v", None), (None, "v", ""), (3, "v", None)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 0, 1), (2, 1, None), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([(20, [1.0, -1.0]), (20, [1.0, -1.0]), (1, [1.0, 1.0]), (2, None), (None, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    folders = []
+    for empty in (False, True):
+        at = tmp_path_factory.mktemp("tables")
+        for name, df in (("documents", docs), ("pages", pages.withColumn("a.b", F.lit("dot"))), ("labels", labels), ("embeddings", vectors.withColumn("code", F.lit("clash")))):
+            (df.where("false") if empty else df).write.parquet(f"{at}/{name}.parquet")
+        folders.append(str(at))
+    return folders
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_queries_over_odd_and_empty_tables(spark, edge_tables, name):
+    rows = {"op1_warc": 5, "op9_hamming_topk": 2}.get(name, len(ROWS))
+    got = queries()[name](spark, edge_tables[0]).collect()
+    assert len({(r["doc_id"], i) for i, r in enumerate(got) if r["start"] == 0}) == rows if name == "op7_packing" else len(got) == rows
+    assert queries()[name](spark, edge_tables[1]).count() == 0
+
+
+def test_pipeline_over_odd_and_empty_tables(spark, edge_tables):
+    import corpus_pipeline
+
+    for folder in edge_tables:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialise(stage(spark, docs, folder), name)
+            assert docs.columns == columns
+    assert docs.count() == 0 and corpus_pipeline.run(spark, edge_tables[1]).count() == 0
+    got = corpus_pipeline.run(spark, edge_tables[0]).collect()
+    assert all(0 < r["length"] <= 2048 for r in got) and {r["doc_id"] for r in got} <= {r[0] for r in ROWS}
+
+
+def test_a_dot_in_a_column_name(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("a.b", F.lit(1)).withColumn("a", F.lit(2))
+    for out in (near_dedup.without_near_duplicates(docs), mixing.mix(docs), pii.sanitised(docs)):
+        assert out.columns == docs.columns and out.count() >= 1

@@ -96,7 +96,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 @pytest.mark.parametrize("small", [32, 0])
 def test_near_duplicates_of_the_tables_against_all_pairs(spark, small):
-    """Every pair of weighted similarity 0.8 of sf0.01 is in one class and no other is: recall 1, by pairs and by rarest elements."""
+    """Every pair of weighted similarity 0.8 of sf0.01 is in one class and no other is: recall 1, by pairs and by blocks."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(docs, small=small).collect()}
@@ -150,6 +150,21 @@ def test_repeated_runs_weigh(spark):
     assert plain == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_blocks_find_the_links_of_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 10**9, 60)
+    rows = []
+    for k in range(40):
+        s = base.copy()
+        s[rng.choice(60, rng.integers(0, 14), replace=False)] = rng.integers(10**9, 2 * 10**9)
+        rows.append({"i": 0, "j": 1, "own": k % 2, "item": bytes([k]), "root": bytes([k]), "elements": np.unique(s)})
+    df = pd.DataFrame(rows)
+    want = {tuple(sorted((x["item"], y["item"]))) for x in rows for y in rows if x["own"] == 0 and y["own"] == 1 and near_dedup.jaccard(x["elements"], y["elements"]) >= 0.8}
+    assert set(map(tuple, near_dedup.links_of_blocks(df, 0.8).itertuples(index=False))) == want
+
+
 def test_components(spark):
     pairs = [(bytes([a]), bytes([b])) for a, b in ((9, 1), (9, 8), (8, 7), (7, 6), (6, 5), (20, 30), (30, 25), (40, 41))]
     got = {r["item"][0]: r["root"][0] for r in near_dedup.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
@@ -172,6 +187,50 @@ def test_mixture_keeps_its_budgets(spark, sf):
     assert sum(r["t"] for r in mixed) <= total * mixing.TARGET_PERCENT / 100
 
 
+def test_budgets_against_pouring_by_hand(spark, sf):
+    """Each level's budgets by a loop: pour by weights, take out who is full, pour the rest again among the others."""
+    leaves = [r.asDict() for r in mixing.mixture(table(spark, sf, "documents")).collect()]
+
+    def poured(budget, nodes):  # name: (capacity, weight)
+        got, open_, left = {}, dict(nodes), budget
+        while open_:
+            level = left / sum(w for _, w in open_.values())
+            full = {n for n, (c, w) in open_.items() if c <= level * w + 1e-9}
+            if not full:
+                return got | {n: int(level * w + 1e-9) for n, (_, w) in open_.items()}
+            for n in full:
+                got[n] = open_.pop(n)[0]
+                left -= got[n]
+        return got
+
+    weights = [mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {}]
+
+    def below(rows, depth, budget):
+        if depth == 3:
+            assert abs(rows[0]["budget"] - budget) <= 1
+            return
+        name, kids = mixing.LEVELS[depth], {}
+        for r in rows:
+            kids.setdefault(r[name], []).append(r)
+        shares = poured(budget, {k: (sum(r["total"] for r in x) * mixing.MAX_EPOCHS, weights[depth].get(k, 1)) for k, x in kids.items()})
+        for k, x in kids.items():
+            below(x, depth + 1, shares[k])
+
+    below(leaves, 0, sum(r["total"] for r in leaves) * mixing.TARGET_PERCENT // 100)
+
+
+def test_token_counts_of_the_query(spark, sf, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    got = token_counts.op10_token_counts(spark, sf).collect()
+    want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in documents.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {i: (len((documents[i] or "").encode()), n, n > 2048) for i, n in want.items()}
+    assert any(r["over_limit"] for r in got)
+
+
 def test_base_patterns_against_plain_expressions():
     rng = random.Random(5)
     for _ in range(20_000):
@@ -257,6 +316,30 @@ def test_spotsigs_of_next_and_edited(spark, sf, documents):
         assert abs(got[i]["near_next"] - len(set(a) & set(c)) / len(set(a) | set(c))) < 1e-12
 
 
+def test_fingerprints_against_plain_spotsigs(documents):
+    """Without the spare anchors: common words and the two content words after them, one by one."""
+    common = set(spotsigs.COMMON)
+    for text in list(documents.values())[:60]:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        plain = set()
+        for i, w in enumerate(words):
+            chain = [x for x in words[i + 1 :] if x not in common][: spotsigs.CHAIN]
+            if w in common and len(chain) == spotsigs.CHAIN:
+                plain.add((w, *chain))
+        [found] = spotsigs.fingerprints(pa.array([text]), spare=0)
+        assert len(found) == max(1, len(plain))
+        if plain:
+            h = lambda *x: hashing.words(pa.array([" ".join(x)]))[0]
+            want = set()
+            for chain in plain:
+                a, *rest = h(*chain)
+                sig = hashing.mixed(np.array([a]), 11)
+                for j, x in enumerate(rest):
+                    sig = hashing.mixed(sig ^ np.array([x]), 12 + j)
+                want.add(int(sig[0]))
+            assert {int(x) for x in found} == want
+
+
 def test_spotsigs_pairs_against_all_pairs(spark, sf):
     prints = spotsigs.fingerprint_documents(table(spark, sf, "documents"))
     sets = {r["fingerprint"]: set(r["signatures"]) for r in prints.collect()}
@@ -288,6 +371,27 @@ def test_packing_round_trip(spark, sf, documents):
     assert used >= 0.98 * 2048 * (len({r["sequence_id"] for r in got}) - 8)
 
 
+def test_packing_instruction_data_within_all_limits(spark, sf):
+    """Turns with the turns before them as prompts, which bear no loss: tokens, segments and loss are all bounds that are reached."""
+    turns = table(spark, sf, "conversations").collect()
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in turns}
+    rows = [(r["conv_id"] * 1000 + r["turn"], r["text"], said.get((r["conv_id"], r["turn"] - 1))) for r in turns]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt string").coalesce(1)
+    tokens = {}
+    for i, text, prompt in rows:
+        asked = packing.encoder("byte_bpe_50k")(prompt) if prompt else []
+        tokens[i] = (max(1, len(asked)), len(asked) + len(packing.encoder("byte_bpe_50k")(text or "")) + 1)
+    got = packing.pack_documents(df, prompt="prompt", max_tokens=512, max_segments=4, max_loss=256).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    loss = lambda r: r["length"] - max(0, min(tokens[r["doc_id"]][0], r["start"] + r["length"]) - r["start"])
+    sums = [(sum(r["length"] for r in x), len(x), sum(map(loss, x))) for x in by.values()]
+    assert all(a <= 512 and b <= 4 and c <= 256 for a, b, c in sums)
+    assert max(a for a, _, _ in sums) == 512 and max(b for _, b, _ in sums) == 4 and max(c for _, _, c in sums) == 256
+    assert {r["doc_id"]: r["doc_tokens"] for r in got} == {i: n for i, (_, n) in tokens.items()} and sum(r["length"] for r in got) == sum(n for _, n in tokens.values())
+
+
 def test_packing_limits():
     out = []
     p = packing.Packer(lambda d, s, ids, n, q, o: out.append((d, s, len(ids), q, o)), max_tokens=100, max_segments=3, max_loss=40, pool=8)
@@ -356,7 +460,7 @@ def test_sharding_against_a_plain_placement(spark, documents):
     Of each text two rows at most and no very long ones: then no group is dealt out in pieces.
     """
     seen = []
-    documents = {i: t for i, t in documents.items() if len(t) < 4000 and seen.append(t) is None and seen.count(t) <= 2}
+    documents = {i: t for i, t in documents.items() if len(t) < 1500 and seen.append(t) is None and seen.count(t) <= 2}
     shard, _ = shards_of(spark, documents)
     groups = {}
     for i, t in documents.items():
