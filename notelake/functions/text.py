@@ -120,6 +120,12 @@ def source_type(c: Column) -> Column:
     return F.coalesce(F.element_at(table, extension(c)), F.lit("text"))
 
 
+def resource_type(c: Column) -> Column:
+    """What a note's resource is, by its extension or as an address; "unknown" else."""
+    kind = source_type(c)
+    return F.when(kind.isin("video", "audio", "image", "pdf") & (extension(c) != "gif"), kind).when(c.rlike("(?i)^https?:"), "url").otherwise("unknown")
+
+
 def without_markup(c: Column) -> Column:
     for pattern, by in (
         (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"</?[^>]+>", " "),
@@ -152,11 +158,10 @@ def json_title(c: Column) -> Column:
     return F.coalesce(*[text(k) for k in _JSON_TITLES])
 
 
-def json_note(c: Column, name: Column) -> Column:
-    """A JSON capture as text: its title (or the file's name), its fields, and the document itself, indented."""
-    pretty = F.coalesce(F.to_json(F.from_json(c, "map<string,string>"), {"pretty": "true"}), c)
+def json_note(c: Column, name: Column, pretty: Column) -> Column:
+    """A JSON capture as text: its title (or the file's name), its fields, and the document itself as ``pretty`` shows it."""
     made = F.concat(F.coalesce(json_title(c), name), F.lit(". "), json_text(c), F.lit("\n\nRaw JSON:\n"), pretty)
-    return F.when(F.from_json(c, "map<string,string>").isNull(), normalized(c)).otherwise(made)
+    return F.when(F.from_json(c, "map<string,string>").isNull() | pretty.isNull(), normalized(c)).otherwise(made)
 
 
 def salvaged_json(c: Column) -> Column:

@@ -103,7 +103,7 @@ def objects(analysed: DataFrame) -> DataFrame:
     row = lambda id_, type_, name, confidence, properties, pos: ["doc_id", pos.cast("int").alias("pos"), id_.alias("id"), F.lit(type_).alias("type"), name.alias("name"), confidence, properties.alias("properties")]
     col = F.col
     concept = analysed.select(*row(col("concept_id"), "Concept", col("title"), col("confidence"), text(title=col("title"), description=col("description"), path=col("path"), timestamp=col("timestamp"), confidence=col("confidence"), source_type=kind), F.lit(0)))
-    source = analysed.where("resource <> ''").select(*row(_id("source", col("resource")), "Source", col("resource"), none, text(resource=col("resource"), source_type=kind), F.lit(0)))
+    source = analysed.where("resource <> ''").select(*row(_id("source", col("resource")), "Source", col("resource"), none, text(resource=col("resource"), source_type=T.resource_type(col("resource"))), F.lit(0)))
     tag = analysed.select("doc_id", F.posexplode("tags").alias("pos", "t")).select(*row(_id("tag", col("t")), "Tag", col("t"), none, text(name=col("t")), col("pos")))
     entity = analysed.select("doc_id", F.posexplode("entities").alias("pos", "e")).select(*row(col("e.id"), "Entity", col("e.name"), _confidence(col("e.kind")).alias("confidence"), text(name=col("e.name"), kind=col("e.kind")), col("pos")))
     every = concept.unionByName(source).unionByName(tag).unionByName(entity)

@@ -56,6 +56,13 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
 
 
+def with_sections(notes: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
+    """Notes with claims (their first five sentences), open_questions and related (their eight keywords)."""
+    top = keyword_ranks(notes, key, body).where(F.col("rank") <= 8).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("related"))
+    sections = notes.withColumns({"claims": F.slice(T.sentences(T.text_of(body)), 1, 5), "open_questions": T.open_questions(T.text_of(body))})
+    return sections.join(top, key, "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
 def nearest_ranks(counted: DataFrame, group: str, value: str, n: str, shares: dict[str, float]) -> DataFrame:
     """group, runs and nearest-rank percentiles of ``value``, each of whose rows counts ``n`` times.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
@@ -115,7 +115,9 @@ def queue_summary(spark, sf_dir):
     statuses = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(s in G.STATUSES[:3]).alias("active")) for s in G.STATUSES])
     queue = _queue(spark, sf_dir)
     every = spark.range(1).select(F.explode(statuses).alias("s")).select("s.status", "s.active")
-    return every.join(queue.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", "active", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = every.join(queue.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", "active", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum(F.when(F.col("active"), F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(1)))  # six rows
+    return counts.withColumn("active_total", total)
 
 
 def queue_list(spark, sf_dir):
@@ -197,8 +199,6 @@ def _canvas_objects(spark, sf_dir, a):
 
 
 def canvas_nodes(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = _canvas_objects(spark, sf_dir, analysed(spark, sf_dir))
     nth = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("newest"), "id")) - 1
     x = F.when(F.col("type") == "Entity", 460).when(F.col("type") == "Source", -460).when(F.col("type") == "Tag", 920).otherwise(0)
@@ -332,7 +332,7 @@ SQL = {
     "suggest_actions": f"WITH {_ALL}, {_with_merges(G.ACTIONS, 'ay')} SELECT id, type, array_to_string(targets, ',') AS targets, description, confidence FROM ay",
     "recall_postings": f"WITH {_ALL}, tl AS (SELECT doc_id, string_agg('has_tag ' || tag || ' ' || path, ' ') AS s FROM tg JOIN n USING (doc_id) GROUP BY doc_id), el AS (SELECT doc_id, string_agg('mentions ' || e.name || ' ' || path, ' ') AS s FROM e JOIN n USING (doc_id) GROUP BY doc_id), rp AS (SELECT doc_id, unnest({TOKENS.format(chr(116) + 'itle || chr(32) || description || chr(32) || CASE WHEN resource <> chr(0) THEN ' + repr('derived_from ') + ' || resource || chr(32) || path ELSE ' + repr('') + ' END || chr(32) || COALESCE(tl.s, ' + repr('') + ') || chr(32) || COALESCE(el.s, ' + repr('') + ')')}) AS token FROM n LEFT JOIN tl USING (doc_id) LEFT JOIN el USING (doc_id)) SELECT doc_id, token, COUNT(*) AS n FROM rp GROUP BY ALL",
     "queue_reconcile": f"WITH {QUEUE} SELECT id, type, status, stale, archived_reason, priority, updated_at FROM q",
-    "queue_summary": f"WITH {QUEUE}, s AS (SELECT unnest({list(G.STATUSES)}) AS status) SELECT s.status, s.status IN ('proposed', 'accepted', 'in_progress') AS active, COUNT(q.id) AS n FROM s LEFT JOIN q USING (status) GROUP BY s.status",
+    "queue_summary": f"WITH {QUEUE}, s AS (SELECT unnest({list(G.STATUSES)}) AS status) SELECT s.status, s.status IN ('proposed', 'accepted', 'in_progress') AS active, COUNT(q.id) AS n, (SELECT COUNT(*) FROM q WHERE status IN ('proposed', 'accepted', 'in_progress')) AS active_total FROM s LEFT JOIN q USING (status) GROUP BY s.status",
     "queue_list": f"WITH {QUEUE} SELECT id, status, priority, type FROM q ORDER BY list_position({list(G.STATUSES)}, status), list_position(['high', 'medium', 'low'], priority), type, id LIMIT 20",
     "queue_status_update": f"WITH {QUEUE} SELECT id, CASE WHEN status = 'accepted' THEN 'done' WHEN status = 'proposed' AND priority = 'medium' THEN 'accepted' ELSE status END AS status, CASE WHEN status = 'accepted' OR (status = 'proposed' AND priority = 'medium') THEN '{AT}' ELSE updated_at END AS updated_at, CAST(CASE WHEN status = 'accepted' OR (status = 'proposed' AND priority = 'medium') THEN 1 ELSE 0 END AS BIGINT) AS changes, CASE WHEN status = 'accepted' OR (status = 'proposed' AND priority = 'medium') THEN status ELSE '' END AS changed_from FROM q",
     "graph_issues": f"WITH {_ALL}, {_GRAPH_ISSUES}",

@@ -50,6 +50,12 @@ def note_tags(spark, sf_dir):
     return notes.select("doc_id", "path", F.array_join("tags", ",").alias("tags"))
 
 
+def note_sections(spark, sf_dir):
+    """The claims, open questions and related keywords of each note."""
+    n = N.with_sections(_docs(spark, sf_dir), "doc_id", "text")
+    return n.select("doc_id", F.size("claims").cast("long").alias("n_claims"), F.md5(F.array_join("claims", "|").cast("binary")).alias("claims_md5"), F.size("open_questions").cast("long").alias("n_questions"), F.array_join("related", ",").alias("related"))
+
+
 def normalize_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.normalized_id(F.col("url")).alias("id"))
 
@@ -79,7 +85,7 @@ def csv_head(spark, sf_dir):
 
 
 def source_type_detect(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("extension"), T.source_type(F.col("url")).alias("source_type"))
+    return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("extension"), T.source_type(F.col("url")).alias("source_type"), T.resource_type(F.col("url")).alias("resource_type"))
 
 
 def conversation_notes(spark, sf_dir):
@@ -134,7 +140,7 @@ def link_rewrite(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    tokenize_docs, sentence_split, doc_summary, doc_title, doc_slug, doc_keywords, ambiguous_docs, note_tags, normalize_id,
+    tokenize_docs, sentence_split, doc_summary, doc_title, doc_slug, doc_keywords, ambiguous_docs, note_tags, note_sections, normalize_id,
     html_extract, html_title, json_flatten, json_salvage, csv_head, source_type_detect, conversation_notes, notes_ordered,
     generation_digest, freshness_diff, incremental_upsert, chunk_notes, link_rewrite,
 )}
@@ -196,13 +202,14 @@ SQL = {
     "doc_keywords": f"WITH {KEYWORDS} SELECT doc_id, token, n, rank FROM wr WHERE rank <= 8",
     "ambiguous_docs": f"SELECT doc_id, CAST(length({norm('text')}) AS BIGINT) AS chars, length({norm('text')}) < 80 OR {norm('text')} IN ({', '.join(repr(w) for w in T.AMBIGUOUS_WORDS)}) AS ambiguous, CAST(least(5, len(list_filter({sents('text')}, lambda q: regexp_matches(q, '[?？]$')))) AS BIGINT) AS open_questions FROM ({DOCS})",
     "note_tags": f"WITH {KEYWORDS}, k AS (SELECT doc_id, list(token ORDER BY rank) AS words FROM wr WHERE rank <= 5 GROUP BY doc_id), g AS (SELECT d.doc_id, list_concat(list_filter([lang, source], lambda x: x IS NOT NULL), COALESCE(words, [])) AS t FROM documents d LEFT JOIN k USING (doc_id)) SELECT doc_id, {PATH} AS path, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') AS tags FROM g",
+    "note_sections": f"WITH {KEYWORDS}, k AS (SELECT doc_id, string_agg(token, ',' ORDER BY rank) AS related FROM wr WHERE rank <= 8 GROUP BY doc_id), s AS (SELECT doc_id, {sents('text')} AS ss FROM ({DOCS})) SELECT doc_id, CAST(LEAST(5, len(ss)) AS BIGINT) AS n_claims, md5(array_to_string(list_slice(ss, 1, 5), '|')) AS claims_md5, CAST(LEAST(5, len(list_filter(ss, lambda q: regexp_matches(q, '[?？]$')))) AS BIGINT) AS n_questions, COALESCE(related, '') AS related FROM s LEFT JOIN k USING (doc_id)",
     "normalize_id": "SELECT page_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(lower(url), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 96), ''), 'unknown') AS id FROM pages",
     "html_extract": f"SELECT page_id, {unmarked(chr(67) + 'OALESCE(html, ' + chr(39) * 2 + ')')} AS text FROM pages",
     "html_title": f"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title[^>]*>[\\s\\S]*?</title>') THEN {unmarked('regexp_extract(html, ' + chr(39) + '(?i)<title[^>]*>([' + chr(92) + 's' + chr(92) + 'S]*?)</title>' + chr(39) + ', 1)')} END AS title FROM pages",
     "json_flatten": "SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || regexp_replace(COALESCE(json_extract_string(props, '$.' || k), 'null'), '[.。]+$', '')), '. ') AS text FROM events",
     "json_salvage": "SELECT event_id, props AS found, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || regexp_replace(COALESCE(json_extract_string(props, '$.' || k), 'null'), '[.。]+$', '')), '. ') AS text FROM events",
     "csv_head": f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, array_to_string(l, chr(10)) AS head FROM (SELECT doc_id, list_slice(list_filter(string_split({norm('text')}, chr(10)), lambda x: x <> ''), 1, 40) AS l FROM ({DOCS}))",
-    "source_type_detect": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SOURCE_TYPES.items()) + " ELSE 'text' END AS source_type FROM pages",
+    "source_type_detect": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SOURCE_TYPES.items()) + f" ELSE 'text' END AS source_type, CASE WHEN {_EXT} IN ('mp4', 'mov', 'mkv') THEN 'video' WHEN {_EXT} IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN {_EXT} IN ('png', 'jpg', 'jpeg', 'webp') THEN 'image' WHEN {_EXT} = 'pdf' THEN 'pdf' WHEN regexp_matches(url, '(?i)^https?:') THEN 'url' ELSE 'unknown' END AS resource_type FROM pages",
     "conversation_notes": f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), s AS (SELECT *, {sents('body')} AS ss FROM c), f AS (SELECT *, COALESCE(list_filter(ss, lambda s: length(s) >= 40)[1], ss[1], substr(body, 1, 180)) AS f FROM s), g AS (SELECT *, CASE WHEN length(f) > 220 THEN substr(f, 1, 217) || '...' ELSE f END AS summary FROM f) SELECT conv_id, turns, {titled('summary')} AS title, md5(body) AS body_md5 FROM g",
     "notes_ordered": f"WITH n AS (SELECT doc_id, {PATH} AS path, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp FROM documents) SELECT *, row_number() OVER (ORDER BY timestamp DESC, path) - 1 AS ord FROM n",
     "generation_digest": f"WITH n AS (SELECT {PATH} AS path, COALESCE(text, '') AS body FROM documents), l AS (SELECT substr(sha1(path), 1, 3) AS bucket, path || chr(10) || sha256(body) AS line FROM n), p AS (SELECT bucket, COUNT(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY bucket) SELECT CAST(SUM(n) AS BIGINT) AS notes, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS generation FROM p",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from notelake.functions import text as T
 
@@ -21,11 +23,27 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
+@F.pandas_udf(StringType())
+def _indented(raw: pd.Series) -> pd.Series:
+    """JSON documents indented, in their own order; null for what is none."""
+
+    def one(text: str) -> str | None:
+        try:
+            return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return pd.Series([one(x) for x in raw], dtype=object)
+
+
 def extracted(captures: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Adds source_type and extracted: the readable text of text, Markdown, JSON, CSV and HTML captures."""
+    """Adds source_type, title (of JSON and HTML) and extracted: the readable text of text, Markdown, JSON, CSV and HTML captures."""
     kind = T.source_type(F.col(path))
     raw = T.text_of(text)
-    readable = F.when(kind == "json", T.json_text(raw)).when(kind == "csv", F.array_join(T.first_lines(raw), "\n")).when(kind.isin("html", "xml"), T.without_markup(raw)).otherwise(T.normalized(raw))
+    name = F.regexp_extract(F.col(path), r"([^/\\]*)$", 1)
+    captures = captures.withColumn("title", F.when(kind == "json", F.coalesce(T.json_title(raw), name)).when(kind.isin("html", "xml"), T.html_title(raw)))
+    # Only the JSON captures go to Python: for the others the function sees null.
+    readable = F.when(kind == "json", T.json_note(raw, name, _indented(F.when(kind == "json", raw).otherwise("null")))).when(kind == "csv", F.array_join(T.first_lines(raw), "\n")).when(kind.isin("html", "xml"), T.without_markup(raw)).otherwise(T.normalized(raw))
     return captures.withColumn("source_type", kind).withColumn("extracted", readable)
 
 
@@ -53,10 +71,12 @@ def extracted_media(captures: DataFrame, extractors: dict[str, list[Callable[[by
 
 def frontmatter(raw: Column) -> Column:
     """A note file's fields (a map of its "key: value" lines), body, and what is wrong with its frontmatter."""
-    front = F.regexp_extract(raw, _PARTS, 1)
+    # Lists, nested fields and text over several lines become one line of their field.
+    front = F.regexp_replace(F.regexp_extract(raw, _PARTS, 1), r"\n[ \t]*-[ \t]+", ", ")
+    front = F.regexp_replace(F.regexp_replace(front, r"\n[ \t]+(?=[A-Za-z_][A-Za-z0-9_-]*\s*:)", "; "), r"\n[ \t]+(?=\S)", " ")
     lines = F.filter(F.split(front, "\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
     known = F.filter(lines, lambda x: x.rlike(_LINE))
-    clean = lambda v: F.regexp_replace(T.trimmed(v), "^[\"'](.*)[\"']$", "$1")
+    clean = lambda v: F.regexp_replace(F.regexp_replace(T.trimmed(v), r"^([,;]|[|>][-+]?(?=\s))\s*", ""), "^[\"'](.*)[\"']$", "$1")
     pair = lambda x: F.struct(T.trimmed(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), clean(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value"))
     pairs = F.transform(known, pair)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
@@ -69,9 +89,18 @@ def frontmatter(raw: Column) -> Column:
     )
 
 
+#: Files that exports write beside the notes, and folders of views that the library writes itself.
+RESERVED, GENERATED = ("index.md", "log.md"), ("actions",)
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of a folder of Markdown files: path, title, type, tags, body, error, size, modified, sha256."""
-    files = read_files(spark, folder, "*.[mM][dD]").withColumn("n", frontmatter(F.col("text")))
+    """Notes of a folder of Markdown files: path, title, type, tags, body, error, size, modified, sha256, once for each path.
+
+    Indexes, logs and views that are made from notes are none.
+    """
+    files = read_files(spark, folder, "*.[mM][dD]").dropDuplicates(["path"])
+    own = ~F.regexp_extract("path", r"([^/]*)$", 1).isin(*RESERVED) & ~F.col("path").rlike(f"/({'|'.join(GENERATED)})/[^/]*$")
+    files = files.where(own).withColumn("n", frontmatter(F.col("text")))
     field = lambda name: F.element_at("n.fields", name)
     tags = F.filter(F.split(F.regexp_replace(F.coalesce(field("tags"), F.lit("")), r"[\[\]]", ""), r"\s*,\s*"), lambda t: t != "")
     return files.select("path", F.coalesce(field("title"), F.lit("Untitled note")).alias("title"), field("type").alias("type"), tags.alias("tags"), F.col("n.body").alias("body"), F.col("n.error").alias("error"), "size", "modified", "sha256")

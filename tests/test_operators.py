@@ -92,6 +92,9 @@ def test_frontmatter(spark):
     n = captures.frontmatter(F.col("raw"))
     got = [r["n"] for r in spark.createDataFrame([(x,) for x in raw], "raw string").select(n.alias("n")).collect()]
     assert got[0]["fields"] == {"title": "later", "tags": "[x, y]"} and got[0]["body"] == "body\n" and got[0]["error"] is None
+    deep = "---\ntags:\n  - x\n  - y z\nmeta:\n  a: 1\n  b: 2\nsummary: |\n  one\n  two\n---\nbody"
+    fields = spark.createDataFrame([(deep,)], "raw string").select(n.alias("n")).first()["n"]
+    assert fields["fields"] == {"tags": "x, y z", "meta": "a: 1; b: 2", "summary": "one two"} and fields["error"] is None
     assert [x["error"] for x in got[1:]] == ["missing_frontmatter", "missing_frontmatter", "invalid_frontmatter"]
 
 
@@ -100,6 +103,9 @@ def test_folder_of_notes(spark, tmp_path):
     (tmp_path / "a" / "one.md").write_text("---\ntype: Concept\ntitle: One\ntags: [x]\n---\nBody [[two]]")
     (tmp_path / "two.MD").write_text("bare")
     (tmp_path / "three.txt").write_text("no note")
+    (tmp_path / "index.md").write_text("- [one](a/one.md)")
+    (tmp_path / "actions").mkdir()
+    (tmp_path / "actions" / "x.md").write_text("a view")
     got = {r["path"].rsplit("/", 1)[1]: r for r in captures.read_notes(spark, str(tmp_path)).collect()}
     assert set(got) == {"one.md", "two.MD"}
     assert (got["one.md"]["title"], got["one.md"]["tags"], got["one.md"]["error"]) == ("One", ["x"], None)
@@ -108,7 +114,10 @@ def test_folder_of_notes(spark, tmp_path):
 
 def test_extraction_by_type(spark):
     rows = spark.createDataFrame([("a.json", '{"k": "v."}'), ("b.csv", "x,y\n\n1,2"), ("c.html", "<b>t</b>"), ("d.md", " t  u ")], "path string, text string")
-    assert {r["path"]: r["extracted"] for r in captures.extracted(rows).collect()} == {"a.json": "k: v", "b.csv": "x,y\n1,2", "c.html": "t", "d.md": "t u"}
+    assert {r["path"]: r["extracted"] for r in captures.extracted(rows).collect()} == {"a.json": 'a.json. k: v\n\nRaw JSON:\n{\n  "k": "v."\n}', "b.csv": "x,y\n1,2", "c.html": "t", "d.md": "t u"}
+    more = spark.createDataFrame([("x/i.json", '{"topic": "Lists", "detail": {"a": 1}, "next": ["p", "q"]}'), ("j.json", "not json")], "path string, text string")
+    got = {r["path"]: (r["title"], r["extracted"]) for r in captures.extracted(more).collect()}
+    assert got["x/i.json"][0] == "Lists" and got["x/i.json"][1].startswith('Lists. topic: Lists. detail: {"a":1}. next: p, q\n\nRaw JSON:\n{\n  "topic"') and got["j.json"] == ("j.json", "not json")
 
     def broken(_):
         raise ValueError("no model")
