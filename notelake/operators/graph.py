@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.operators import notes as N
 from notelake.plans.store import materialise
 
 # Fixed values of the graph: dictionaries, limits and confidences.
@@ -134,10 +135,10 @@ def candidate_pairs(analysed: DataFrame, order: Column | None = None) -> DataFra
         F.transform("entities", lambda e: F.struct(F.lit(2).alias("weight"), e["id"].alias("key"))),
         F.transform("keywords", lambda k: F.struct(F.lit(1).alias("weight"), k.alias("key"))),
     )).alias("k")).select("doc_id", "k.weight", "k.key")
-    posting = Window.partitionBy("weight", "key").orderBy(order if order is not None else F.desc("doc_id"))
-    size = F.count("*").over(Window.partitionBy("weight", "key"))
-    following = F.array_compact(F.array(*[F.lead("doc_id", i).over(posting) for i in range(1, NEXT_IN_POSTING + 1)]))
-    placed = keys.select(F.col("doc_id").alias("a"), "weight", "key", size.alias("size"), following.alias("following"))
+    keys = materialise(keys.withColumn("order", order if order is not None else -F.col("doc_id")), "keys")
+    sizes = materialise(keys.groupBy("weight", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sized = keys.join(sizes, ["weight", "key"])  # a join of two written tables is split where a key is frequent
+    placed = N.with_following(sized, ["weight", "key"], [F.col("order")], "doc_id", NEXT_IN_POSTING).withColumnRenamed("doc_id", "a")
     near = placed.select("a", "weight", "key", "size", F.posexplode("following").alias("offset", "b"))
     first = near.groupBy("a", "b").agg(F.min(F.struct("size", (-F.col("weight")).alias("w"), "key", "offset")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy("first"))

@@ -1,6 +1,7 @@
 """Text functions on literal rows, graph selection against a plain walk, sources, exports and the store."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,47 @@ def test_capped_links_are_those_of_a_walk(spark, walked):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_following_rows_across_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", f"k{i % 9}"]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, n long")
+    got = {(r["key"], r["n"]): r["following"] for r in notes.with_following(df, ["key"], [-F.col("n")], "n", 8).collect()}
+    assert got == {(k, n): sorted((m for j, m in rows if j == k and m < n), reverse=True)[:8] for k, n in rows}
+
+
+def test_upsert_of_repeated_and_deleted_keys(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    delta = spark.createDataFrame([(2, "x", False), (2, "y", False), (3, None, True), (4, "z", None)], "k long, v string, deleted boolean")
+    got = {r["k"]: r["v"] for r in notes.upsert(base, delta, "k").collect()}
+    assert set(got) == {1, 2, 4} and got[2] in "xy" and notes.upsert(base, delta, "k").count() == 3
+    assert {r["k"]: r["v"] for r in notes.upsert(base, delta.drop("deleted").where("k > 2"), "k").collect()} == {1: "a", 2: "b", 3: None, 4: "z"}
+
+
+def test_postings_of_similar_links(spark):
+    docs = spark.createDataFrame([(1, "Kestrels hover above the verge and look for voles.", "en", "birds"), (2, "Voles live in runs through the grass.", "en", "birds")], "doc_id long, text string, lang string, source string")
+    a = graph.analyse(notes.build_notes(notes.from_documents(docs)))
+    similar = graph.pair_scores(a, graph.candidate_pairs(a))
+    plain, more = ({(r["doc_id"], r["token"]): r["n"] for r in graph.recall_postings(a, s).collect()} for s in (None, similar))
+    link = similar.first()
+    assert (link["a"], link["b"], link["type"]) == (2, 1, "similar_to") and {"en", "birds"} <= set(link["evidence"])
+    said = {1: f"similar_to {a.where('doc_id = 2').first()['title']}", 2: f"similar_to {a.where('doc_id = 1').first()['title']}"}
+    want = dict(plain)
+    for i, text in said.items():
+        for w in re.findall(r"[a-z0-9]+", f"{text} {' '.join(link['evidence'])}".lower()):
+            want[i, w] = want.get((i, w), 0) + 1
+    assert more == want
+
+
+def test_schema_issues(spark):
+    whole = graph.schema_rows(spark)
+    codes = lambda df: sorted((r["code"], r["path"]) for r in graph.schema_issues(df).collect())
+    assert codes(whole) == [] and codes(whole.limit(0))[-1] == ("missing_schema_section", "schema.objectTypes") and ("missing_schema", "schema") in codes(whole.limit(0)) or codes(whole.limit(0)) == [("missing_schema", "schema")]
+    broken = whole.where("section <> 'actionTypes' and type <> 'Tag'").withColumn("to_type", F.when(F.col("type") == "mentions", "Tag").otherwise(F.col("to_type"))).withColumn("properties", F.when(F.col("type") == "Entity", F.array(F.lit("name"))).otherwise(F.col("properties")))
+    assert codes(broken) == [("missing_schema_property", "schema.objectTypes.Entity.kind"), ("missing_schema_section", "schema.actionTypes"), ("missing_schema_type", "schema.objectTypes.Tag"), ("schema_type_mismatch", "schema.linkTypes.mentions.to")]
+    odd = whole.withColumn("inputs", F.when(F.col("type") == "promote_entity_note", F.array(F.lit("Tag"))).otherwise(F.col("inputs")))
+    assert codes(odd) == [("schema_inputs_mismatch", "schema.actionTypes.promote_entity_note")]
+
+
 def test_bm25_against_a_full_text_index(spark):
     import sqlite3
 
