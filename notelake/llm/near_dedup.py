@@ -47,7 +47,7 @@ from notelake.llm.hashing import by_text, mixed, shingles, uniform
 
 BANDS, ROWS, WIDTH, LEAST = 20, 4, 5, 0.8
 #: Open buckets of more items than SMALL are compared by blocks of about BLOCK items, fewer where they have more than ELEMENTS together.
-SMALL, BLOCK, ELEMENTS = 32, 256, 100_000
+SMALL, BLOCK, ELEMENTS = 32, 256, 400_000
 _ITEM = "item binary, id long, n long, bands array<long>"
 #: Stands for a null id; larger than any other.
 _NO_ID = 2**63 - 1
@@ -212,7 +212,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 819
 
 
 def links_of_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Of a pair of blocks (or a block with itself) a link a < b for each two classes between which there is one."""
+    """Of a pair of blocks (or a block with itself) links a < b that join all classes between which there are some."""
     i, j = rows["i"].iloc[0], rows["j"].iloc[0]
     x, y = rows[rows["own"] == i].reset_index(drop=True), rows[rows["own"] == j].reset_index(drop=True)
     if not len(x) or not len(y):
@@ -221,11 +221,17 @@ def links_of_blocks(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     common = overlaps(sets_x, sets_y)
     sim = common / (np.array([len(s) for s in sets_x])[:, None] + np.array([len(s) for s in sets_y])[None, :] - common)
     hit = np.argwhere(sim >= least - 1e-7)
-    out, seen = [], set()
-    for p, q in hit:
-        classes = frozenset((x["root"][p], y["root"][q]))
-        if len(classes) == 2 and classes not in seen and jaccard(sets_x[p], sets_y[q]) >= least:
-            seen.add(classes)
+    out, joined = [], {}
+
+    def find(c: bytes) -> bytes:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for p, q in hit:  # classes that the block has joined already need no further link
+        c, d = find(x["root"][p]), find(y["root"][q])
+        if c != d and jaccard(sets_x[p], sets_y[q]) >= least:
+            joined[c] = d
             out.append(sorted((x["item"][p], y["item"][q])))
     return pd.DataFrame(out, columns=["a", "b"])
 

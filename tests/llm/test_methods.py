@@ -162,7 +162,15 @@ def test_blocks_find_the_links_of_pairs():
         rows.append({"i": 0, "j": 1, "own": k % 2, "item": bytes([k]), "root": bytes([k]), "elements": np.unique(s)})
     df = pd.DataFrame(rows)
     want = {tuple(sorted((x["item"], y["item"]))) for x in rows for y in rows if x["own"] == 0 and y["own"] == 1 and near_dedup.jaccard(x["elements"], y["elements"]) >= 0.8}
-    assert set(map(tuple, near_dedup.links_of_blocks(df, 0.8).itertuples(index=False))) == want
+    got = set(map(tuple, near_dedup.links_of_blocks(df, 0.8).itertuples(index=False)))
+
+    def classes(links):
+        root = {bytes([k]): bytes([k]) for k in range(40)}
+        for a, b in links:
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == r) for r in root.values()}
+
+    assert got <= want and classes(got) == classes(want) and len(got) == 40 - len(classes(want))
 
 
 def test_components(spark):
