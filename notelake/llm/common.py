@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,16 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``, with its scheme.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place, one for each application and on a local master alone;
+    a cluster without the setting is an error, because its machines do not see each other's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="notelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = context.applicationId
+        if app not in _folders:
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="notelake-")
+        base = _folders[app]
+    path = context._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme is one of Spark's default file system
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

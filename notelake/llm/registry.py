@@ -12,6 +12,7 @@ from notelake.llm.spotsigs import op6_spotsigs
 from notelake.llm.token_counts import op10_token_counts
 from notelake.llm.toxicity import op4_toxicity
 from notelake.llm.warc import OP1_SQL, op1_warc
+from notelake.llm.whitening import op13_whitening
 
 
 def queries():
@@ -26,6 +27,7 @@ def queries():
         "op8_sharding": op8_sharding,
         "op9_hamming_topk": op9_hamming_topk,
         "op10_token_counts": op10_token_counts,
+        "op13_whitening": op13_whitening,
     }
 
 
