@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from notelake.llm.block_max import OP11_SQL, op11_block_max
 from notelake.llm.hamming_topk import OP9_SQL, op9_hamming_topk
 from notelake.llm.mixing import OP3_SQL, op3_mixing
 from notelake.llm.near_dedup import op2_minhash_near_dedup
@@ -27,6 +28,7 @@ def queries():
         "op8_sharding": op8_sharding,
         "op9_hamming_topk": op9_hamming_topk,
         "op10_token_counts": op10_token_counts,
+        "op11_block_max": op11_block_max,
         "op13_whitening": op13_whitening,
     }
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": OP1_SQL,
         "op3_mixing": OP3_SQL,
         "op9_hamming_topk": OP9_SQL,
+        "op11_block_max": OP11_SQL,
     }
