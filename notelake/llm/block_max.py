@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import materialise, table
+from notelake.llm.common import materialise, numbers, table, varints
 
 #: Postings in a block, documents in a window of a search, and what bounds a shard.
 BLOCK, WINDOW, SHARD_ROWS, SHARD_BYTES = 64, 2_048, 16_384, 16 << 20
@@ -48,25 +48,6 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_BYTES).split()
 
 
-def varints(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in bytes of seven bits, lowest first, and where each begins, with the end of all."""
-    size = 1 + sum((v >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28, 35, 42, 49, 56))
-    start = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(start[-1], np.uint8)
-    for k in range(int(size.max(initial=0))):
-        some = np.flatnonzero(size > k)
-        out[start[some] + k] = ((v[some] >> (7 * k)) & 127) | np.where(size[some] > k + 1, 128, 0)
-    return out, start
-
-
-def numbers(data: np.ndarray) -> np.ndarray:
-    """What ``varints`` made bytes of."""
-    last = np.flatnonzero(data < 128)
-    start = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(start, last - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start) if len(data) else np.zeros(0, np.int64)
-
-
 def gains(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
