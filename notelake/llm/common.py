@@ -134,7 +134,9 @@ def varints(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def numbers(data: np.ndarray) -> np.ndarray:
     """What ``varints`` made bytes of."""
+    if not len(data):
+        return np.zeros(0, np.int64)
     last = np.flatnonzero(data < 128)
     start = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(data)) - np.repeat(start, last - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start) if len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)
