@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from notelake.llm.block_max import OP11_SQL, op11_block_max
+from notelake.llm.context_tree import op12_context_tree
 from notelake.llm.hamming_topk import OP9_SQL, op9_hamming_topk
 from notelake.llm.mixing import OP3_SQL, op3_mixing
 from notelake.llm.near_dedup import op2_minhash_near_dedup
@@ -29,6 +30,7 @@ def queries():
         "op9_hamming_topk": op9_hamming_topk,
         "op10_token_counts": op10_token_counts,
         "op11_block_max": op11_block_max,
+        "op12_context_tree": op12_context_tree,
         "op13_whitening": op13_whitening,
     }
 
