@@ -191,7 +191,7 @@ def test_context_tree_against_its_definition(spark, docs, block_bytes):
 def test_probabilities_of_a_context_sum_to_one():
     rng = np.random.default_rng(3)
     text = bytes(rng.choice(np.frombuffer(b"abcd \xc3\xa9", np.uint8), 4_000).astype(np.uint8))
-    block = {"before": [b"\xff" * 3], "size": [len(text)], "last": [True], "train": [True], "text": text}
+    block = {"before": [b"\xff" * 3], "size": [len(text)], "last": [True], "train": [True], "text": zlib.compress(text)}
     keys, n = context_tree.distinct_runs(block, 3)
     sums = context_tree.share_sums(keys, n, 3)
     roots = context_tree.Roots(*[sums[c] for c in ("node", "zeros", "ones", "children")])
