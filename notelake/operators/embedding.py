@@ -1,7 +1,13 @@
-"""Embedding by functions that the caller passes, with fallback to the library's hashed vectors, and its upkeep."""
+"""Embedding by functions that the caller passes, with fallback to the library's hashed vectors, and its upkeep.
+
+A table of vectors has one identity (provider, model, size): a build is one provider's whole answer, or the next one's.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
+from notelake.plans.store import materialise
 
 Provider = Callable[[list[str]], Sequence[Sequence[float]]]
-#: Texts in a request, tries, and the first pause between tries in seconds.
+#: Texts in a request, tries, and the first pause between tries in seconds. Seconds to wait for an answer.
 BATCH, TRIES, PAUSE = 64, 3, 0.2
+TIMEOUT = 60.0
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 _HAN = regex.compile(r"\p{Han}")
 
@@ -90,56 +98,131 @@ def hashed_vectors(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return part.mapInArrow(made, schema)
 
 
-def fitted(vector: Sequence[float], size: int) -> np.ndarray:
-    """``vector`` cut or filled up to ``size`` and brought to length one; a vector of zeros stays."""
-    v = np.zeros(size)
-    v[: min(size, len(vector))] = np.asarray(vector, float)[:size]
+def unit(vector: Sequence[float]) -> np.ndarray:
+    """``vector`` at length one, with as many numbers as it has; a vector of zeros, and one with odd numbers, is zeros."""
+    v = np.asarray(vector, float)
     norm = np.linalg.norm(v)
-    return v / norm if norm > 0 else v
+    return v / norm if np.isfinite(norm) and norm > 0 else np.zeros(len(v))
 
 
-def _asked(provider: Provider, texts: list[str]) -> list[Sequence[float]]:
+def _asked(provider: Provider, texts: list[str], timeout: float) -> list[Sequence[float]]:
+    """A provider's answer, asked ``TRIES`` times, ``timeout`` seconds each; raises what the last try raised."""
     for n in range(TRIES):
+        answer: queue.SimpleQueue = queue.SimpleQueue()
+
+        def ask(answer: queue.SimpleQueue = answer) -> None:
+            try:
+                answer.put((list(provider(texts)), None))
+            except Exception as why:  # noqa: BLE001  whatever a provider raises is tried again and then left to the next one
+                answer.put((None, why))
+
+        # A thread that still waits when its time is up is left behind and ends with the task's process.
+        threading.Thread(target=ask, daemon=True).start()
         try:
-            vectors = list(provider(texts))
-            if len(vectors) != len(texts):
-                raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
+            vectors, why = answer.get(timeout=timeout)
+        except queue.Empty:
+            vectors, why = None, TimeoutError(f"no answer within {timeout} s")
+        if why is None and len(vectors) != len(texts):
+            why = ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
+        if why is None:
             return vectors
-        except Exception:  # noqa: BLE001  whatever a provider raises is tried again and then left to the next one
-            if n == TRIES - 1:
-                raise
-            time.sleep(PAUSE * 2**n)
+        if n == TRIES - 1:
+            raise why
+        time.sleep(PAUSE * 2**n)
     raise AssertionError
 
 
-def embedded(rows: DataFrame, text: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS) -> DataFrame:
-    """``rows`` with vector, provider and content_hash: of the providers, in order, the first that answers a batch counts."""
-    chain = [*(providers or {}).items(), ("hashed", lambda texts: hashed_matrix(texts, size))]
+def model_of(provider: Provider) -> str:
+    """The model that a provider names, if it does."""
+    return str(getattr(provider, "model", ""))
+
+
+def identity(name: str, model: str, size: int) -> str:
+    """A digest of what vectors must have in common to be compared."""
+    return hashlib.sha256("\0".join((name, model, str(size))).encode()).hexdigest()
+
+
+def _answers(rows: DataFrame, text: str, name: str, provider: Provider, timeout: float) -> DataFrame:
+    """``rows`` with vector and failure, written. A task whose provider fails once does not ask it again."""
     columns = rows.columns
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = None
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(lo, BATCH)
                 texts = [t or "" for t in batch.column(text).to_pylist()]
-                for name, provider in chain:
+                vectors: list = [None] * len(texts)
+                if failed is None:
                     try:
-                        vectors = [fitted(v, size).tolist() for v in _asked(provider, texts)]
-                        break
-                    except Exception:  # noqa: BLE001, S112  the last of the chain is local and does not fail
-                        continue
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(vectors, pa.list_(pa.float64())), pa.array([name] * len(texts), pa.string())], names=[*columns, "vector", "provider"])
+                        vectors = [unit(v).tolist() for v in _asked(provider, texts, timeout)]
+                    except Exception as why:  # noqa: BLE001  a failure is data: the next provider is asked
+                        failed = f"{name}: {why}"
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(vectors, pa.list_(pa.float64())), pa.array([failed] * len(texts), pa.string())], names=[*columns, "vector", "failure"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "vector array<double>", "failure string"])
+    return materialise(rows.mapInArrow(made, schema), "answers")
+
+
+def _chain(providers: dict[str, Provider] | None, size: int) -> list[tuple[str, Provider]]:
+    return [*(providers or {}).items(), ("hashed", lambda texts: hashed_matrix(texts, size))]
+
+
+def _whole(answers: DataFrame) -> tuple[int, int, str | None]:
+    """Rows, their vectors' size (-1: they differ), and why not all have one."""
+    found = answers.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"), F.min("failure").alias("failure")).first()
+    if found["failure"]:
+        return found["n"], -1, found["failure"]
+    same = found["least"] == found["most"]
+    return found["n"], (found["most"] or 0) if same else -1, None if same else "vectors of different sizes"
+
+
+def _named(answers: DataFrame, name: str, model: str, size: int, text: str) -> DataFrame:
+    said = {"provider": name, "model": model, "identity": identity(name, model, size)}
+    return answers.drop("failure").withColumns({**{c: F.lit(v) for c, v in said.items()}, "content_hash": F.sha2(T.text_of(text).cast("binary"), 256)})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "vector array<double>", "provider string"])
-    return rows.mapInArrow(made, schema).withColumn("content_hash", F.sha2(T.text_of(text).cast("binary"), 256))
 
+def refreshed(known: DataFrame | None, rows: DataFrame, keys: list[str], text: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS, timeout: float = TIMEOUT) -> DataFrame:
+    """``rows`` with vector, provider, model, identity and content_hash, all of one identity.
 
-def refreshed(known: DataFrame | None, rows: DataFrame, keys: list[str], text: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS) -> DataFrame:
-    """Vectors of ``rows``: known ones where key and content are as they were and have ``size`` numbers, new ones else."""
-    if known is None:
-        return embedded(rows, text, providers, size)
+    Of the providers, in order, the first counts that answers for all rows with vectors of one size, whatever that is; the
+    last are the library's own hashed vectors. Known vectors are kept where key, content, provider and model are as they were
+    and the new ones have their size; if these have another, the provider is asked for all rows.
+    """
     current = rows.withColumn("content_hash", F.sha2(T.text_of(text).cast("binary"), 256))
-    kept = known.where(F.size("vector") == size).select(*keys, "content_hash", "vector", "provider")
-    have = current.join(kept, [*keys, "content_hash"]).select(*rows.columns, "vector", "provider", "content_hash")
-    missing = current.join(kept, [*keys, "content_hash"], "left_anti").select(*rows.columns)
-    return have.unionByName(embedded(missing, text, providers, size))
+    for name, provider in _chain(providers, size):
+        model = model_of(provider)
+        if known is not None:
+            kept = known.where((F.col("provider") == name) & (F.col("model") == model)).select(*keys, "content_hash", "vector")
+            kept = materialise(current.join(kept, [*keys, "content_hash"]).select(*rows.columns, "vector"), "kept")
+            n_kept, size_kept, _ = _whole(kept.withColumn("failure", F.lit(None).cast("string")))
+            missing = current.join(kept.select(*keys), keys, "left_anti").select(*rows.columns)
+            if n_kept and size_kept > 0 and (name != "hashed" or size_kept == size):
+                answers = _answers(missing, text, name, provider, timeout)
+                n, got, failure = _whole(answers)
+                if failure is None and (n == 0 or got == size_kept):
+                    return _named(answers.unionByName(kept.withColumn("failure", F.lit(None).cast("string"))), name, model, size_kept, text)
+                if failure is not None and got == -1 and not failure.startswith("vectors of"):
+                    continue
+        answers = _answers(rows, text, name, provider, timeout)
+        n, got, failure = _whole(answers)
+        if failure is None:
+            return _named(answers, name, model, got, text)
+    raise AssertionError("the hashed vectors do not fail")
+
+
+def embedded(rows: DataFrame, text: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS, timeout: float = TIMEOUT) -> DataFrame:
+    """``rows`` with vectors of one identity, none of them known before."""
+    return refreshed(None, rows, [], text, providers, size, timeout)
+
+
+def questions(rows: DataFrame, text: str, wanted: str, providers: dict[str, Provider] | None = None, size: int = T.VECTOR_BINS, timeout: float = TIMEOUT) -> DataFrame | None:
+    """``rows`` with the vectors of the provider whose identity is ``wanted``; None where none of the providers has it or answers."""
+    for name, provider in _chain(providers, size):
+        if name == "hashed" and identity(name, "", size) != wanted:
+            continue
+        answers = _answers(rows, text, name, provider, timeout)
+        n, got, failure = _whole(answers)
+        if failure is None and (n == 0 or identity(name, model_of(provider), got) == wanted):
+            return _named(answers, name, model_of(provider), got, text)
+    return None

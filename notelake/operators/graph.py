@@ -113,29 +113,35 @@ def objects(analysed: DataFrame) -> DataFrame:
 
 
 def structural_links(analysed: DataFrame) -> DataFrame:
-    """doc_id, type, from_id, to_id, confidence: one row for each link, the most confident where one repeats."""
+    """doc_id, type, from_id, to_id, confidence, pos: one row for each link, the most confident where one repeats.
+
+    ``pos`` is its place among the note's links of its type; see ``link_order``.
+    """
     base = ["doc_id", F.col("concept_id").alias("from_id")]
-    source = analysed.where("resource <> ''").select(*base, F.lit("derived_from").alias("type"), _id("source", F.col("resource")).alias("to_id"), F.lit(DERIVED_FROM).alias("confidence"))
-    tag = analysed.select(*base, F.explode("tags").alias("t")).select("doc_id", "from_id", F.lit("has_tag").alias("type"), _id("tag", F.col("t")).alias("to_id"), F.lit(HAS_TAG).alias("confidence"))
-    entity = analysed.select(*base, F.explode("entities").alias("e")).select("doc_id", "from_id", F.lit("mentions").alias("type"), F.col("e.id").alias("to_id"), _confidence(F.col("e.kind")).alias("confidence"))
+    said = lambda kind, to, confidence, pos: [*base, F.lit(kind).alias("type"), to.alias("to_id"), F.lit(confidence).alias("confidence") if isinstance(confidence, float) else confidence.alias("confidence"), pos.cast("int").alias("pos")]
+    source = analysed.where("resource <> ''").select(*said("derived_from", _id("source", F.col("resource")), DERIVED_FROM, F.lit(0)))
+    tags = analysed.select("doc_id", "concept_id", F.posexplode("tags").alias("at", "t"))
+    tag = tags.select(*said("has_tag", _id("tag", F.col("t")), HAS_TAG, F.col("at")))
+    found = analysed.select("doc_id", "concept_id", F.posexplode("entities").alias("at", "e"))
+    entity = found.select(*said("mentions", F.col("e.id"), _confidence(F.col("e.kind")), F.col("at")))
     return deduplicated(source.unionByName(tag).unionByName(entity))
 
 
 def deduplicated(links: DataFrame) -> DataFrame:
-    return links.groupBy("type", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.max("doc_id").alias("doc_id"))
+    return links.groupBy("type", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.max("doc_id").alias("doc_id"), F.min("pos").alias("pos"))
 
 
 def candidate_pairs(analysed: DataFrame, order: Column | None = None) -> DataFrame:
     """a, b, nth: for each note the notes that follow it in the posting lists of its keys, rarest keys first.
 
-    ``order``: the notes' order, newest first by default (``-doc_id``).
+    ``order``: the notes' order, newest first by default.
     """
     keys = analysed.select("doc_id", F.explode(F.concat(
         F.transform("tag_keys", lambda k: F.struct(F.lit(3).alias("weight"), k.alias("key"))),
         F.transform("entities", lambda e: F.struct(F.lit(2).alias("weight"), e["id"].alias("key"))),
         F.transform("keywords", lambda k: F.struct(F.lit(1).alias("weight"), k.alias("key"))),
     )).alias("k")).select("doc_id", "k.weight", "k.key")
-    keys = materialise(keys.withColumn("order", order if order is not None else -F.col("doc_id")), "keys")
+    keys = materialise(keys.withColumn("order", order if order is not None else F.bitwise_not("doc_id")), "keys")
     sizes = materialise(keys.groupBy("weight", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     sized = keys.join(sizes, ["weight", "key"])  # a join of two written tables is split where a key is frequent
     placed = N.with_following(sized, ["weight", "key"], [F.col("order")], "doc_id", NEXT_IN_POSTING).withColumnRenamed("doc_id", "a")
@@ -210,6 +216,34 @@ def capped_links(scored: DataFrame, top_k: int = TOP_K, walked: int = WALKED) ->
         rows = materialise(rows.join(both, ["a", "b"]).withColumn("state", state).drop("taken", "possible"), "proposals")
 
 
+def first_merges(scored: DataFrame, n: int, first: int = 256) -> DataFrame:
+    """The first ``n`` capped links, newest notes first, between notes so alike that they may be one.
+
+    What a note links depends on newer notes alone, so that the newest ``first`` are enough if ``n`` are found among them; else
+    eight times as many are looked at, and so on.
+    """
+    order = [F.desc("a"), *proposal_order()]
+    while True:
+        oldest = scored.select("a").distinct().orderBy(F.desc("a")).limit(first).agg(F.min("a").alias("a"), F.count("*").alias("n")).first()
+        part = scored.where(F.col("a") >= oldest["a"]) if oldest["n"] == first else scored
+        merges = capped_links(part).where((F.col("type") == "similar_to") & (F.col("confidence") >= MERGE_FROM)).orderBy(*order).limit(n)
+        merges = materialise(merges, "merges")
+        if oldest["n"] < first or merges.count() == n:
+            return merges
+        first *= 8
+
+
+def link_order() -> list:
+    """The order in which links are made: notes newest first; of each its source, its tags and its entities."""
+    return [F.desc("doc_id"), F.array_position(F.array(*map(F.lit, LINK_TYPES)), F.col("type")), "pos", "to_id"]
+
+
+def with_concepts(similar: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Capped links with the concepts of their ends, from_id and to_id."""
+    end = lambda c, name: analysed.select(F.col("doc_id").alias(c), F.col("concept_id").alias(name))
+    return similar.join(end("a", "from_id"), "a").join(end("b", "to_id"), "b")
+
+
 def hotspots(links: DataFrame, n: int) -> DataFrame:
     """entity_id, mentions, rank of the most mentioned entities."""
     counts = links.where("type = 'mentions'").groupBy(F.col("to_id").alias("entity_id")).agg(F.count("*").alias("mentions"))
@@ -227,8 +261,8 @@ def actions(analysed: DataFrame, links: DataFrame, similar: DataFrame | None, n:
     parts = []
     if similar is not None:
         merge = similar.where((F.col("type") == "similar_to") & (F.col("confidence") >= MERGE_FROM)).orderBy(F.desc("a"), *proposal_order()).limit(merges)
-        concept = lambda c: F.concat(F.lit("concept:concepts-doc-"), F.lpad(F.col(c).cast("string"), 8, "0"), F.lit("-md"))
-        parts.append(merge.select(F.lit("merge_duplicate_concepts").alias("type"), F.array(concept("a"), concept("b")).alias("targets"), F.lit("High-overlap notes: review for duplicates.").alias("description"), "confidence"))
+        merge = with_concepts(F.broadcast(merge), analysed)  # ``merges`` rows
+        parts.append(merge.select(F.lit("merge_duplicate_concepts").alias("type"), F.array("from_id", "to_id").alias("targets"), F.lit("High-overlap notes: review for duplicates.").alias("description"), "confidence"))
     promote = hotspots(links, n).where("mentions >= 2")
     parts.append(promote.select(F.lit("promote_entity_note").alias("type"), F.array("entity_id").alias("targets"), F.concat(F.lit("Give the repeated entity "), F.substring("entity_id", 8, 200), F.lit(" a note of its own.")).alias("description"), F.lit(PROMOTE).alias("confidence")))
     weak = analysed.where(F.length("description") < 40).orderBy(F.desc("doc_id")).limit(n)
@@ -260,29 +294,34 @@ def priority(confidence: Column) -> Column:
     return F.when(confidence >= 0.85, "high").when(confidence >= 0.68, "medium").otherwise("low")
 
 
+_HISTORY = "array<struct<at:string,from:string,to:string,note:string>>"
+
+
 def reconcile(current: DataFrame, previous: DataFrame, at: str) -> DataFrame:
-    """The action queue: current suggestions with the states that they had, and what becomes of those no longer made."""
-    now = current.select("id", *[F.col(c).alias(f"now_{c}") for c in ("type", "targets", "description", "confidence")], F.lit(True).alias("is_now"))
-    old = previous.select("id", *[F.col(c).alias(f"old_{c}") for c in ("type", "targets", "description", "confidence", "status", "updated_at", "history")], F.lit(True).alias("was"))
-    more = [c for c in ("created_at", "closed_at") if c in previous.columns]
-    old = old.join(previous.select("id", *[F.col(c).alias(f"old_{c}") for c in more]), "id") if more else old
-    old = old.withColumns({f"old_{c}": F.lit(None).cast("string") for c in ("created_at", "closed_at") if c not in more})
-    rows = now.join(old.withColumn("closed_at", F.col("old_closed_at")), "id", "full_outer").withColumn("is_now", F.coalesce("is_now", F.lit(False))).withColumn("was", F.coalesce("was", F.lit(False)))
-    pick = lambda c: F.when(F.col("is_now"), F.col(f"now_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
-    kept = F.when(F.col("old_status").isin(*STATUSES), F.col("old_status")).otherwise("proposed")
-    gone = F.when(F.col("old_status") == "proposed", "archived").otherwise(F.col("old_status"))
-    open_ = F.col("old_status").isin("proposed", "accepted", "in_progress")
-    changed = F.col("was") & ~(F.col("now_type").eqNullSafe(F.col("old_type")) & F.col("now_description").eqNullSafe(F.col("old_description")) & F.col("now_confidence").eqNullSafe(F.col("old_confidence")) & F.col("now_targets").eqNullSafe(F.col("old_targets")))
-    updated = F.when(F.col("is_now"), F.when(changed | ~F.col("was"), F.lit(at)).otherwise(F.col("old_updated_at"))).when(F.col("old_status") == "proposed", F.lit(at)).otherwise(F.col("old_updated_at"))
+    """The action queue: current suggestions with the states that they had, and what becomes of those no longer made.
+
+    What an action had (history, times, why it was archived) stays with it. Of those no longer made, proposed ones are
+    archived and open ones are stale; closed ones stay as they were.
+    """
+    said = ("type", "targets", "description", "confidence")
+    kinds = {"archived_reason": "string", "stale": "boolean", "created_at": "string", "closed_at": "string", "history": _HISTORY}
+    had = lambda c: F.col(c) if c in previous.columns else F.lit(None).cast(kinds[c])
+    now = current.select("id", *[F.col(c).alias(f"now_{c}") for c in said], F.lit(True).alias("_now"))
+    old = previous.select("id", *[F.col(c).alias(f"old_{c}") for c in (*said, "status", "updated_at")], *[had(c).alias(f"old_{c}") for c in kinds], F.lit(True).alias("_was"))
+    rows = now.join(old, "id", "full_outer").withColumns({"is_now": F.coalesce("_now", F.lit(False)), "was": F.coalesce("_was", F.lit(False))})
+    is_now, was = F.col("is_now"), F.col("was")
+    proposed = F.col("old_status") == "proposed"
+    differs = [~F.col(f"now_{c}").eqNullSafe(F.col(f"old_{c}")) for c in said]
+    changed = was & (differs[0] | differs[1] | differs[2] | differs[3])
     return rows.select(
-        "id", pick("type"), pick("targets"), pick("description"), pick("confidence"),
-        F.when(F.col("is_now"), F.when(F.col("was"), kept).otherwise("proposed")).otherwise(gone).alias("status"),
-        (~F.col("is_now") & open_).alias("stale"),
-        F.when(~F.col("is_now") & (F.col("old_status") == "proposed"), "suggestion_not_current").alias("archived_reason"),
-        updated.alias("updated_at"),
+        "id", *[F.when(is_now, F.col(f"now_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in said],
+        F.when(is_now & was & F.col("old_status").isin(*STATUSES), F.col("old_status")).when(is_now, "proposed").when(proposed, "archived").otherwise(F.col("old_status")).alias("status"),
+        F.when(is_now, False).when(F.col("old_status").isin(*STATUSES[:3]), True).otherwise(F.coalesce("old_stale", F.lit(False))).alias("stale"),
+        F.when(~is_now & proposed, "suggestion_not_current").otherwise(F.col("old_archived_reason")).alias("archived_reason"),
+        F.when(F.when(is_now, changed | ~was).otherwise(proposed), F.lit(at)).otherwise(F.col("old_updated_at")).alias("updated_at"),
         F.coalesce("old_created_at", "old_updated_at", F.lit(at)).alias("created_at"),
-        "closed_at",
-        F.coalesce("old_history", F.array().cast("array<struct<at:string,from:string,to:string,note:string>>")).alias("history"),
+        F.col("old_closed_at").alias("closed_at"),
+        F.coalesce("old_history", F.array().cast(_HISTORY)).alias("history"),
     ).withColumn("priority", priority(F.col("confidence")))
 
 

@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.plans.store import materialise
+from notelake.sources.captures import DEFAULT_CONFIDENCE
 
-#: Notes whose source states no confidence.
-DEFAULT_CONFIDENCE = 0.72
+
+#: The first note's second, and how far ids may move a timestamp from it: years of four digits.
+EPOCH, EARLIEST, LATEST = 1_704_067_200, -28_000_000_000, 251_000_000_000
+
+
+def id_in_path(doc_id: Column) -> Column:
+    """An id's digits, all of them and eight at least, with m for a minus: no two ids have the same."""
+    text = F.replace(doc_id.cast("string"), F.lit("-"), F.lit("m"))
+    return F.when(F.length(text) < 8, F.lpad(text, 8, "0")).otherwise(text)
+
+
+def timestamp_of(doc_id: Column) -> Column:
+    """A second for each id; ids too far off for that share the first or the last one, and go by path among each other."""
+    seconds = F.greatest(F.least(doc_id, F.lit(LATEST)), F.lit(EARLIEST)) + EPOCH
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
     """The ``documents`` table as captures: path, text, resource, timestamp and the tags that the data give."""
     return documents.select(
         "doc_id",
-        F.concat(F.lit("concepts/doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("concepts/doc-"), id_in_path(F.col("doc_id")), F.lit(".md")).alias("path"),
         T.text_of("text").alias("body"),
         F.col("source").alias("resource"),
-        F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        timestamp_of(F.col("doc_id")).alias("timestamp"),
         F.array_compact(F.array("lang", "source")).alias("given_tags"),
     )
 

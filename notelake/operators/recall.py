@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,39 +158,44 @@ def block_scores(ids: np.ndarray, asked: np.ndarray, keys: list[np.ndarray], x:
     """
     at, who, what = [], [], []
     for q in range(len(ids)):
-        score = np.round(x @ asked[q], digits)
+        score = np.round(x @ asked[q], digits) + 0.0
         some = np.flatnonzero(score > least)
         order = some[np.lexsort((*[n[some] for n in keys[::-1]], -score[some]))]
         first = np.sort(np.unique(keys[0][order], return_index=True)[1])[:k]
         at.append(order[first])
         who.append(np.full(len(first), q))
         what.append(score[order[first]])
-    return np.concatenate(who), np.concatenate(at), np.concatenate(what)
+    return (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (who, at, what))
 
 
 def vector_scores(vectors: DataFrame, asked: DataFrame, keys: list[str], query: str, k: int, digits: int = 4, least: float = 0.0) -> DataFrame:
     """query, keys, score: of every query the best row of each note, ``k`` notes at least for each task; ``keys[0]`` is the note.
 
     Up to ``QUERY_BLOCK`` queries are broadcast and the vectors stay where they are. More are dealt into blocks, and each
-    block of queries meets each block of vectors in a task.
+    block of queries meets each block of vectors in a task. Vectors of different lengths are not compared; null ones neither
+    ask nor answer, nor do those with an entry that is null or no number.
     """
-    rows = materialise(asked.select(F.col(query).cast("long").alias(query), "vector"), "asked")
-    vectors = vectors.select(*[F.col(c).cast("long").alias(c) for c in keys], "vector")
+    whole = lambda df: df.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    rows = materialise(whole(asked.select(F.col(query).cast("long").alias(query), F.col("vector").cast("array<double>").alias("vector"))), "asked")
+    vectors = whole(vectors.select(*[F.col(c).cast("long").alias(c) for c in keys], F.col("vector").cast("array<double>").alias("vector")))
     out = ", ".join([f"{query} long", *(f"{c} long" for c in keys), "score double"])
     n = rows.count()
     if n <= QUERY_BLOCK:
         part = rows.collect()
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[query] for r in part], np.int64), np.array([r["vector"] for r in part], float).reshape(len(part), -1)))
+        sizes = {len(r["vector"]) for r in part}
+        shared = vectors.sparkSession.sparkContext.broadcast({n: (np.array([r[query] for r in part if len(r["vector"]) == n], np.int64), np.array([r["vector"] for r in part if len(r["vector"]) == n], float)) for n in sizes})
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = shared.value
             for whole in batches:
-                for lo in range(0, whole.num_rows if len(ids) else 0, VECTOR_BLOCK):
-                    batch = whole.slice(lo, VECTOR_BLOCK)
-                    names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
-                    x = np.asarray(batch.column("vector").flatten()).astype(float).reshape(batch.num_rows, -1)
-                    who, at, score = block_scores(ids, m, names, x, k, digits, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), *(pa.array(c[at]) for c in names), pa.array(score)], names=[query, *keys, "score"])
+                lengths = pc.list_value_length(whole.column("vector")).to_numpy(zero_copy_only=False)
+                for size, (ids, m) in shared.value.items():
+                    mine = whole.filter(pa.array(lengths == size))
+                    for lo in range(0, mine.num_rows, VECTOR_BLOCK):
+                        batch = mine.slice(lo, VECTOR_BLOCK)
+                        names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+                        x = np.asarray(batch.column("vector").flatten()).astype(float).reshape(batch.num_rows, size)
+                        who, at, score = block_scores(ids, m, names, x, k, digits, least)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), *(pa.array(c[at]) for c in names), pa.array(score)], names=[query, *keys, "score"])
 
         return vectors.mapInArrow(made, out)
     parts = -(-n // QUERY_BLOCK)
@@ -199,11 +205,15 @@ def vector_scores(vectors: DataFrame, asked: DataFrame, keys: list[str], query:
     right = rows.withColumn("part", F.pmod(F.xxhash64(query), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({c: np.zeros(0, float if c == "score" else np.int64) for c in (query, *keys, "score")})
-        ids, names = y[query].to_numpy(), [x[c].to_numpy() for c in keys]
-        who, at, score = block_scores(ids, np.stack(y["vector"]).astype(float), names, np.stack(x["vector"]).astype(float), k, digits, least)
-        return pd.DataFrame({query: ids[who], **{c: v[at] for c, v in zip(keys, names, strict=True)}, "score": score})
+        found = []
+        for size in set(map(len, x["vector"])) & set(map(len, y["vector"])):
+            rows_, own = x[x["vector"].map(len) == size], y[y["vector"].map(len) == size]
+            ids, names = own[query].to_numpy(), [rows_[c].to_numpy() for c in keys]
+            matrix = lambda v: np.stack(v.to_list()).astype(float)
+            who, at, score = block_scores(ids, matrix(own["vector"]), names, matrix(rows_["vector"]), k, digits, least)
+            found.append(pd.DataFrame({query: ids[who], **{c: v[at] for c, v in zip(keys, names, strict=True)}, "score": score}))
+        none = pd.DataFrame({c: np.zeros(0, float if c == "score" else np.int64) for c in (query, *keys, "score")})
+        return pd.concat(found) if found else none
 
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compared, out)
 

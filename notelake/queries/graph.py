@@ -11,7 +11,7 @@ from notelake.operators import graph as G
 from notelake.operators import notes as N
 from notelake.operators import recall as R
 from notelake.plans.store import materialise
-from notelake.queries.texts import DOCS, KEYWORDS, PATH, TITLED, TOKENS
+from notelake.queries.texts import DOCS, KEYWORDS, PATH, TITLED, TOKENS, id_in_path
 from notelake.session import table
 
 #: The dictionary of domains for prose of made-up syllables, where no term of the library's own dictionary occurs.
@@ -72,7 +72,7 @@ def entity_hotspots(spark, sf_dir):
 
 def suggest_actions(spark, sf_dir):
     a = analysed(spark, sf_dir)
-    return G.actions(a, G.structural_links(a), G.capped_links(_scores(a))).select("id", "type", F.array_join("targets", ",").alias("targets"), "description", "confidence")
+    return _suggested(a, G.ACTIONS).select("id", "type", F.array_join("targets", ",").alias("targets"), "description", "confidence")
 
 
 def recall_postings(spark, sf_dir):
@@ -89,22 +89,24 @@ def graph_recall(spark, sf_dir):
     return graph_top(spark, sf_dir, 5)
 
 
-def _previous(spark, sf_dir):
+def _suggested(a, n: int) -> DataFrame:
+    """What the graph of analysed notes suggests: of its similarity links only those are made that merges come from."""
+    scored = materialise(_scores(a), "scores")
+    return materialise(G.actions(a, G.structural_links(a), G.first_merges(scored, G.ACTIONS), n), "actions")
+
+
+def _previous(spark, sf_dir, a):
     """The suggestions that the labelled part of the corpus gives, in states that their ids decide."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    a = materialise(G.analyse(N.build_notes(N.from_documents(docs)), PROSE_DOMAINS), "analysis")
-    old = materialise(G.actions(a, G.structural_links(a), G.capped_links(_scores(a)), 500), "previous")
+    old = _suggested(materialise(a.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), "labelled"), 500)
     digit = F.conv(F.substring("id", -1, 1), 16, 10).cast("int")
     status = F.when(digit < 4, "proposed").when(digit < 7, "accepted").when(digit < 9, "in_progress").when(digit < 12, "done").when(digit < 14, "dismissed").otherwise("archived")
-    return old.withColumn("status", status).withColumn("updated_at", F.lit("2024-05-01T00:00:00.000Z")).withColumn("history", F.array().cast("array<struct<at:string,from:string,to:string,note:string>>"))
-
-
-def _current(a) -> DataFrame:
-    return materialise(G.actions(a, G.structural_links(a), G.capped_links(_scores(a)), 500), "actions")
+    states = {"status": status, "stale": digit == 15, "archived_reason": F.when(digit >= 14, "manual_update"), "updated_at": F.lit("2024-05-01T00:00:00.000Z"), "history": F.array().cast("array<struct<at:string,from:string,to:string,note:string>>")}
+    return old.withColumns(states)
 
 
 def _queue(spark, sf_dir):
-    return G.reconcile(_current(analysed(spark, sf_dir)), _previous(spark, sf_dir), AT)
+    a = analysed(spark, sf_dir)
+    return G.reconcile(_suggested(a, 500), _previous(spark, sf_dir, a), AT)
 
 
 def queue_reconcile(spark, sf_dir):
@@ -160,10 +162,10 @@ def graph_issues(spark, sf_dir):
 def queue_issues(spark, sf_dir):
     """Current and previous suggestions put together unreconciled, and broken in each of the ways there are."""
     a = analysed(spark, sf_dir)
-    current = _current(a)
+    current = _suggested(a, 500)
     now = current.withColumns({"status": F.lit("proposed"), "created_at": F.lit(AT), "stale": F.lit(False)})
     columns = ["id", "type", "targets", "description", "confidence", "status", "created_at", "stale"]
-    old = _previous(spark, sf_dir).withColumn("stale", F.col("status") == "archived").withColumn("created_at", F.col("updated_at"))
+    old = _previous(spark, sf_dir, a).withColumn("stale", F.col("status") == "archived").withColumn("created_at", F.col("updated_at"))
     both = now.select(columns).unionByName(old.select(columns)).withColumn("priority", G.priority(F.col("confidence"))).withColumn("updated_at", F.col("created_at"))
     d = F.substring("id", -2, 1)
     broken = {"type": (F.lit(""), "1"), "status": (F.lit("odd"), "2"), "priority": (F.lit("x"), "3"), "targets": (F.lit(None).cast("array<string>"), "4"), "confidence": (F.lit(-1.0), "5"), "description": (F.lit(""), "6"), "created_at": (F.lit(" "), "7"), "updated_at": (F.lit(None).cast("string"), "8"), "id": (F.lit(""), "0")}
@@ -276,20 +278,20 @@ s AS (SELECT a, b, CASE WHEN ev >= 2 THEN 'similar_to' ELSE 'same_domain' END AS
 
 def _with_merges(n: int, name: str) -> str:
     """As ``_action_sql``, with the merges of the first similar notes: at their place degrees are not at their bounds yet."""
-    pair = lambda c: f"'concept:concepts-doc-' || lpad(CAST({c} AS VARCHAR), 8, '0') || '-md'"
+    pair = lambda c: f"'concept:concepts-doc-' || {id_in_path(c)} || '-md'"
     ident = "'action:' || type || ':' || substr(sha1('{\"type\":\"' || type || '\",\"targets\":[\"' || array_to_string(targets, '\",\"') || '\"]}'), 1, 12)"
     merges = f"SELECT 'merge_duplicate_concepts' AS type, [{pair('a')}, {pair('b')}] AS targets, 'High-overlap notes: review for duplicates.' AS description, confidence FROM s WHERE type = 'similar_to' AND confidence >= {G.MERGE_FROM} ORDER BY a DESC, confidence DESC, evidence_count DESC, b DESC LIMIT {G.ACTIONS}"
     return f"{CANDIDATES}, {SCORES}, {_action_sql(n, name + 'p')}, {name}m AS ({merges}), {name} AS (SELECT type, targets, description, confidence, id FROM {name}p UNION ALL SELECT type, targets, description, confidence, {ident} FROM {name}m)"
 
 
 _ALL, _OLD = analysis(), analysis("SELECT doc_id, COALESCE(text, '') AS text, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-_PREVIOUS_TABLES = f"prev AS (WITH {_OLD}, {_with_merges(500, 'ax')} SELECT id, type, targets, description, confidence, CASE WHEN d < 4 THEN 'proposed' WHEN d < 7 THEN 'accepted' WHEN d < 9 THEN 'in_progress' WHEN d < 12 THEN 'done' WHEN d < 14 THEN 'dismissed' ELSE 'archived' END AS status FROM (SELECT *, strpos('0123456789abcdef', id[-1]) - 1 AS d FROM ax))"
+_PREVIOUS_TABLES = f"prev AS (WITH {_OLD}, {_with_merges(500, 'ax')} SELECT id, type, targets, description, confidence, CASE WHEN d < 4 THEN 'proposed' WHEN d < 7 THEN 'accepted' WHEN d < 9 THEN 'in_progress' WHEN d < 12 THEN 'done' WHEN d < 14 THEN 'dismissed' ELSE 'archived' END AS status, d = 15 AS stale, CASE WHEN d >= 14 THEN 'manual_update' END AS reason FROM (SELECT *, strpos('0123456789abcdef', id[-1]) - 1 AS d FROM ax))"
 _NOW_TABLES = f"now AS (WITH {_ALL}, {_with_merges(500, 'ax')} SELECT * FROM ax)"
 QUEUE = f"""{_NOW_TABLES}, {_PREVIOUS_TABLES},
-q0 AS (SELECT COALESCE(now.id, prev.id) AS id, COALESCE(now.type, prev.type) AS type, COALESCE(now.confidence, prev.confidence) AS confidence, now.id IS NOT NULL AS is_now, prev.id IS NOT NULL AS was, prev.status AS old,
+q0 AS (SELECT COALESCE(now.id, prev.id) AS id, COALESCE(now.type, prev.type) AS type, COALESCE(now.confidence, prev.confidence) AS confidence, now.id IS NOT NULL AS is_now, prev.id IS NOT NULL AS was, prev.status AS old, prev.stale AS old_stale, prev.reason AS reason,
   now.id IS NOT NULL AND prev.id IS NOT NULL AND (now.description <> prev.description OR now.confidence <> prev.confidence) AS changed FROM now FULL JOIN prev ON now.id = prev.id),
-q AS (SELECT id, type, CASE WHEN is_now THEN COALESCE(old, 'proposed') WHEN old = 'proposed' THEN 'archived' ELSE old END AS status, NOT is_now AND old IN ('proposed', 'accepted', 'in_progress') AS stale,
-  CASE WHEN NOT is_now AND old = 'proposed' THEN 'suggestion_not_current' END AS archived_reason, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.68 THEN 'medium' ELSE 'low' END AS priority,
+q AS (SELECT id, type, CASE WHEN is_now THEN COALESCE(old, 'proposed') WHEN old = 'proposed' THEN 'archived' ELSE old END AS status, CASE WHEN is_now THEN false WHEN old IN ('proposed', 'accepted', 'in_progress') THEN true ELSE old_stale END AS stale,
+  CASE WHEN NOT is_now AND old = 'proposed' THEN 'suggestion_not_current' ELSE reason END AS archived_reason, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.68 THEN 'medium' ELSE 'low' END AS priority,
   CASE WHEN (is_now AND (NOT was OR changed)) OR (NOT is_now AND old = 'proposed') THEN '{AT}' ELSE '2024-05-01T00:00:00.000Z' END AS updated_at FROM q0)"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators import embedding as E
+from notelake.operators import index as I
 from notelake.operators import notes as N
 from notelake.operators import recall as R
 from notelake.plans.store import materialise
@@ -29,20 +30,25 @@ def corpus_stats(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("dl").alias("tokens"), F.max("dl").cast("long").alias("longest"), F.round(F.avg("dl"), 4).alias("avgdl"))
 
 
+def full_text_index(spark, sf_dir) -> I.Index:
+    """The stored index of all documents, built anew for a query that stands alone."""
+    return I.built(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
 def lexical_recall(spark, sf_dir):
-    return R.lexical(*_both(spark, sf_dir), "doc_id", "item_id", K)
+    return I.lexical(full_text_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", K)
 
 
 def like_recall(spark, sf_dir):
-    return R.substring_recall(*_both(spark, sf_dir), "doc_id", "item_id", K)
+    return I.substring_recall(full_text_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", K)
 
 
 def bm25_recall(spark, sf_dir):
-    return R.bm25(*_both(spark, sf_dir), "doc_id", "item_id", K)
+    return I.bm25(full_text_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", K)
 
 
 def fts_score_compat(spark, sf_dir):
-    top = R.bm25(*_both(spark, sf_dir), "doc_id", "item_id", K).withColumn("score", R.compatible_score(F.col("bm25"))).drop("rank")
+    top = I.bm25(full_text_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", K).withColumn("score", R.compatible_score(F.col("bm25"))).drop("rank")
     return R.best(top, "item_id", [F.desc("score"), F.col("bm25"), F.col("doc_id")], K).select("item_id", "doc_id", "score", "rank")
 
 
@@ -53,21 +59,21 @@ def fnv_hash(spark, sf_dir):
 
 def bm25_accented(spark, sf_dir):
     """The passages with accents on all their vowels find what the plain ones find: full-text search takes no notice of them."""
-    docs, asked = _both(spark, sf_dir)
-    return R.bm25(docs, asked.withColumn("text", F.translate("text", "aeiou", "áèîöū")), "doc_id", "item_id", K)
+    asked = table(spark, sf_dir, "benchmark").withColumn("text", F.translate("text", "aeiou", "áèîöū"))
+    return I.bm25(full_text_index(spark, sf_dir), asked, "item_id", K)
 
 
 def recall_snippets(spark, sf_dir):
     """The words of each text found around the first one that its query asks for."""
     docs, asked = _both(spark, sf_dir)
-    return R.with_snippets(R.bm25(docs, asked, "doc_id", "item_id", K).select("item_id", "doc_id", "rank"), docs, asked, "doc_id", "item_id")
+    return R.with_snippets(I.bm25(full_text_index(spark, sf_dir), asked, "item_id", K).select("item_id", "doc_id", "rank"), docs, asked, "doc_id", "item_id")
 
 
 def full_text_recall(spark, sf_dir):
     """Queries of parts of words: most find nothing as words and are looked for as parts of texts."""
-    docs, asked = _both(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark")
     parts = F.transform(F.slice(F.filter(T.tokens(T.text_of("text")), lambda t: F.length(t) >= 7), 1, 4), lambda t: F.substring(t, 2, F.lit(5)))
-    return R.full_text(docs, asked.select("item_id", F.array_join(parts, " ").alias("text")), "doc_id", "item_id", K)
+    return I.full_text(full_text_index(spark, sf_dir), asked.select("item_id", F.array_join(parts, " ").alias("text")), "item_id", K)
 
 
 def _bins(vectors, *keys):
@@ -105,10 +111,17 @@ def vector_recall(spark, sf_dir):
 
 
 def dense_cosine_topk(spark, sf_dir):
-    """The five nearest vectors by cosine of every vector whose id is divisible by 20."""
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / norm).alias("vector"))
+    """The five nearest vectors by cosine of every vector whose id is divisible by 20.
+
+    Vectors of zeros, and those with an entry that is null or not finite, have no direction: they neither ask nor answer.
+    Vectors of different lengths are not compared.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    most = F.array_max(F.transform("v", F.abs))  # entries are brought near 1 first, so that no square is too large or small
+    e = e.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | F.abs(x).eqNullSafe(F.lit(float("inf"))))).withColumn("most", most).where("most > 0")
+    e = e.withColumn("v", F.transform("v", lambda x: x / F.col("most")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = e.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("vector"))
     asked = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     found = R.vector_scores(unit, asked, ["vec_id"], "query_id", K + 1, least=-2.0).where("query_id <> vec_id")
     return R.best(found, "query_id", [F.desc("score"), F.col("vec_id")], K)
@@ -122,16 +135,17 @@ def embedding_reuse(spark, sf_dir):
 
 
 def score_normalize(spark, sf_dir):
-    top = R.lexical(*_both(spark, sf_dir), "doc_id", "item_id", K)
+    top = lexical_recall(spark, sf_dir)
     return R.fused([("lexical", top, True)], "item_id", "doc_id", K).select("item_id", "doc_id", F.col("score").alias("normalized"), "rank")
 
 
 def _signals(spark, sf_dir):
     from notelake.queries.graph import graph_top
 
+    index, asked = full_text_index(spark, sf_dir), table(spark, sf_dir, "benchmark")
     return [
-        ("lexical", R.lexical(*_both(spark, sf_dir), "doc_id", "item_id", K), True),
-        ("fulltext", R.full_text(*_both(spark, sf_dir), "doc_id", "item_id", K), True),
+        ("lexical", I.lexical(index, asked, "item_id", K), True),
+        ("fulltext", I.full_text(index, asked, "item_id", K), True),
         ("graph", graph_top(spark, sf_dir, K), True),
         ("vector", vector_recall(spark, sf_dir), False),
     ]
@@ -239,7 +253,7 @@ SQL = {
     "hashed_embedding": f"WITH {CHUNKS}, {terms('cv', 'cc', 'doc_id, chunk_no', 'chunk')} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(bin AS BIGINT) AS bin, ROUND(weight, 4) AS weight FROM cv",
     "vector_best_chunk": f"WITH {VECTOR} SELECT item_id, doc_id, chunk_no, score, {_RANK.format(q='item_id', o='score DESC, doc_id')} FROM (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_no) = 1) QUALIFY rank <= 20",
     "vector_recall": f"WITH {VECTOR} SELECT item_id, doc_id, score, rank FROM vec",
-    "dense_cosine_topk": f"WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM u), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.v, r.v) / (q.l * r.l), 4) AS score FROM n q JOIN n r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, {_RANK.format(q='query_id', o='score DESC, vec_id')} FROM s) WHERE rank <= {K}",
+    "dense_cosine_topk": f"WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM u), f AS (SELECT * FROM n WHERE l > 0 AND isfinite(l)), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.v, r.v) / (q.l * r.l), 4) AS score FROM f q JOIN f r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 20 = 0) SELECT * FROM (SELECT *, {_RANK.format(q='query_id', o='score DESC, vec_id')} FROM s) WHERE rank <= {K}",
     "embedding_reuse": f"WITH {CHUNKS}, h AS (SELECT doc_id, sha256(chunk) AS x FROM cc), r AS (SELECT DISTINCT x FROM h WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, COUNT(*) AS chunks, CAST(SUM(CASE WHEN r.x IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS reused FROM h LEFT JOIN r USING (x) GROUP BY doc_id",
     "score_normalize": f"WITH {LEXICAL}, {fused_sql([('lexical', 'lex', True)])} SELECT item_id, doc_id, score AS normalized, rank FROM fr",
     "latency_percentile": "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, MAX(n) AS runs, MAX(CASE WHEN r = ceil(n * 0.5) THEN value END) AS p50, MAX(CASE WHEN r = ceil(n * 0.95) THEN value END) AS p95 FROM e GROUP BY event_type",

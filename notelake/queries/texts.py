@@ -185,7 +185,14 @@ def unmarked(c: str) -> str:
 
 _EXT = "lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]*)$', 1), '\\.([A-Za-z0-9]+)$', 1))"
 _STATES = "s AS (SELECT d.doc_id, COALESCE(text, '') AS text, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))"
-PATH = "'concepts/doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md'"
+
+
+def id_in_path(c: str) -> str:
+    text = f"replace(CAST({c} AS VARCHAR), '-', 'm')"
+    return f"CASE WHEN length({text}) < 8 THEN lpad({text}, 8, '0') ELSE {text} END"
+
+
+PATH = f"'concepts/doc-' || {id_in_path('doc_id')} || '.md'"
 HEADS = """hk AS (SELECT doc_id, list(token ORDER BY rank) AS words FROM wr WHERE rank <= 5 GROUP BY doc_id),
 hg AS (SELECT d4.doc_id, title, summary, list_concat(list_filter([lang, source], lambda x: x IS NOT NULL), COALESCE(words, [])) AS t FROM d4 LEFT JOIN hk USING (doc_id)),
 hd AS (SELECT doc_id, title || chr(10) || summary || chr(10) || array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS head FROM hg)"""
@@ -211,7 +218,7 @@ SQL = {
     "csv_head": f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, array_to_string(l, chr(10)) AS head FROM (SELECT doc_id, list_slice(list_filter(string_split({norm('text')}, chr(10)), lambda x: x <> ''), 1, 40) AS l FROM ({DOCS}))",
     "source_type_detect": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SOURCE_TYPES.items()) + f" ELSE 'text' END AS source_type, CASE WHEN {_EXT} IN ('mp4', 'mov', 'mkv') THEN 'video' WHEN {_EXT} IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN {_EXT} IN ('png', 'jpg', 'jpeg', 'webp') THEN 'image' WHEN {_EXT} = 'pdf' THEN 'pdf' WHEN regexp_matches(url, '(?i)^https?:') THEN 'url' ELSE 'unknown' END AS resource_type FROM pages",
     "conversation_notes": f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), s AS (SELECT *, {sents('body')} AS ss FROM c), f AS (SELECT *, COALESCE(list_filter(ss, lambda s: length(s) >= 40)[1], ss[1], substr(body, 1, 180)) AS f FROM s), g AS (SELECT *, CASE WHEN length(f) > 220 THEN substr(f, 1, 217) || '...' ELSE f END AS summary FROM f) SELECT conv_id, turns, {titled('summary')} AS title, md5(body) AS body_md5 FROM g",
-    "notes_ordered": f"WITH n AS (SELECT doc_id, {PATH} AS path, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp FROM documents) SELECT *, row_number() OVER (ORDER BY timestamp DESC, path) - 1 AS ord FROM n",
+    "notes_ordered": f"WITH n AS (SELECT doc_id, {PATH} AS path, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(GREATEST(LEAST(doc_id, {N.LATEST}), {N.EARLIEST})), '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp FROM documents) SELECT *, row_number() OVER (ORDER BY timestamp DESC, path) - 1 AS ord FROM n",
     "generation_digest": f"WITH n AS (SELECT {PATH} AS path, COALESCE(text, '') AS body FROM documents), l AS (SELECT substr(sha1(path), 1, 3) AS bucket, path || chr(10) || sha256(body) AS line FROM n), p AS (SELECT bucket, COUNT(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY bucket) SELECT CAST(SUM(n) AS BIGINT) AS notes, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS generation FROM p",
     "freshness_diff": f"WITH {_STATES}, a AS (SELECT doc_id, strlen(text) AS size FROM s WHERE quality IS NULL OR quality = 1), b AS (SELECT doc_id, strlen(text) + CASE WHEN quality = 1 THEN 1 ELSE 0 END AS size FROM s WHERE toxic IS NULL OR toxic = 0) SELECT doc_id, CASE WHEN a.size IS NULL THEN 'added' WHEN b.size IS NULL THEN 'deleted' WHEN a.size = b.size THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)",
     "incremental_upsert": f"WITH {_STATES} SELECT doc_id, CASE WHEN quality IS NULL THEN 'unreviewed' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS state, md5(CASE WHEN quality IS NULL THEN text ELSE text || chr(10) || 'reviewed' END) AS body_md5 FROM s",
