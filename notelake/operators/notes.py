@@ -112,14 +112,64 @@ def with_following(rows: DataFrame, group: list[str], order: list[Column], value
     return own.unionByName(guests).withColumn("following", following).where("not _guest").drop("_at", "_part", "_range", "_guest")
 
 
+#: Notes that a leaf of a digest tree is to have, and hexadecimal digits of its prefix at most.
+LEAF, DEEPEST = 256, 10
+_WORDS = ("w1", "w2", "w3", "w4")
+
+
+def digests(notes: DataFrame, key: str = "path", content: str = "body") -> DataFrame:
+    """key, place, w1 to w4: where each note is in the tree, by a hash of its key, and the digest of its key and content."""
+    line = F.sha2(F.concat(F.col(key), F.lit("\n"), F.sha2(T.text_of(content).cast("binary"), 256)).cast("binary"), 256)
+    rows = notes.select(key, F.sha1(F.col(key).cast("binary")).alias("place"), line.alias("_d"))
+    word = lambda i: F.conv(F.substring("_d", 1 + 16 * i, 16), 16, -10).cast("long")  # noqa: E731  all 64 bits, signed
+    return rows.select(key, "place", *[word(i).alias(w) for i, w in enumerate(_WORDS)])
+
+
+def digest_tree(lines: DataFrame, depth: int) -> DataFrame:
+    """level, prefix, n, w1 to w4: digests of all notes below each prefix of places, from none (level 0) to ``depth`` digits.
+
+    Digests merge: a node's is the exclusive or of its notes', whatever their order, and of its children's.
+    """
+    sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), *[F.bit_xor(w).alias(w) for w in _WORDS])
+    leaves = materialise(sums(lines.withColumn("n", F.lit(1).cast("long")), F.substring("place", 1, depth).alias("prefix")), "leaves")
+    out = leaves.withColumn("level", F.lit(depth))
+    for level in range(depth - 1, -1, -1):
+        out = out.unionByName(sums(leaves.withColumn("prefix", F.substring("prefix", 1, level)), "prefix").withColumn("level", F.lit(level)))
+    return out.select("level", "prefix", "n", *_WORDS)
+
+
+def tree_depth(n: int) -> int:
+    """Digits enough for leaves of about ``LEAF`` of ``n`` notes."""
+    depth = 1
+    while depth < DEEPEST and n > LEAF * 16**depth:
+        depth += 1
+    return depth
+
+
+def tree_differences(before: DataFrame, after: DataFrame, lines_before: DataFrame, lines_after: DataFrame, key: str = "path") -> DataFrame:
+    """key, status (added, deleted, changed) of the notes in which two trees of one depth differ.
+
+    Level by level only children of nodes that differ are compared, and of the notes only those below leaves that do.
+    """
+    depth = before.agg(F.max("level").alias("d")).first()["d"]
+    node = F.struct("n", *_WORDS)
+    differ = None
+    for level in range(depth + 1):
+        sides = [t.where(F.col("level") == level).select("prefix", node.alias(name)) for t, name in ((before, "was"), (after, "now"))]
+        if differ is not None:
+            above = differ.withColumnRenamed("prefix", "_above")
+            sides = [x.join(above, F.substring("prefix", 1, level - 1) == F.col("_above"), "left_semi") for x in sides]
+        both = sides[0].join(sides[1], "prefix", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+        differ = materialise(both.select("prefix"), "differ")
+    below = lambda x, name: x.join(differ, F.substring("place", 1, depth) == F.col("prefix"), "left_semi").select(key, F.struct(*_WORDS).alias(name))
+    rows = below(lines_before, "was").join(below(lines_after, "now"), key, "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+    return rows.select(key, F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").otherwise("changed").alias("status"))
+
+
 def generation(notes: DataFrame, key: str = "path", content: str = "body") -> DataFrame:
-    """One digest of all notes in order of path: of digests of ranges by path hash, so that no task sees all."""
-    line = F.concat(F.col(key), F.lit("\n"), F.sha2(F.col(content).cast("binary"), 256))
-    rows = notes.select(F.substring(F.sha1(F.col(key).cast("binary")), 1, 3).alias("bucket"), line.alias("line"))
-    joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-    parts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")
-    return parts.agg(F.sum("n").alias("notes"), F.sha2(whole.cast("binary"), 256).alias("generation"))
+    """notes, generation: one digest of all notes, the root of their tree. Digests are merged where notes are read."""
+    word = lambda w: F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(w), F.lit(0).cast("long")))), 16, "0")
+    return digests(notes, key, content).agg(F.count("*").alias("notes"), F.sha2(F.concat(F.count("*").cast("string"), *[word(w) for w in _WORDS]).cast("binary"), 256).alias("generation"))
 
 
 def freshness(previous: DataFrame, current: DataFrame, key: str, compared: list[str]) -> DataFrame:

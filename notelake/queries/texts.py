@@ -200,6 +200,9 @@ CHUNKS = f"""{TITLED}, {KEYWORDS}, {HEADS}, cb AS (SELECT doc_id, regexp_replace
 cc AS (SELECT doc_id, i + 1 AS chunk_no, substr(body, CAST(i * {T.CHUNK_CHARS} + 1 AS BIGINT), {T.CHUNK_CHARS}) AS chunk FROM (SELECT doc_id, body, unnest(range(0, CAST(ceil(length(body) / {T.CHUNK_CHARS}.0) AS BIGINT))) AS i FROM cb)
  UNION ALL SELECT doc_id, 0, head FROM hd WHERE regexp_matches(head, '\\S'))"""
 
+DIGESTS = "dl AS (SELECT path, sha1(path) AS place, sha256(path || chr(10) || sha256(body)) AS d FROM n), dg AS (SELECT path, place, " + ", ".join(f"CAST('0x' || substr(d, {1 + 16 * i}, 16) AS UBIGINT) AS w{i + 1}" for i in range(4)) + " FROM dl)"
+ROOT = " || ".join(f"lpad(lower(to_hex(bit_xor(w{i})::UBIGINT)), 16, '0')" for i in range(1, 5))
+
 SQL = {
     "tokenize_docs": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM ({DOCS}))",
     "sentence_split": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {sents('text')} AS ss FROM ({DOCS})))",
@@ -219,7 +222,7 @@ SQL = {
     "source_type_detect": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SOURCE_TYPES.items()) + f" ELSE 'text' END AS source_type, CASE WHEN {_EXT} IN ('mp4', 'mov', 'mkv') THEN 'video' WHEN {_EXT} IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN {_EXT} IN ('png', 'jpg', 'jpeg', 'webp') THEN 'image' WHEN {_EXT} = 'pdf' THEN 'pdf' WHEN regexp_matches(url, '(?i)^https?:') THEN 'url' ELSE 'unknown' END AS resource_type FROM pages",
     "conversation_notes": f"WITH c AS (SELECT conv_id, COUNT(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), s AS (SELECT *, {sents('body')} AS ss FROM c), f AS (SELECT *, COALESCE(list_filter(ss, lambda s: length(s) >= 40)[1], ss[1], substr(body, 1, 180)) AS f FROM s), g AS (SELECT *, CASE WHEN length(f) > 220 THEN substr(f, 1, 217) || '...' ELSE f END AS summary FROM f) SELECT conv_id, turns, {titled('summary')} AS title, md5(body) AS body_md5 FROM g",
     "notes_ordered": f"WITH n AS (SELECT doc_id, {PATH} AS path, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(GREATEST(LEAST(doc_id, {N.LATEST}), {N.EARLIEST})), '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp FROM documents) SELECT *, row_number() OVER (ORDER BY timestamp DESC, path) - 1 AS ord FROM n",
-    "generation_digest": f"WITH n AS (SELECT {PATH} AS path, COALESCE(text, '') AS body FROM documents), l AS (SELECT substr(sha1(path), 1, 3) AS bucket, path || chr(10) || sha256(body) AS line FROM n), p AS (SELECT bucket, COUNT(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY bucket) SELECT CAST(SUM(n) AS BIGINT) AS notes, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS generation FROM p",
+    "generation_digest": f"WITH n AS (SELECT {PATH} AS path, COALESCE(text, '') AS body FROM documents), {DIGESTS} SELECT CAST(COUNT(*) AS BIGINT) AS notes, sha256(CAST(COUNT(*) AS VARCHAR) || {ROOT}) AS generation FROM dg",
     "freshness_diff": f"WITH {_STATES}, a AS (SELECT doc_id, strlen(text) AS size FROM s WHERE quality IS NULL OR quality = 1), b AS (SELECT doc_id, strlen(text) + CASE WHEN quality = 1 THEN 1 ELSE 0 END AS size FROM s WHERE toxic IS NULL OR toxic = 0) SELECT doc_id, CASE WHEN a.size IS NULL THEN 'added' WHEN b.size IS NULL THEN 'deleted' WHEN a.size = b.size THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)",
     "incremental_upsert": f"WITH {_STATES} SELECT doc_id, CASE WHEN quality IS NULL THEN 'unreviewed' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS state, md5(CASE WHEN quality IS NULL THEN text ELSE text || chr(10) || 'reviewed' END) AS body_md5 FROM s",
     "chunk_notes": f"WITH {CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(length(chunk) AS BIGINT) AS chars, sha256(chunk) AS content_hash FROM cc",
