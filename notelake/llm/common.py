@@ -123,20 +123,32 @@ def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatc
 
 def varints(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers in bytes of seven bits, lowest first, and where each begins, with the end of all."""
-    size = 1 + sum((v >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28, 35, 42, 49, 56))
-    start = np.concatenate([[0], np.cumsum(size)])
+    most = int(v.max(initial=0))
+    if most < 128:
+        return v.astype(np.uint8), np.arange(len(v) + 1)
+    size = np.ones(len(v), np.int8)
+    for bits in range(7, most.bit_length(), 7):
+        size += v >= 1 << bits
+    start = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     out = np.zeros(start[-1], np.uint8)
+    some, rest = np.arange(len(v)), v
     for k in range(int(size.max(initial=0))):
-        some = np.flatnonzero(size > k)
-        out[start[some] + k] = ((v[some] >> (7 * k)) & 127) | np.where(size[some] > k + 1, 128, 0)
+        more = size[some] > k + 1
+        out[start[some] + k] = (rest & 127) | np.where(more, 128, 0)
+        some, rest = some[more], rest[more] >> 7
     return out, start
 
 
 def numbers(data: np.ndarray) -> np.ndarray:
     """What ``varints`` made bytes of."""
-    if not len(data):
-        return np.zeros(0, np.int64)
     last = np.flatnonzero(data < 128)
+    if len(last) == len(data):
+        return data.astype(np.int64)
     start = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(start, last - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)
+    size = last - start + 1
+    out = (data[start] & 127).astype(np.int64)
+    some = np.flatnonzero(size > 1)
+    for k in range(1, int(size.max(initial=0))):
+        out[some] |= (data[start[some] + k] & 127).astype(np.int64) << (7 * k)
+        some = some[size[some] > k + 1]
+    return out
