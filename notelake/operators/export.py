@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators.notes import numbered
+from notelake.plans.store import materialise
 from notelake.sources.captures import frontmatter
 
 
@@ -19,7 +25,7 @@ def rendered_note(note_type: str = "Concept") -> Column:
 
 
 def write_notes(notes: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
-    """Valid notes as Parquet of (path, markdown), with an index and a log of the export; returns what is wrong with it.
+    """Valid notes as Parquet of (path, markdown) and as files, with an index and a log of the export; returns what is wrong with it.
 
     Valid are notes with a body (and a type, where there is such a column) and without an error. Links are Markdown links and
     resources addresses. The index has a line for each note in order of paths; it is written from as many tasks as the notes.
@@ -31,6 +37,7 @@ def write_notes(notes: DataFrame, folder: str, parts: int | None = None) -> Data
     out = valid.select("path", T.linked_as_markdown(rendered_note()).alias("markdown"))
     (out if parts is None else out.repartition(parts, "path")).write.mode("overwrite").parquet(f"{folder}/notes")
     spark = notes.sparkSession
+    write_files(spark.read.parquet(f"{folder}/notes"), f"{folder}/files")
     written = spark.read.parquet(f"{folder}/notes")
     name = F.regexp_replace("path", r"\.md$", "")
     index = numbered(written.select("path"), [F.col("path")], "nth").select("nth", F.concat(F.lit("- ["), name, F.lit("]("), F.replace("path", F.lit(" "), F.lit("%20")), F.lit(")")).alias("line"))
@@ -40,6 +47,60 @@ def write_notes(notes: DataFrame, folder: str, parts: int | None = None) -> Data
     return note_issues(written.select("path", F.col("markdown").alias("raw")))
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``files(path, markdown)`` as files below ``folder``; path, bytes, sha256 of what is there then.
+
+    A task writes below a name of its own attempt, and Spark commits the list of what the attempts that count have written;
+    only what that list names is then put in its place, so that a killed attempt leaves nothing to be seen. Putting in place
+    can be repeated. Of rows of one path one counts. Paths that leave the folder, or begin as Spark's hidden files do, raise.
+    """
+    spark = files.sparkSession
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    attempts = f"{root}/_attempts-{uuid.uuid4().hex}"
+    odd = ~F.col("path").rlike(r"^[^/]") | F.col("path").rlike(r"(^|/)(\.\.?|[._][^/]*)(/|$)") | F.col("path").isNull()
+    rows = files.groupBy("path").agg(F.min("markdown").alias("markdown")).select("path", F.coalesce("markdown", F.lit("")).alias("markdown"), odd.alias("odd"))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name = uuid.uuid4().hex
+        for batch in batches:
+            system, base = fs.FileSystem.from_uri(attempts)
+            out: list[tuple[str, str, int, str]] = []
+            for path, text, odd_ in zip(*(batch.column(c).to_pylist() for c in ("path", "markdown", "odd")), strict=True):
+                if odd_:
+                    raise ValueError(f"no path below a folder: {path}")
+                data = text.encode()
+                place = f"{name}/{path}"
+                system.create_dir(f"{base}/{place}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{place}") as f:
+                    f.write(data)
+                out.append((path, place, len(data), hashlib.sha256(data).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "place", "bytes", "sha256"])
+
+    manifest = materialise(rows.mapInArrow(written, "path string, place string, bytes long, sha256 string"), "manifest")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            system, base = fs.FileSystem.from_uri(attempts)
+            target = fs.FileSystem.from_uri(root)[1]
+            for path, place in zip(batch.column("path").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                system.create_dir(f"{target}/{path}".rpartition("/")[0], recursive=True)
+                if system.get_file_info(f"{base}/{place}").type != fs.FileType.NotFound:  # else an earlier attempt has put it there
+                    system.move(f"{base}/{place}", f"{target}/{path}")
+            yield batch.select(["path", "bytes", "sha256"])
+
+    done = materialise(manifest.mapInArrow(put, "path string, bytes long, sha256 string"), "files")
+    system = at.getFileSystem(context._jsc.hadoopConfiguration())
+    system.delete(context._jvm.org.apache.hadoop.fs.Path(attempts), True)
+    return done
+
+
 def note_issues(files: DataFrame, key: str = "path") -> DataFrame:
     """key, code: what is wrong with Markdown files (key, raw)."""
     parts = r"(?s)\A---\n(.*?)\n---\n(.*)\z"

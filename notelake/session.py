@@ -24,13 +24,18 @@ def local_session(cores: int | str = "*", app: str = "notelake", shuffle_partiti
     )
 
 
+#: Bytes up to which a table is dealt out to all cores.
+DEALT_BYTES = 256 << 20
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """``df`` with its rows dealt out to all cores, if it is so small that fewer tasks than that would read it.
+    """``df`` with its rows dealt out to all cores, if it is small and fewer tasks than there are cores would read it.
 
-    A large input has more splits than there are cores and stays as it is: no shuffle.
+    A large table stays as it is, whatever the number of cores: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= DEALT_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.plans.library import Library
 from notelake.plans.store import shared_folder
 
 
@@ -23,11 +24,21 @@ def upsert_stream(captures: DataFrame, transform: Callable[[DataFrame], DataFram
     query.awaitTermination()
 
 
+def follow(captures: DataFrame, library: Library, checkpoint: str) -> None:
+    """Ingests a stream of captures into a library (notes, postings and vectors) until its input is used up.
+
+    A batch that is repeated after a failure replaces its own notes by the same ones.
+    """
+    query = captures.writeStream.foreachBatch(lambda batch, _: library.ingest(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def latest(spark: SparkSession, target: str, key: str) -> DataFrame:
     """The newest row of each key over all batches."""
     rows = spark.read.parquet(f"{target}/batch-*")
-    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))
-    return rows.withColumn("_nth", newest).where("_nth = 1").drop("_nth", "batch")
+    own = [c for c in rows.columns if c != "batch"]
+    last = F.max_by(F.struct(*own), F.struct("batch", F.xxhash64(*own)))  # of one batch's rows the same one each time
+    return rows.groupBy(key).agg(last.alias("_row")).select("_row.*")
 
 
 def ingest_documents(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
