@@ -195,10 +195,11 @@ def edge_tables(spark, docs, none, tmp_path_factory):
     pages = spark.createDataFrame([(1, "u", "<p>" + "y" * 2000), (2, None, "<p>" + "y" * 2000), (3, "v", None), (None, "v", ""), (3, "v", None)], "page_id long, url string, html string")
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 0, 1), (2, 1, None), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     vectors = spark.createDataFrame([(20, [1.0, -1.0]), (20, [1.0, -1.0]), (1, [1.0, 1.0]), (2, None), (None, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    items = spark.createDataFrame([(1, "The CAT!"), (None, "idiot"), (2, None), (3, ""), (5, "id, text"), (5, "id")], "item_id long, text string").withColumn("term", F.lit("clash"))
     folders = []
     for empty in (False, True):
         at = tmp_path_factory.mktemp("tables")
-        for name, df in (("documents", docs), ("pages", pages.withColumn("a.b", F.lit("dot"))), ("labels", labels), ("embeddings", vectors.withColumn("code", F.lit("clash")))):
+        for name, df in (("documents", docs), ("pages", pages.withColumn("a.b", F.lit("dot"))), ("labels", labels), ("embeddings", vectors.withColumn("code", F.lit("clash"))), ("benchmark", items)):
             (df.where("false") if empty else df).write.parquet(f"{at}/{name}.parquet")
         folders.append(str(at))
     return folders
@@ -206,7 +207,7 @@ def edge_tables(spark, docs, none, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_over_odd_and_empty_tables(spark, edge_tables, name):
-    rows = {"op1_warc": 5, "op9_hamming_topk": 2}.get(name, len(ROWS))
+    rows = {"op1_warc": 5, "op9_hamming_topk": 2, "op11_block_max": 6, "op13_whitening": 8}.get(name, len(ROWS))
     got = queries()[name](spark, edge_tables[0]).collect()
     assert len({(r["doc_id"], i) for i, r in enumerate(got) if r["start"] == 0}) == rows if name == "op7_packing" else len(got) == rows
     assert queries()[name](spark, edge_tables[1]).count() == 0

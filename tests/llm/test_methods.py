@@ -30,7 +30,7 @@ def test_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(oracle_sql()[name]).fetchall()
     columns = [d[0] for d in con.description]
