@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators import recall as R
-from notelake.plans.store import materialise
+from notelake.plans.store import current, materialise
 
 #: Notes in a segment; segments of a query that are scored before the others; tokens that are looked up by their names.
 SEGMENT, FIRST_SEGMENTS, NAMED = 1_024, 2, 2_000
@@ -77,23 +77,19 @@ class Index:
     runs: DataFrame
     newest: DataFrame | None = None
 
-    def stats(self) -> DataFrame:
-        """docs, avgdl: one row."""
-        from notelake.plans.store import current
+    def stats(self) -> tuple[int, float]:
+        """The number of notes that count and their mean length."""
+        row = current(self.lengths, self.newest, self.key).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).first()
+        return row["docs"], row["avgdl"] or 0.0
 
-        return current(self.lengths, self.newest, self.key).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-
-    def of_tokens(self, tokens: DataFrame) -> DataFrame:
-        """The blocks of ``tokens(token)``: by name where these are few, by a join beyond."""
-        few = tokens.select("token").distinct().limit(NAMED + 1).collect()  # NAMED tokens at most
-        if len(few) <= NAMED:
-            return self.blocks.where(F.col("token").isin([r["token"] for r in few]))
+    def of_tokens(self, tokens: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """The blocks of ``tokens(token)``: by their names, where these are given, by a join else."""
+        if names is not None:
+            return self.blocks.where(F.col("token").isin(names))
         return self.blocks.join(R.small(tokens.select("token").distinct()), "token", "left_semi")
 
     def counted(self, entries: DataFrame) -> DataFrame:
         """Of ``entries`` (of blocks, with key and _place) those of notes that count."""
-        from notelake.plans.store import current
-
         return current(entries.withColumnRenamed("key", self.key), self.newest, self.key)
 
 
@@ -108,6 +104,7 @@ def written(notes: DataFrame, key: str, text: Column, segments: int | None = Non
 def built(notes: DataFrame, key: str, text: Column) -> Index:
     """An index of one part. Its blocks are written to the shared folder; its runs are where a search first asks for them."""
     tables = {name: df.withColumn("_place", F.lit(0)) for name, df in written(notes, key, text).items()}
+    tables["rows"] = materialise(tables["rows"], "lengths")
     return Index(key, tables["rows"], tables["blocks"], tables["runs"])
 
 
@@ -115,40 +112,49 @@ def _entries(hits: DataFrame, *columns: str) -> DataFrame:
     return hits.select(*columns, "_place", F.explode("entries").alias("e")).select(*columns, "_place", "e.*")
 
 
+def asked_for(tokens: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``tokens`` ready to be joined, and the distinct ones by name where they are few: then they are rows of the driver's."""
+    few = tokens.limit(NAMED + 1).collect()  # NAMED rows at most are kept
+    if len(few) > NAMED:
+        return R.small(tokens), None
+    return F.broadcast(tokens.sparkSession.createDataFrame(few, tokens.schema)), sorted({r["token"] for r in few})
+
+
 def lexical(index: Index, queries: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:
     """As ``recall.lexical``, from the index."""
-    asked = R.small(R.query_tokens(queries, query, text))
-    hits = index.of_tokens(asked).where("n > 0")
+    asked, names = asked_for(R.query_tokens(queries, query, text))
+    hits = index.of_tokens(asked, names).where("n > 0")
     found = index.counted(_entries(hits, "token").where("tf > 0")).join(asked, "token")
     scores = found.groupBy(query, index.key).agg(F.sum(F.col("tf") * F.col("times")).alias("score"))
     return R.best(scores, query, [F.desc("score"), F.col(index.key)], k)
 
 
-def gain(tf: Column, length: Column) -> Column:
-    return tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / F.col("avgdl")))
+def gain(tf: Column, length: Column, avgdl: float) -> Column:
+    return tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / F.lit(avgdl)))
 
 
 def bm25(index: Index, queries: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:
     """As ``recall.bm25``, from the index, without segments that cannot hold one of the best ``k``."""
-    asked = R.small(R.first_tokens(queries, query, text).groupBy(query, T.folded(F.col("token")).alias("token")).agg(F.sum("times").alias("times")))
-    hits = index.of_tokens(asked).where("nf > 0")
+    asked, names = asked_for(R.first_tokens(queries, query, text).groupBy(query, T.folded(F.col("token")).alias("token")).agg(F.sum("times").alias("times")))
+    hits = materialise(index.of_tokens(asked, names).where("nf > 0"), "hits")  # the asked tokens' blocks, read several times
     counts = hits.groupBy("token").agg(F.sum("nf").alias("df"))
     if index.newest is not None:  # notes that were replaced or taken out do not count
         dead = _entries(hits, "token").where("ff > 0").join(index.newest.withColumnRenamed(index.key, "key"), "key")
         dead = dead.where((F.col("_place") != F.col("_newest")) | F.col("_gone")).groupBy("token").agg(F.count("*").alias("dead"))
         counts = counts.join(dead, "token", "left").select("token", (F.col("df") - F.coalesce("dead", F.lit(0))).alias("df")).where("df > 0")
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(R.LEAST_IDF))
-    terms = asked.join(counts, "token").crossJoin(F.broadcast(index.stats())).select(query, "token", (idf * F.col("times")).alias("idf"), "avgdl")  # one row of statistics
-    terms = R.small(terms)
+    docs, avgdl = index.stats()
+    idf = F.greatest(F.log((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(R.LEAST_IDF))
+    terms = asked.join(counts, "token").select(query, "token", (idf * F.col("times")).alias("idf"))
+    terms = terms if names is None else F.broadcast(terms)  # as few rows as were asked for
     bounds = hits.select("token", "segment", "_place", "mostf", "least").join(terms, "token")
-    bounds = bounds.groupBy(query, "segment", "_place").agg(F.sum(F.col("idf") * gain(F.col("mostf"), F.col("least"))).alias("bound"))
-    bounds = R.small(bounds.withColumn("nth", F.row_number().over(R.Window.partitionBy(query).orderBy(F.desc("bound"), "_place", "segment"))))
+    bounds = bounds.groupBy(query, "segment", "_place").agg(F.sum(F.col("idf") * gain(F.col("mostf"), F.col("least"), avgdl)).alias("bound"))
+    bounds = materialise(bounds.withColumn("nth", F.row_number().over(R.Window.partitionBy(query).orderBy(F.desc("bound"), "_place", "segment"))), "bounds")
 
     def scored(some: DataFrame) -> DataFrame:
-        wanted = terms.join(some, query).select(query, "token", "segment", "_place", "idf", "avgdl")
+        wanted = terms.join(some, query).select(query, "token", "segment", "_place", "idf")
         own = hits.select("token", "segment", "_place", "entries").join(wanted, ["token", "segment", "_place"])
-        found = index.counted(_entries(own, query, "token", "idf", "avgdl").where("ff > 0"))
-        return found.groupBy(query, index.key).agg((-F.sum(F.col("idf") * gain(F.col("ff"), F.col("dl")))).alias("raw")).withColumn("bm25", F.round("raw", 4) + 0.0)
+        found = index.counted(_entries(own, query, "token", "idf").where("ff > 0"))
+        return found.groupBy(query, index.key).agg((-F.sum(F.col("idf") * gain(F.col("ff"), F.col("dl"), avgdl))).alias("raw")).withColumn("bm25", F.round("raw", 4) + 0.0)
 
     first = materialise(scored(bounds.where(F.col("nth") <= FIRST_SEGMENTS)), "first-segments")
     kth = first.withColumn("_nth", F.row_number().over(R.Window.partitionBy(query).orderBy("bm25"))).where(F.col("_nth") == k).select(query, F.col("bm25").alias("kth"))
@@ -180,10 +186,10 @@ def containing(index: Index, strings: DataFrame) -> DataFrame:
 
 def substring_recall(index: Index, queries: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:
     """As ``recall.substring_recall``, from the index: a token is in a text if it is in one of the text's tokens."""
-    asked = R.small(R.first_tokens(queries, query, text))
+    asked, _ = asked_for(R.first_tokens(queries, query, text))
     sizes = R.small(asked.groupBy(query).agg(F.sum("times").alias("size")))
-    words = R.small(containing(index, asked.select(F.col("token").alias("string"))))
-    hits = index.of_tokens(words).where("n > 0").join(words, "token")
+    words, names = asked_for(containing(index, asked.select(F.col("token").alias("string"))))
+    hits = index.of_tokens(words, names).where("n > 0").join(words, "token")
     found = index.counted(_entries(hits, "string").where("tf > 0")).select(index.key, F.col("string").alias("token")).distinct()
     scores = found.join(asked, "token").groupBy(query, index.key).agg(F.sum("times").alias("n")).join(sizes, query)
     return R.best(scores.select(query, index.key, F.round(F.col("n") / F.col("size"), 4).alias("score")), query, [F.desc("score"), F.col(index.key)], k)

@@ -34,7 +34,7 @@ def dealt(df: DataFrame) -> DataFrame:
     A large table stays as it is, whatever the number of cores: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= DEALT_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
