@@ -131,13 +131,20 @@ def test_provider_chain_and_reuse(spark):
     def one_hot(texts):
         return [[float(len(t) % 4 == k) for k in range(4)] for t in texts]
 
-    known = embedding.embedded(rows, "text", {"broken": broken, "mock": one_hot}, 6)
-    assert {r["provider"] for r in known.collect()} == {"mock"} and {len(r["vector"]) for r in known.collect()} == {6}
-    assert {r["provider"] for r in embedding.embedded(rows, "text", {"broken": broken}, 6).limit(3).collect()} == {"hashed"}
+    chain = {"broken": broken, "mock": one_hot}
+    known = embedding.embedded(rows, "text", chain, 6)
+    assert {r["provider"] for r in known.collect()} == {"mock"} and {len(r["vector"]) for r in known.collect()} == {4}  # the provider's own size
+    assert {(r["provider"], len(r["vector"])) for r in embedding.embedded(rows, "text", {"broken": broken}, 6).limit(3).collect()} == {("hashed", 6)}
     changed = rows.withColumn("text", F.when(F.col("id") == 3, "other").otherwise(F.col("text")))
-    again = embedding.refreshed(known, changed, ["id"], "text", None, 6)
-    assert [r["id"] for r in again.where("provider = 'hashed'").collect()] == [3] and again.count() == 70
-    assert embedding.refreshed(known, changed, ["id"], "text", None, 5).where("provider = 'hashed'").count() == 70
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        asked.add(len(texts))
+        return one_hot(texts)
+
+    again = embedding.refreshed(known, changed, ["id"], "text", {"mock": counted})
+    assert again.count() == 70 and {r["provider"] for r in again.collect()} == {"mock"} and asked.value == 1
+    assert {r["provider"] for r in embedding.refreshed(known, changed, ["id"], "text", None, 6).collect()} == {"hashed"}  # none is kept of another provider
 
 
 def test_link_budget(spark):
