@@ -129,6 +129,43 @@ def test_numbered_and_generation(spark):
     assert notes.generation(rows.withColumn("body", F.lit("y"))).first()["generation"] != a["generation"]
 
 
+def test_generation_tells_repeated_notes_apart(spark):
+    digest = lambda *rows: notes.generation(spark.createDataFrame(list(rows), "path string, body string")).first()["generation"]
+    assert len({digest(("a", "x"), ("a", "x")), digest(("a", "y"), ("a", "y")), digest(("b", "x"), ("b", "x"))}) == 3
+    assert digest(("a", "x"), ("a", "x"), ("b", "y")) != digest(("b", "y"), ("b", "y"), ("b", "y"))
+
+
+def test_generation_hashes_sorted_lines(spark):
+    import hashlib
+
+    rows = [(f"p{i % 900}", None if i % 7 == 0 else f"body {i % 11}") for i in range(9_000)] + [(None, "no path")] * 3
+    buckets, sha = {}, lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for path, body in rows[:9_000]:
+        buckets.setdefault(hashlib.sha1(path.encode()).hexdigest()[:3], []).append(f"{path}\n{sha(body or '')}")
+    want = sha("\n".join(sha("\n".join(sorted(lines))) for _, lines in sorted(buckets.items())))
+    df = spark.createDataFrame(rows, "path string, body string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # buckets lie in several batches
+    try:
+        assert tuple(notes.generation(df.repartition(5)).first()) == (9_003, want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_generation_digest_of_odd_documents(spark, tmp_path):
+    import duckdb
+
+    from notelake import registry
+
+    odd = [(1, "a"), (1, "a"), (1, "b"), (-3, None), (None, "x"), (2, ""), (123456789012, "Grüße\n")]
+    for name, rows in (("odd", odd), ("empty", []), ("without_ids", [(None, "x"), (None, None)])):
+        docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        want = con.execute(registry.oracle_sql()["generation_digest"]).fetchall()
+        assert [tuple(r) for r in registry.queries()["generation_digest"](spark, f"{tmp_path}/{name}").collect()] == want
+
+
 def test_frontmatter(spark):
     raw = ['---\ntitle: "A: b"\ntags: [x, y]\ntitle: later\n---\nbody\n', "no front", "---\r\ntitle: x\r\n---\r\n", "---\ntitle: x\n\"bad\n---\nb"]
     n = captures.frontmatter(F.col("raw"))
