@@ -275,3 +275,22 @@ def test_whitening_of_odd_rows(spark, monkeypatch):
     assert sorted({r["vec_id"] for r in found}, key=str) == [1, 2, 3, None]
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "vec_id long, embedding array<double>")
     assert whitening.whitened(same).count() == whitening.whitened(df.limit(0)).count() == 0
+
+
+def test_rows_of_megabytes_are_written_in_small_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from notelake.llm import common, context_tree
+
+    made = []
+
+    def kept(df, what, *options):
+        made.append((what, common.materialise(df, what, *options)))
+        return made[-1][1]
+
+    monkeypatch.setattr(context_tree, "materialise", kept)
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256))).alias("text")).coalesce(1)
+    assert context_tree.scored(docs, "doc_id % 2 = 0", depth=2, block_bytes=1 << 20).count() == 64
+    files = [f.removeprefix("file://") for what, df in made if what == "blocks" for f in df.inputFiles()]
+    groups = [g for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) >= 64 and max(g.total_byte_size for g in groups) < 24 << 20
