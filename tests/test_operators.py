@@ -239,3 +239,21 @@ def test_empty_tables(spark):
     a = graph.analyse(notes.build_notes(notes.from_documents(docs)))
     for df in (recall.lexical(docs, queries, "doc_id", "item_id", 3), recall.bm25(docs, queries, "doc_id", "item_id", 3), recall.substring_recall(docs, queries, "doc_id", "item_id", 3), graph.structural_links(a), graph.candidate_pairs(a), graph.capped_links(graph.pair_scores(a, graph.candidate_pairs(a)))):
         assert df.count() == 0
+
+
+def test_chunks_and_keywords_are_made_where_texts_are_read(spark):
+    long_ = " ".join(f"Word{i % 7} and then number{i}." for i in range(400))
+    rows = [(1, long_), (2, "a " * 900 + "b. " + "This sentence is the first one of forty characters or more. End."), (3, None), (4, " \t\n"), (5, "été été Été zebra, zebra apple")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    made = notes.from_documents(docs)
+    here, shuffled = (notes.build_notes(made, apart=x) for x in (True, False))
+    shown = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    assert shown(here) == shown(shuffled) and "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    assert here.where("doc_id = 5").first()["tags"] == ["en", "s", "été", "zebra", "apple"]
+    assert notes.each_once(docs, "doc_id") and not notes.each_once(docs.unionByName(docs.limit(1)), "doc_id") and not notes.each_once(docs.withColumn("doc_id", F.lit(None).cast("long")), "doc_id")
+    assert value(spark, T.chunks(F.col("t")), t=long_) == [long_[i : i + 900] for i in range(0, len(long_), 900)]
+    plan = spark.createDataFrame([(long_,)], "t string").select(T.chunks(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 1  # the body is made once, not once a chunk
+    sentence = "This sentence is the first one of forty characters or more."
+    assert value(spark, T.summary(F.col("t")), t="Short. " * 300 + sentence + " End.") == sentence
+    assert value(spark, T.summary(F.col("t")), t=("Tiny. " * 243 + sentence + " End. ") * 3) == sentence
