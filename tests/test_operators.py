@@ -257,3 +257,54 @@ def test_chunks_and_keywords_are_made_where_texts_are_read(spark):
     sentence = "This sentence is the first one of forty characters or more."
     assert value(spark, T.summary(F.col("t")), t="Short. " * 300 + sentence + " End.") == sentence
     assert value(spark, T.summary(F.col("t")), t=("Tiny. " * 243 + sentence + " End. ") * 3) == sentence
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Analysed notes that share tags, entities and keywords, some written alike and some with capitals."""
+    rng = random.Random(5)
+    words = ["Codex", "codex", "listing", "Budget", "kestrel", "vole", "grass", "verge", "ontology", "Zebra", "campaign", "über"]
+    rows = [(i * 3 - 20, " ".join(rng.choices(words, k=rng.randrange(0, 9))) + ".", rng.choice(["en", "Grass", None]), rng.choice(["codex", "vole"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return graph.analyse(notes.build_notes(notes.from_documents(docs))).localCheckpoint()
+
+
+def _rows(df):
+    return sorted((r["a"], r["b"], r["type"], r["confidence"], r["evidence_count"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_pairs_scored_by_numbers_are_those_of_strings(spark, alike, block):
+    want = _rows(graph.pair_scores(alike, graph.candidate_pairs(alike)))
+    assert _rows(graph.scored_pairs(alike, block)) == want and len(want) > 500 and {"similar_to", "same_domain"} == {r[2] for r in want}
+
+
+def test_pairs_of_repeated_ids_and_of_nothing(spark, alike):
+    twice = alike.unionByName(alike.limit(2))
+    assert _rows(graph.scored_pairs(twice)) == _rows(graph.pair_scores(twice, graph.candidate_pairs(twice)))
+    assert graph.scored_pairs(alike.limit(0)).collect() == [] and graph.scored_pairs(alike.limit(1)).collect() == []
+
+
+def test_pairs_are_not_joined_with_strings(spark, alike):
+    """What a pair costs to shuffle: numbers of both notes once a block, no arrays of strings once a pair."""
+    plan = graph.scored_pairs(alike)._jdf.queryExecution().optimizedPlan().toString()
+    assert "keywords" not in plan and "entities" not in plan
+    pairs = graph.candidate_pairs(alike)._jdf.queryExecution().optimizedPlan().toString()
+    assert " key#" not in pairs and ",key#" not in pairs and "place#" in pairs
+
+
+def test_newest_notes_pairs_alone(spark, alike):
+    want = {(r["a"], r["b"], r["nth"]) for r in graph.candidate_pairs(alike).where("a >= 100").collect()}
+    assert {(r["a"], b, n + 1) for r in graph.newest_lists(alike, 100).collect() for n, b in enumerate(r["bs"])} == want and want
+    whole = graph.capped_links(graph.pair_scores(alike, graph.candidate_pairs(alike))).where(f"type = 'similar_to' and confidence >= {graph.MERGE_FROM}")
+    best = [(r["a"], r["b"]) for r in whole.orderBy(F.desc("a"), *graph.proposal_order()).limit(8).collect()]
+    for first in (2, 256):
+        assert sorted((r["a"], r["b"]) for r in graph.first_merges(alike, 8, first).collect()) == sorted(best)
+
+
+def test_capped_links_in_ranges(spark, alike, monkeypatch):
+    scored = graph.pair_scores(alike, graph.candidate_pairs(alike))
+    walks = []
+    monkeypatch.setattr(graph, "_walked", lambda rows, k, was=graph._walked: walks.append(1) or was(rows, k))
+    whole, parts = (sorted(map(str, graph.capped_links(scored, 5, n).collect())) for n in (10**6, 300))
+    assert whole == parts and 3 <= len(walks) <= 12
