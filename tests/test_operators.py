@@ -308,3 +308,52 @@ def test_capped_links_in_ranges(spark, alike, monkeypatch):
     monkeypatch.setattr(graph, "_walked", lambda rows, k, was=graph._walked: walks.append(1) or was(rows, k))
     whole, parts = (sorted(map(str, graph.capped_links(scored, 5, n).collect())) for n in (10**6, 300))
     assert whole == parts and 3 <= len(walks) <= 12
+
+
+def test_small_queries_as_a_matrix_find_what_joins_find(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["été", "ete", "vole", "volet", "le", "grass", "12", "kestrel", "x", "知识管理"]
+    rows = [(i * 7 - 50, None if i % 17 == 0 else " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "vole vole le"), (2, "été grass"), (3, ""), (4, None), (5, "ole"), (-6, "知识 x absent"), (7, " ".join(words))], "item_id long, text string")
+    ask = {"lexical": recall.lexical, "bm25": recall.bm25, "substring": recall.substring_recall, "full": recall.full_text}
+    found = lambda: {name: sorted(str(r.asDict()) for r in f(docs, queries, "doc_id", "item_id", 6).collect()) for name, f in ask.items()}
+    monkeypatch.setattr(recall, "ENTRIES", 16)
+    here = found()
+    plan = recall.lexical(docs, queries, "doc_id", "item_id", 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(recall, "MATRIX_QUERIES", 0)
+    assert here == found() and all(len(v) > 10 for v in here.values())
+    monkeypatch.undo()
+    twice = docs.unionByName(docs.limit(3)).withColumn("doc_id", F.when(F.col("doc_id") != 6, F.col("doc_id")))
+    assert recall.Asked.of(recall.query_tokens(queries, "item_id", "text"), "item_id", twice, "doc_id") is None
+
+
+def test_texts_against_queries_without_their_vectors(spark):
+    from notelake.operators import embedding
+
+    rng = random.Random(9)
+    words = ["vole", "grass", "x" * 70, "知识管理", "kestrel", "verge", "été"]
+    rows = [(i % 40, i, " ".join(rng.choices(words, k=rng.randrange(0, 6)))) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no long, chunk string").repartition(4)
+    asked = embedding.hashed_vectors(spark.createDataFrame([(1, "vole grass"), (2, "知识管理 " + "x" * 70), (3, "")], "q long, text string"), ["q"], F.col("text"))
+    keys = ["doc_id", "chunk_no"]
+    best = lambda found, k: [tuple(r) for r in recall.best(recall.best_rows(found, keys, "q"), "q", [F.desc("score"), F.col("doc_id")], k).select("q", *keys, "score", "rank").orderBy("q", "rank").collect()]
+    for k in (3, 50):
+        got = best(recall.text_scores(chunks, asked, keys, F.col("chunk"), "q", k), k)
+        assert got == best(recall.vector_scores(embedding.hashed_vectors(chunks, keys, F.col("chunk")), asked, keys, "q", k), k) and len(got) > 5
+    bins = {(r["doc_id"], r["chunk_no"], r["bin"]): r["weight"] for r in embedding.hashed_bins(chunks, keys, F.col("chunk")).collect()}
+    want = {(r["doc_id"], r["chunk_no"], i): w for r in embedding.hashed_vectors(chunks, keys, F.col("chunk")).collect() for i, w in enumerate(r["vector"]) if w}
+    assert bins == want
+
+
+def test_queries_that_stand_alone_build_no_index(spark, sf, monkeypatch):
+    from notelake import registry
+    from notelake.operators import index
+
+    def built(*_):
+        raise AssertionError("an index of all tokens was built")
+
+    monkeypatch.setattr(index, "built", built)
+    for name in ("lexical_recall", "like_recall", "score_normalize", "fused_recall"):
+        assert registry.queries()[name](spark, sf).count() > 0
